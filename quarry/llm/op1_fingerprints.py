@@ -116,11 +116,11 @@ def fingerprint_documents(docs: DataFrame, radius: int = 3, blocks: int = 5, que
     both = both.withColumn("row", F.xxhash64("text", "edited"))
     each = both.select("doc_id", "row", F.explode(F.array(F.struct(F.lit(0).alias("which"), F.col("text")), F.struct(F.lit(1).alias("which"), F.col("edited").alias("text")))).alias("v")).select("doc_id", "row", "v.which", "v.text")
     votes = simhash(each, ["doc_id", "row", "which"], "text")
-    prints = cut(votes.groupBy("doc_id", "row").agg(*[F.max(F.when(F.col("which") == w, F.col(f"f{k}"))).alias(f"{p}{k}") for w, p in enumerate("fe") for k in range(WORDS)]))
+    pivoted = votes.groupBy("doc_id", "row").agg(*[F.max(F.when(F.col("which") == w, F.col(f"f{k}"))).alias(f"{p}{k}") for w, p in enumerate("fe") for k in range(WORDS)])
     plain = both.select("doc_id", "row", "n_chars", F.sha2("edited", 256).alias("edited_sha256"))
-    found = plain.join(prints, ["doc_id", "row"])
+    prints = cut(plain.join(pivoted, ["doc_id", "row"]))  # one job, so the texts are dealt out by document once
     nexts = prints.groupBy("doc_id").agg(F.min(F.struct(*names)).alias("s")).select(F.col("doc_id").alias("next_doc_id"), *[F.col(f"s.f{k}").alias(f"n{k}") for k in range(WORDS)])
-    found = found.join(after.join(nexts, "next_doc_id"), "doc_id")
+    found = prints.join(after.join(nexts, "next_doc_id"), "doc_id")
     counted = prints.groupBy(*names).agg(F.count("*").alias("held"))
     asked = prints.where((F.col("doc_id") != LOWEST) & (F.col("doc_id") % query_every == 0)).select(*names)
     near = within_radius(asked, counted, names, radius, blocks)
