@@ -19,6 +19,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +32,10 @@ K1, B = 1.2, 0.75
 THRESHOLD = 0.5  # of an item's score with itself
 OVERLAP = 0.8
 SHINGLE = 5
-BLOCK = 16  # items
+BLOCK = 4  # items
 SLACK = 0.1  # weight that terms left out of the first sum may have together
 MIN_HALF = 64  # words in half a passage
-SHARD_ITEMS, SHARD_BYTES = 4096, 8 << 20
+SHARD_ITEMS, SHARD_BYTES = 512, 1 << 20
 STEP = 1 << 20  # bytes of text worked on at once
 #: ASCII punctuation becomes space, so that words are compared without it.
 FOLD = bytes(32 if c < 48 or 58 <= c < 65 or 91 <= c < 97 or 123 <= c < 128 else c for c in range(256))
@@ -112,7 +113,7 @@ def retrieved(index: Index, texts: list[list[bytes]], threshold: float) -> list[
     base = np.cumsum(halves) - halves
     total = int(halves.sum())
     get = index.terms.get
-    ids = np.fromiter((get(w, -1) for t in texts for w in t), np.int32, int(counts.sum()))
+    ids = np.fromiter(map(get, chain.from_iterable(texts), repeat(-1)), np.int32, int(counts.sum()))
     starts = np.cumsum(counts) - counts
     owner = np.repeat(base, counts) + (np.arange(len(ids)) - np.repeat(starts, counts)) // index.half
     hit = ids >= 0
@@ -124,16 +125,16 @@ def retrieved(index: Index, texts: list[list[bytes]], threshold: float) -> list[
     last = np.zeros(total, bool)
     last[base + halves - 1] = True
     follows = np.where(last[:, None], 0, np.concatenate((upper[1:], np.zeros((1, upper.shape[1]), np.float32))))
-    passage, block = np.nonzero(upper + follows + index.slack >= threshold)
+    passage, block = np.nonzero(upper + follows + (index.slack + 1e-4) >= threshold)  # sums of float32
     out = []
     bounds = np.searchsorted(half, np.arange(total + 1))
-    for p in np.unique(passage):
-        end = bounds[p + 1] if last[p] else bounds[p + 2]
-        own = np.unique(term[bounds[p] : end])
+    cuts = np.nonzero(np.diff(passage, prepend=-1))[0].tolist()
+    for a, b in zip(cuts, [*cuts[1:], len(passage)]):
+        p, items = int(passage[a]), np.concatenate([np.arange(k * BLOCK, min((k + 1) * BLOCK, len(index.ids))) for k in block[a:b]])
+        own = np.unique(term[bounds[p] : bounds[p + 1] if last[p] else bounds[p + 2]])
+        s = index.weights[np.ix_(own, items)].sum(axis=0, dtype=np.float64)
         t = int(np.searchsorted(base, p, "right")) - 1
-        for k in block[passage == p]:
-            s = index.weights[own, k * BLOCK : (k + 1) * BLOCK].sum(axis=0, dtype=np.float64)
-            out += [(t, int(p - base[t]), int(k * BLOCK + j), float(s[j])) for j in np.nonzero(s >= threshold - 1e-6)[0]]
+        out += [(t, int(p - base[t]), int(items[j]), float(s[j])) for j in np.nonzero(s >= threshold - 1e-6)[0]]
     return out
 
 
