@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 #: Only for sessions without spark.checkpoint.dir, such as tests in local mode.
 LOCAL_DIR = "/tmp/quarry-checkpoints"
+BATCH_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -88,5 +89,7 @@ def rows_of(offsets: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.searchsorted(offsets, starts, "right") - 1
 
 
-def without(df: DataFrame, *names: str) -> DataFrame:
-    return df.drop(*names)
+def arrow_batches(df: DataFrame) -> DataFrame:
+    """df, after bounding the rows of the batches that Python gets, so that whole texts fit beside the executor's heap."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    return df

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import arrow_batches, cut, table
 
 MIN_PAGES = 3  # of a host, before a text that is always the same is template
 FEW_HOSTS = 20_000  # wrappers that may be broadcast
@@ -331,7 +331,7 @@ def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
             struct = pa.struct([("slot", pa.string()), ("h", pa.int64()), ("chars", pa.int64()), ("linked", pa.int64()), ("marked", pa.bool_())])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shapes, pa.string()), pa.array(slots, pa.list_(struct))], names=["host", "shape", "slots"])
 
-    read_ = rows.mapInArrow(each, "host string, shape string, slots array<struct<slot:string,h:long,chars:long,linked:long,marked:boolean>>")
+    read_ = arrow_batches(rows).mapInArrow(each, "host string, shape string, slots array<struct<slot:string,h:long,chars:long,linked:long,marked:boolean>>")
     sums = [F.sum("pages").alias("pages"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), F.max("marked").alias("marked")]
     nodes = read_.select("host", "shape", F.explode_outer("slots").alias("s")).groupBy("host", "shape", "s.slot").agg(
         F.count("*").alias("pages"), F.min("s.h").alias("low"), F.max("s.h").alias("high"), F.coalesce(F.sum("s.chars"), F.lit(0)).alias("chars"), F.coalesce(F.sum("s.linked"), F.lit(0)).alias("linked"), F.coalesce(F.max("s.marked"), F.lit(False)).alias("marked")
@@ -401,7 +401,7 @@ def extract(pages: DataFrame, keep: list[str], url_col: str = "url", html_col: s
                 texts.append(main_text(page.as_py() or "", trees.get(ref), frozenset(constant.as_py() or ()), content.as_py() or ""))
             yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(texts, pa.string())], names=schema.names)
 
-    return joined.mapInArrow(each, schema)
+    return arrow_batches(joined).mapInArrow(each, schema)
 
 
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:

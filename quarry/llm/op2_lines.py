@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import arrow_batches, cut, table
 
 MIN_WORDS = 8
 MIN_BLOCK_WORDS = 8
@@ -75,7 +75,7 @@ def lines_of(docs: DataFrame, min_words: int) -> DataFrame:
             cols = list(zip(*found, strict=True)) if found else [[]] * 5
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int32())], names=names)
 
-    return rows.mapInArrow(each, "doc long, th long, k int, h long, gb long, ga long, w int")
+    return arrow_batches(rows).mapInArrow(each, "doc long, th long, k int, h long, gb long, ga long, w int")
 
 
 def patience(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import buffers, cut, table
+from .common import arrow_batches, buffers, cut, table
 from .components import components
 
 SEED = 42
@@ -69,7 +69,7 @@ def fingerprints(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_co
             fps = np.array([majority(shingle_hashes(data[a:b], size)) for a, b in zip(at, at[1:])], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=[id_col, "fp"])
 
-    return base.mapInArrow(each, f"{id_col} long, fp long")
+    return arrow_batches(base).mapInArrow(each, f"{id_col} long, fp long")
 
 
 def covering(positions: list[int], radius: int) -> list[tuple[int, list[int]]]:

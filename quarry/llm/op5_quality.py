@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import buffers, cut, held_out, pieces, rows_of, table, windows
+from .common import arrow_batches, buffers, cut, held_out, pieces, rows_of, table, windows
 
 THRESHOLD = 0.3
 FEATURES = 384
@@ -106,7 +106,7 @@ def document_statistics(docs: DataFrame) -> DataFrame:
             flat = pa.array(x.reshape(-1), pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * len(NAMES), pa.int32()), flat)], names=["doc_id", "x"])
 
-    return rows.mapInArrow(each, f"doc_id {kind}, x array<double>")
+    return arrow_batches(rows).mapInArrow(each, f"doc_id {kind}, x array<double>")
 
 
 @dataclass

@@ -23,10 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import buffers, held_out, pieces, rows_of, table, windows
+from .common import arrow_batches, buffers, held_out, pieces, rows_of, table, windows
 
 SIZE = 128  # symbols
 STEP = 1 << 20  # bytes worked on at once
+HELD = 8  # languages whose counts a task holds at once
 LETTER = r"\p{L}"
 #: Code bits a symbol beyond which a text is no text of any learned language.
 MAX_BITS = 6.0
@@ -66,17 +67,26 @@ def count_contexts(rows: DataFrame) -> DataFrame:
     """(lang, code, n) over all rows of columns lang and text."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[str, np.ndarray] = {}
+
+        def told() -> Iterator[pa.RecordBatch]:
+            while totals:
+                lang, total = totals.popitem()
+                code = np.nonzero(total)[0]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(code), pa.string()), pa.array(code, pa.int32()), pa.array(total[code], pa.int64())], names=["lang", "code", "n"])
+
         for batch in batches:
             langs = np.array(batch.column(0).to_pylist(), dtype=object)
             for lang in sorted(set(langs)):
                 raw, at = buffers(batch.column(1).filter(pa.array(langs == lang)))
-                total = np.zeros(SIZE**3, np.int64)
+                if lang not in totals and len(totals) >= HELD:
+                    yield from told()
+                total = totals.setdefault(lang, np.zeros(SIZE**3, np.int64))
                 for a, b in windows(len(raw), 4 * STEP):
                     total += np.bincount(codes_of(raw, at, a, b), minlength=SIZE**3)
-                code = np.nonzero(total)[0]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(code), pa.string()), pa.array(code, pa.int32()), pa.array(total[code], pa.int64())], names=["lang", "code", "n"])
+        yield from told()
 
-    return rows.select("lang", "text").mapInArrow(each, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    return arrow_batches(rows.select("lang", "text")).mapInArrow(each, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
 
 
 @dataclass
@@ -157,7 +167,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Dat
             columns = [*batch.columns[:width], pa.array(names, pa.string()), pa.array(np.where(known, score, 0.0)), pa.array(bits)]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return rows.mapInArrow(each, schema)
+    return arrow_batches(rows).mapInArrow(each, schema)
 
 
 def training_rows(docs: DataFrame) -> DataFrame:

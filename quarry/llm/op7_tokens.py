@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import buffers, table
+from .common import arrow_batches, buffers, table
 
 LIMIT = 512
 CHUNK = 128  # code points in a chunk
@@ -292,7 +292,7 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
                 a = b
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at)), pa.array(np.concatenate(n) if n else np.zeros(0, np.int64))], names=schema.names)
 
-    return rows.mapInArrow(each, schema)
+    return arrow_batches(rows).mapInArrow(each, schema)
 
 
 def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

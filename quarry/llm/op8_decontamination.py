@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import arrow_batches, table
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.5  # of an item's score with itself
@@ -197,7 +197,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "item_id", thr
                 cols = list(zip(*out, strict=True)) if out else [[]] * 5
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(cols[0], pa.int64())), pa.array([own.ids[k] for k in cols[1]], pa.int64()), *(pa.array(c, pa.float64()) for c in cols[2:])], names=names)
 
-        part = rows.mapInArrow(each, schema)
+        part = arrow_batches(rows).mapInArrow(each, schema)
         found = part if found is None else found.unionByName(part)
     return found if found is not None else docs.sparkSession.createDataFrame([], schema)
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import arrow_batches, cut, table
 
 # The kinds in order, the base patterns and their least lengths.
 KINDS = ("assign", "access", "hex", "bearer", "jwt", "pem", "prefixed", "mixed")
@@ -107,7 +107,7 @@ def scan(docs: DataFrame, repo_col: str, owner_col: str) -> DataFrame:
                 added.append(told(added_spans(t, own)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(base, pa.list_(struct)), pa.array(added, pa.list_(struct))], names=["doc_id", "repo", "owner", "base", "added"])
 
-    return rows.mapInArrow(each, f"doc_id {kind}, repo string, owner string, base array<{SPAN}>, added array<{SPAN}>")
+    return arrow_batches(rows).mapInArrow(each, f"doc_id {kind}, repo string, owner string, base array<{SPAN}>, added array<{SPAN}>")
 
 
 def ownership(found: DataFrame) -> DataFrame:
