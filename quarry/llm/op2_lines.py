@@ -137,6 +137,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, min_block_words: in
     lines = cut(lines_of(docs, min_words))
     first = lines.groupBy("h").agg(F.min(F.struct("doc", "th", "k", "gb", "ga")).alias("f"), F.max(F.struct("doc", "th")).alias("l"))
     first = first.where((F.col("f.doc") != F.col("l.doc")) | (F.col("f.th") != F.col("l.th"))).select("h", F.col("f.doc").alias("fd"), F.col("f.th").alias("ft"), F.col("f.k").alias("fk"), F.col("f.gb").alias("fgb"), F.col("f.ga").alias("fga"))
+    first = cut(first)  # so both sides of the join are shuffled and a line that very many documents hold can be split
     shared = lines.join(first, "h").where((F.col("doc") != F.col("fd")) | (F.col("th") != F.col("ft")))
     member = F.struct(F.col("fd"), F.col("ft"), F.col("k"), F.col("fk"), (F.col("gb") == F.col("fgb")).alias("sb"), (F.col("ga") == F.col("fga")).alias("sa"), F.col("w"))
     grouped = shared.groupBy(F.col("doc").alias("_doc"), F.col("th").alias("_th")).agg(F.collect_set(member).alias("shared"))  # at most the document's own lines
