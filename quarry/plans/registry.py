@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from quarry.plans import answers, library, retrieval, texts
+
+PARTS = (retrieval, texts, answers, library)
+
 
 def flagship(spark, sf_dir):
-    return queries()["bm25_topk"](spark, sf_dir)
+    return retrieval.flagship(spark, sf_dir)
 
 
 def queries() -> dict:
-    return {}
+    return {name: f for part in PARTS for name, f in part.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for part in PARTS for name, sql in part.SQL.items()}
