@@ -5,8 +5,11 @@ A document's sentences are one ordered array, so packing is a fold inside a row:
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -111,11 +114,17 @@ def chunk(docs: DataFrame, limit: int = SETTINGS.chunk_tokens, overlap: int = SE
     if limit <= overlap:
         raise ValueError("the chunk size must be over the overlap")
 
-    @F.pandas_udf(f"array<{CHUNK}>")
-    def pack(u: pd.Series, s: pd.Series) -> pd.Series:
-        return pd.Series([chunks_of(list(own) if own is not None else [], limit, overlap, least, None if given is None else list(given)) for own, given in zip(u, s, strict=True)])
+    given = docs.withColumn("_shifts", F.col(shifts) if shifts else F.lit(None).cast("array<boolean>"))
+    schema = docs.withColumn("chunks", F.lit(None).cast(f"array<{CHUNK}>")).schema
+    width, at = len(docs.columns), docs.columns.index("units")
+    kind = pa.list_(pa.struct([(n, pa.string() if n in ("text", "section", "kind") else pa.int32()) for n in (x.split(":")[0] for x in CHUNK[7:-1].split(","))]))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [chunks_of(u.as_py() or [], limit, overlap, least, s.as_py()) for u, s in zip(batch.column(at), batch.column(width), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(made, kind)], names=[*batch.schema.names[:width], "chunks"])
 
-    return docs.withColumn("chunks", pack("units", F.col(shifts) if shifts else F.lit(None).cast("array<boolean>")))
+    return given.mapInArrow(pack, schema)
 
 
 def groups(docs: DataFrame, limit: int = SETTINGS.chunk_tokens) -> DataFrame:
