@@ -59,17 +59,18 @@ def majority(hashes: list[int]) -> int:
 
 
 def fingerprints(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, fp): the fingerprint of every whole text as a signed long."""
-    base = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias("text"))
+    """(id_col, th, fp): a hash of every whole text and its fingerprint, as signed longs."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    base = docs.select(F.col(id_col).cast("long").alias(id_col), F.xxhash64(text).alias("th"), text.alias("text"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, at = buffers(batch.column(1))
+            raw, at = buffers(batch.column(2))
             data, at = raw.tobytes(), at.tolist()
             fps = np.array([majority(shingle_hashes(data[a:b], size)) for a, b in zip(at, at[1:])], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=[id_col, "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.int64())], names=[id_col, "th", "fp"])
 
-    return arrow_batches(base).mapInArrow(each, f"{id_col} long, fp long")
+    return arrow_batches(base).mapInArrow(each, f"{id_col} long, th long, fp long")
 
 
 def covering(positions: list[int], radius: int) -> list[tuple[int, list[int]]]:
@@ -151,15 +152,46 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def dedup(docs: DataFrame, radius: int = 3, size: int = 5, similarity: float = 0.8) -> DataFrame:
+def shingle_sets(rows: DataFrame, size: int) -> DataFrame:
+    """(th, s): the distinct hashes of the shingles of rows' texts (columns th and text)."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [(np.unique(np.array(shingle_hashes((t.as_py() or "").encode(), size), np.uint64))).view(np.int64) for t in batch.column(1)]
+            ends = np.cumsum([0, *map(len, sets)])
+            flat = pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], names=["th", "s"])
+
+    return arrow_batches(rows.select("th", "text")).mapInArrow(each, "th long, s array<long>")
+
+
+def dedup(docs: DataFrame, radius: int = 4, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs without the near-duplicates: of each group the row of the smallest id stays.
 
-    Groups join texts whose fingerprints (of size-word shingles) lie within the radius and whose likeness
-    1 - distance/64 is at least the similarity. Rows that repeat an id are one document; rows without an id all stay.
+    Texts are fingerprinted by their words, so that a few edits move few bits; the covering finds the fingerprints
+    within the radius, and a link counts if the texts' shingles of size words have a Jaccard similarity of at least
+    similarity (two texts without a word are alike). Equal texts are one node. A group's texts are each compared with
+    the smallest fingerprints that they meet, never all with all. Rows that repeat an id are one document; an id stays if one of its texts
+    does; rows without an id all stay.
     """
-    radius = min(radius, int(64 * (1 - similarity)))
-    keyed = near_groups(docs, radius, size).select("doc_id", "component_id")
-    keep = keyed.where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    kept = docs.join(keep, docs["doc_id"].eqNullSafe(keep["_kept"]), "left_semi")
-    kept = kept.withColumn("_row", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()))
-    return kept.dropDuplicates(["doc_id", "_row"]).drop("_row")
+    prints = cut(fingerprints(docs, 1))
+    texts = cut(prints.where("doc_id is not null").groupBy("th").agg(F.min("doc_id").alias("id"), F.min("fp").alias("fp")))
+    heads = texts.groupBy("fp").agg(F.min(F.struct("id", "th"))["th"].alias("head"))
+    twins = texts.join(heads, "fp").where("th <> head").select(F.col("th").alias("x"), F.col("head").alias("y"))
+    near = links(texts, radius)
+    near = near.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b").select("x", "y")
+    pairs = cut(twins.unionByName(near).distinct())
+    asked = pairs.select(F.col("x").alias("th")).unionByName(pairs.select(F.col("y").alias("th"))).distinct().join(texts, "th").select("id", F.col("th").alias("_th"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    rows = rows.join(asked, (F.col("doc_id") == F.col("id")) & (F.col("th") == F.col("_th")), "left_semi").dropDuplicates(["doc_id", "th"])
+    sets = cut(shingle_sets(rows, size))
+    both = pairs.join(sets.select(F.col("th").alias("x"), F.col("s").alias("sx")), "x").join(sets.select(F.col("th").alias("y"), F.col("s").alias("sy")), "y")
+    shared = F.size(F.array_intersect("sx", "sy"))
+    alike = (F.size("sx") + F.size("sy") == 0) | (shared >= similarity * (F.size("sx") + F.size("sy") - shared))
+    tree = components(both.where(alike).select(F.col("x").alias("a"), F.col("y").alias("b")))
+    groups = texts.join(tree.withColumnRenamed("node", "th"), "th", "left").groupBy(F.coalesce("root", "th").alias("group")).agg(F.min("id").alias("_kept"))
+    keep = groups.select("_kept").distinct()
+    kept = docs.join(keep, docs["doc_id"] == keep["_kept"], "left_semi")
+    kept = kept.dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where("doc_id is null"))

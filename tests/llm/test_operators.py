@@ -455,3 +455,18 @@ def test_pipeline(spark, tmp_path):
 def test_names():
     names = list(queries.queries())
     assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)] + ["pipeline"]
+
+
+def test_near_copies_go(spark):
+    r = random.Random(6)
+    base = prose(1, 150).split()
+
+    def edited(n):
+        w = list(base)
+        for i in r.sample(range(len(w)), n):
+            w[i] = "changed" + str(i)
+        return " ".join(w)
+
+    texts = [" ".join(base), edited(1), edited(2), edited(3), " ".join(base), edited(60), prose(2, 150), prose(3, 5), prose(3, 5), " ".join(reversed(base))]
+    got = sorted(x["doc_id"] for x in op4_simhash.dedup(docs_of(spark, texts)).collect())
+    assert got == [0, 5, 6, 7, 9]
