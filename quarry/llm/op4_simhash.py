@@ -29,7 +29,8 @@ from .common import arrow_batches, buffers, cut, table
 from .components import components
 
 SEED = 42
-LIGHT = 256
+LIGHT = 256  # fingerprints compared in full in one row
+CROWD = 2048  # the same for fingerprints of words, which crowd by language
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -105,10 +106,11 @@ def _pairs(radius: int):
     return linked
 
 
-def links(prints: DataFrame, radius: int = 2) -> DataFrame:
+def links(prints: DataFrame, radius: int = 2, light: int | None = None) -> DataFrame:
     """(a, b): links between distinct fingerprints that connect exactly those within the radius, directly or in steps."""
     rows = prints.select("fp").distinct().withColumn("path", F.lit("")).withColumn("fixed", F.lit(0).cast("long"))
     free = {"": list(range(64))}
+    light = LIGHT if light is None else light
     linked, found = _pairs(radius), None
     while free:
         last = all(len(p) <= 8 for p in free.values())
@@ -121,14 +123,14 @@ def links(prints: DataFrame, radius: int = 2) -> DataFrame:
         keyed = keyed.withColumn("key", F.col("fp").bitwiseAND(F.col("fixed")))
         sizes = keyed.groupBy("path", "key").agg(F.count("*").alias("n")).where("n > 1")
         shared = keyed.join(sizes, ["path", "key"])
-        light = shared if last else shared.where(F.col("n") <= LIGHT)
-        now = light.groupBy("path", "key").agg(F.sort_array(F.collect_list("fp")).alias("members"))
+        whole = shared if last else shared.where(F.col("n") <= light)
+        now = whole.groupBy("path", "key").agg(F.sort_array(F.collect_list("fp")).alias("members"))
         now = now.select(F.explode(linked("members")).alias("e")).select("e.a", "e.b")
         now = cut(now.distinct())
         found = now if found is None else found.unionByName(now)
         if last:
             break
-        rows = cut(shared.where(F.col("n") > LIGHT).select("fp", "path", "fixed").distinct())
+        rows = cut(shared.where(F.col("n") > light).select("fp", "path", "fixed").distinct())
         seen = {r[0] for r in rows.select("path").distinct().collect()}  # tables in use: bounded by the covering
         if not seen:
             break
@@ -178,7 +180,7 @@ def dedup(docs: DataFrame, radius: int = 4, size: int = 5, similarity: float = 0
     texts = cut(prints.where("doc_id is not null").groupBy("th").agg(F.min("doc_id").alias("id"), F.min("fp").alias("fp")))
     heads = texts.groupBy("fp").agg(F.min(F.struct("id", "th"))["th"].alias("head"))
     twins = texts.join(heads, "fp").where("th <> head").select(F.col("th").alias("x"), F.col("head").alias("y"))
-    near = links(texts, radius)
+    near = links(texts, radius, CROWD)
     near = near.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b").select("x", "y")
     pairs = cut(twins.unionByName(near).distinct())
     asked = pairs.select(F.col("x").alias("th")).unionByName(pairs.select(F.col("y").alias("th"))).distinct().join(texts, "th").select("id", F.col("th").alias("_th"))
