@@ -30,13 +30,18 @@ from .components import components
 
 SEED = 42
 LIGHT = 256  # fingerprints compared in full in one row
-CROWD = 2048  # the same for fingerprints of words, which crowd by language
+CONTENT = 5  # bytes of a word that tells texts apart; shorter ones crowd the fingerprints of a language
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def shingle_hashes(text: bytes, size: int) -> list[int]:
-    """XXH64 of each shingle of a text; A-Z are lower-cased, words are separated by the six ASCII white spaces."""
+def shingle_hashes(text: bytes, size: int, least: int = 0) -> list[int]:
+    """XXH64 of each shingle of a text; A-Z are lower-cased, words are separated by the six ASCII white spaces.
+
+    Words of under least bytes don't count, unless there are no others.
+    """
     words = text.translate(LOWER).split()  # bytes.split() splits at exactly x20 and x09-x0D
+    if least:
+        words = [w for w in words if len(w) >= least] or words
     if not words:
         return []
     digest = xxhash.xxh64_intdigest
@@ -59,7 +64,7 @@ def majority(hashes: list[int]) -> int:
     return int.from_bytes(np.packbits(2 * votes > len(hashes), bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_col: str = "text", least: int = 0) -> DataFrame:
     """(id_col, th, fp): a hash of every whole text and its fingerprint, as signed longs."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     base = docs.select(F.col(id_col).cast("long").alias(id_col), F.xxhash64(text).alias("th"), text.alias("text"))
@@ -68,7 +73,7 @@ def fingerprints(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_co
         for batch in batches:
             raw, at = buffers(batch.column(2))
             data, at = raw.tobytes(), at.tolist()
-            fps = np.array([majority(shingle_hashes(data[a:b], size)) for a, b in zip(at, at[1:])], dtype=np.uint64).view(np.int64)
+            fps = np.array([majority(shingle_hashes(data[a:b], size, least)) for a, b in zip(at, at[1:])], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.int64())], names=[id_col, "th", "fp"])
 
     return arrow_batches(base).mapInArrow(each, f"{id_col} long, th long, fp long")
@@ -170,17 +175,17 @@ def shingle_sets(rows: DataFrame, size: int) -> DataFrame:
 def dedup(docs: DataFrame, radius: int = 4, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs without the near-duplicates: of each group the row of the smallest id stays.
 
-    Texts are fingerprinted by their words, so that a few edits move few bits; the covering finds the fingerprints
+    Texts are fingerprinted by their words of at least CONTENT bytes, so that a few edits move few bits; the covering finds the fingerprints
     within the radius, and a link counts if the texts' shingles of size words have a Jaccard similarity of at least
     similarity (two texts without a word are alike). Equal texts are one node. A group's texts are each compared with
     the smallest fingerprints that they meet, never all with all. Rows that repeat an id are one document; an id stays if one of its texts
     does; rows without an id all stay.
     """
-    prints = cut(fingerprints(docs, 1))
+    prints = cut(fingerprints(docs, 1, least=CONTENT))
     texts = cut(prints.where("doc_id is not null").groupBy("th").agg(F.min("doc_id").alias("id"), F.min("fp").alias("fp")))
     heads = texts.groupBy("fp").agg(F.min(F.struct("id", "th"))["th"].alias("head"))
     twins = texts.join(heads, "fp").where("th <> head").select(F.col("th").alias("x"), F.col("head").alias("y"))
-    near = links(texts, radius, CROWD)
+    near = links(texts, radius)
     near = near.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b").select("x", "y")
     pairs = cut(twins.unionByName(near).distinct())
     asked = pairs.select(F.col("x").alias("th")).unionByName(pairs.select(F.col("y").alias("th"))).distinct().join(texts, "th").select("id", F.col("th").alias("_th"))
