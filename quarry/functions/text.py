@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.config import ABBREVIATIONS, FUNCTION_WORDS, SETTINGS, STOPWORDS
 
+# Fixed values here and below: patterns by which results must agree.
 TOKEN = "([a-z0-9][a-z0-9._/-]*)"
 CITATION = r"\[S(\d+)\]"
 
@@ -109,6 +110,7 @@ def uncited(c: Column) -> Column:
     return F.regexp_replace(c, CITATION, "")
 
 
+# Fixed value: other ways of citing.
 LOOSE = r"[\[(]\s*(?:S|Source|source|SOURCE)\s*\.?\s*(?:\d+(?:\s*[,;&]\s*(?:S|Source|source)?\s*\.?\s*\d+)*)\s*[\])]"
 
 
@@ -165,6 +167,7 @@ def lexical_support(claim: Column, evidence: Column) -> Column:
 
 # --- questions ------------------------------------------------------------------------------------------------------
 
+# Patterns of messages that need no search, and of references to earlier turns.
 GREETING = (
     r"(?i)^\s*(hi|hey+|hello+|yo|sup|howdy|hola|namaste|good\s+(morning|afternoon|evening|day)|how\s+(are|r)\s+(you|u)|what'?s\s+up|thanks?|thank\s+you|thx|ty|ok(ay)?|cool|nice|great|"
     r"bye|goodbye|see\s+ya|who\s+are\s+you|what\s+can\s+you\s+do|help)\b(\s+(there|all|again|team|guys|folks|everyone|mate|buddy|bot|so\s+much))?[\s!.?,]*$"

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quarry.config import SETTINGS
 from quarry.functions.text import clip, strip, token_count
 
+# Fixed value: how an extractive answer begins.
 EXTRACT_HEAD = "The answer model is temporarily unavailable, so here are the most relevant passages from your documents, highest match first:"
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.config import SETTINGS
+from quarry.functions.text import found_json
 from quarry.functions.vectors import hashed
 
 ROLES = ("query", "passage", "similarity")
@@ -75,3 +76,41 @@ def retry_after(error: Column) -> Column:
     """Seconds that a message asks to wait: 'try again in 3.66s', '450ms'; null without one."""
     number = F.regexp_extract(error, r"(?i)try again in\s*([\d.]+)\s*(ms|s)\b", 1).try_cast("double")
     return F.when(F.regexp_extract(error, r"(?i)try again in\s*([\d.]+)\s*(ms|s)\b", 2).ilike("ms"), number / 1000).otherwise(number)
+
+
+# --- replies of models ----------------------------------------------------------------------------------------------
+
+
+def _entries(reply: Column, name: str) -> Column:
+    """The entries of a list in the JSON object of a reply; empty if there is none."""
+    v = F.try_parse_json(found_json(reply))
+    return F.coalesce(F.try_variant_get(v, f"$.{name}", "array<variant>"), F.array().cast("array<variant>"))
+
+
+def listwise_scores(reply: Column, candidates: Column) -> Column:
+    """Map from candidate (from 1) to score (0 to 1) of a reply {"scores": [{"id": 1, "score": 7}, ...]}."""
+    pair = F.transform(_entries(reply, "scores"), lambda e: F.struct(F.try_variant_get(e, "$.id", "int").alias("id"), F.try_variant_get(e, "$.score", "double").alias("s")))
+    good = F.filter(pair, lambda p: p["id"].between(1, candidates) & p["s"].isNotNull())
+    last = F.filter(good, lambda p, i: ~F.exists(F.slice(good, i + 2, F.size(good)), lambda x: x["id"] == p["id"]))
+    return F.map_from_entries(F.transform(last, lambda p: F.struct(p["id"], F.least(F.greatest(p["s"], F.lit(0.0)), F.lit(10.0)) / 10)))
+
+
+def claim_verdicts(reply: Column) -> Column:
+    """Array of (id, verdict) of a reply {"verdicts": [{"id": 1, "verdict": "partial"}, ...]}; unknown verdicts are left out."""
+    pair = F.transform(_entries(reply, "verdicts"), lambda e: F.struct(F.try_variant_get(e, "$.id", "int").alias("id"), F.lower(F.trim(F.try_variant_get(e, "$.verdict", "string"))).alias("verdict")))
+    return F.filter(pair, lambda p: p["id"].isNotNull() & p["verdict"].isin("supported", "partial", "unsupported"))
+
+
+def planned(question: Column, reply: Column) -> Column:
+    """The plan in a model's reply, or the plan without a model where there is none."""
+    v = F.try_parse_json(found_json(reply))
+    said = lambda name: F.trim(F.coalesce(F.try_variant_get(v, f"$.{name}", "string"), F.lit("")))
+    intent = F.when(F.lower(said("intent")).isin("document_qa", "chitchat", "meta"), F.lower(said("intent"))).otherwise("document_qa")
+    alone = F.when(said("standalone_question") != "", said("standalone_question")).otherwise(question)
+    asked = F.filter(F.transform(_entries(reply, "search_queries"), lambda e: F.trim(F.try_variant_get(e, "$", "string"))), lambda s: F.coalesce(s, F.lit("")) != "")
+    asked = F.when(F.size(asked) > 0, F.slice(asked, 1, SETTINGS.max_sub_queries)).otherwise(F.array(alone))
+    social = intent.isin("chitchat", "meta")
+    needs = F.when(social, False).otherwise(F.coalesce(F.try_variant_get(v, "$.needs_retrieval", "boolean"), F.lit(True)))
+    made = F.struct(intent.alias("intent"), alone.alias("standalone"), asked.alias("queries"), needs.alias("needs_retrieval"), F.substring(said("hypothetical_answer"), 1, SETTINGS.hyde_chars).alias("hyde"), F.lit("llm").alias("planner"))
+    none = F.struct(F.lit("document_qa").alias("intent"), question.alias("standalone"), F.array(question).alias("queries"), F.lit(True).alias("needs_retrieval"), F.lit("").alias("hyde"), F.lit("fallback").alias("planner"))
+    return F.when(v.isNull(), none).otherwise(made)

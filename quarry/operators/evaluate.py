@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import squeeze
 
-REFUSALS = ("could not find", "couldn't find", "not mentioned", "does not contain", "doesn't contain", "no information", "not available", "unable to find", "could not verify", "cannot find")
+# Phrases by which an answer counts as declined.
+REFUSALS = ("not contain", "no information", "could not find", "couldn't find", "does not mention", "not mentioned", "not specified", "no passage", "not provide", "unable to")
 
 
 def ranking(hits: DataFrame, relevant: DataFrame, questions: DataFrame) -> DataFrame:
@@ -26,7 +27,7 @@ def expected(answer: Column, needles: Column, every: bool = False) -> Column:
 
 
 def declined(answer: Column) -> Column:
-    said = F.lower(squeeze(answer))
+    said = F.lower(answer)
     return F.exists(F.array(*[F.lit(p) for p in REFUSALS]), lambda p: F.contains(said, p))
 
 

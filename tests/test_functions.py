@@ -154,3 +154,11 @@ def test_running_lines_go(spark):
     rep = parse.repeated_lines(lines, "doc", "page")
     assert [r["line"] for r in rep.collect()] == ["Page #"]
     assert parse.without_repeated(lines, rep, "doc").count() == 5
+
+
+def test_replies(spark):
+    df = spark.createDataFrame([('x {"scores": [{"id": 1, "score": 7}, {"id": "2", "score": 20}, {"id": 9, "score": 1}, 3]}', '{"verdicts": [{"id": 1, "verdict": " Partial "}, {"id": 2, "verdict": "maybe"}]}', '{"intent": "banana", "search_queries": ["a", " ", 5, "c", "d"]}', "none")], "a string, b string, c string, d string")
+    r = df.select(calls.listwise_scores(F.col("a"), F.lit(3)).alias("s"), calls.claim_verdicts(F.col("b")).alias("v"), calls.planned(F.lit("q"), F.col("c")).alias("p"), calls.planned(F.lit("q"), F.col("d")).alias("f")).first()
+    assert r["s"] == {1: 0.7, 2: 1.0} and [tuple(x) for x in r["v"]] == [(1, "partial")]
+    assert r["p"]["intent"] == "document_qa" and r["p"]["queries"] == ["a", "5", "c"] and r["p"]["needs_retrieval"] and r["p"]["standalone"] == "q"
+    assert r["f"]["planner"] == "fallback" and r["f"]["queries"] == ["q"]
