@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,7 +28,8 @@ def build(docs: DataFrame, chunk_id: str, text, stopwords: bool = True) -> Index
     """Documents without a token aren't in the index. Negative idf becomes epsilon times the mean idf of all terms."""
     listed = docs.select(F.col(chunk_id).alias("chunk_id"), tokens(text).alias("t")).where(F.size("t") > 0)
     post = listed.select("chunk_id", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("term", "chunk_id", "dl").agg(F.count("*").alias("tf"))
-    totals = listed.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avgdl"))
+    post = post.persist(StorageLevel.MEMORY_AND_DISK)  # read by every statistic and search; lost blocks are made again
+    totals = post.groupBy("chunk_id").agg(F.max("dl").alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     df = post.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(totals))
     raw = df.select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg((SETTINGS.bm25_epsilon * F.avg("raw")).alias("floor"))  # one row

@@ -16,7 +16,14 @@ def indexed():
 
 
 def load(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    found = spark.read.parquet(f"{d}/{name}.parquet")
+    return spread(found) if name == "documents" else found
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its files give fewer tasks than there are; a large table stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def index(spark, d):
