@@ -53,9 +53,19 @@ def shingle_hashes(text: bytes, size: int, least: int = 0) -> list[int]:
     return [digest(joined[a:b], SEED) for a, b in zip(starts[: len(words) - size + 1].tolist(), ends[size - 1 :].tolist(), strict=True)]
 
 
-def majority(hashes: list[int]) -> int:
+def rehashed(hashes: np.ndarray, kind: int) -> np.ndarray:
+    """Hashes as independent as under another seed for each kind (the finalizer of SplitMix64); kind 0 leaves them as they are."""
+    if not kind:
+        return hashes
+    h = hashes + np.uint64(kind * 0x9E3779B97F4A7C15 % 2**64)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+    return h ^ (h >> np.uint64(31))
+
+
+def majority(hashes: list[int] | np.ndarray) -> int:
     """The fingerprint: bits set in over half of the hashes; zero if there are none."""
-    if not hashes:
+    if not len(hashes):
         return 0
     h = np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8)
     votes = np.zeros(64, np.int64)
@@ -64,8 +74,9 @@ def majority(hashes: list[int]) -> int:
     return int.from_bytes(np.packbits(2 * votes > len(hashes), bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_col: str = "text", least: int = 0) -> DataFrame:
-    """(id_col, th, fp): a hash of every whole text and its fingerprint, as signed longs."""
+def fingerprints(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_col: str = "text", least: int = 0, kinds: int = 1) -> DataFrame:
+    """(id_col, th, fp): a hash of every whole text and its fingerprint, as signed longs; further kinds are fp1, fp2 and so on."""
+    names = ["fp", *(f"fp{k}" for k in range(1, kinds))]
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     base = docs.select(F.col(id_col).cast("long").alias(id_col), F.xxhash64(text).alias("th"), text.alias("text"))
 
@@ -73,10 +84,13 @@ def fingerprints(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_co
         for batch in batches:
             raw, at = buffers(batch.column(2))
             data, at = raw.tobytes(), at.tolist()
-            fps = np.array([majority(shingle_hashes(data[a:b], size, least)) for a, b in zip(at, at[1:])], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.int64())], names=[id_col, "th", "fp"])
+            fps = np.zeros((kinds, batch.num_rows), np.uint64)
+            for i, (a, b) in enumerate(zip(at, at[1:])):
+                hashes = np.array(shingle_hashes(data[a:b], size, least), np.uint64)
+                fps[:, i] = [majority(rehashed(hashes, k)) for k in range(kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(f.view(np.int64), pa.int64()) for f in fps)], names=[id_col, "th", *names])
 
-    return arrow_batches(base).mapInArrow(each, f"{id_col} long, th long, fp long")
+    return arrow_batches(base).mapInArrow(each, f"{id_col} long, th long, " + ", ".join(f"{n} long" for n in names))
 
 
 def covering(positions: list[int], radius: int) -> list[tuple[int, list[int]]]:
@@ -94,13 +108,27 @@ def _signed(mask: int) -> int:
     return mask - 2**64 if mask >> 63 else mask
 
 
-def _pairs(radius: int):
+def _pairs(radius: int, reach: int):
+    """Links of one bucket. Within the radius they connect all that is near; up to a longer reach, which only proposes pairs
+    to be verified, each member is linked with its nearest and with the smallest within the radius and within the reach."""
+
     @F.pandas_udf("array<struct<a:long,b:long>>")
     def linked(members: pd.Series) -> pd.Series:
         out = []
         for m in members:
             u = np.array(m, dtype=np.int64)
-            near = np.bitwise_count(u.view(np.uint64)[:, None] ^ u.view(np.uint64)[None, :]) <= radius
+            far = np.bitwise_count(u.view(np.uint64)[:, None] ^ u.view(np.uint64)[None, :])
+            if reach > radius:
+                y = np.arange(len(u))
+                apart = far.copy()
+                np.fill_diagonal(apart, 65)
+                y, x = np.tile(y, 3), np.concatenate((apart.argmin(axis=1), (far <= radius).argmax(axis=1), (far <= reach).argmax(axis=1)))
+                x, y = np.minimum(x, y), np.maximum(x, y)
+                keep = (x < y) & (far[x, y] <= reach)
+                ends = np.unique(np.stack((x[keep], y[keep]), axis=1), axis=0)
+                out.append([{"a": int(u[i]), "b": int(u[j])} for i, j in ends])
+                continue
+            near = far <= radius
             x, y = np.nonzero(np.triu(near, 1))
             # a link that two links through a smaller member already give is left out: the component stays the same
             first = np.argmax(near, axis=1)
@@ -111,36 +139,40 @@ def _pairs(radius: int):
     return linked
 
 
-def links(prints: DataFrame, radius: int = 2, light: int | None = None) -> DataFrame:
-    """(a, b): links between distinct fingerprints that connect exactly those within the radius, directly or in steps."""
-    rows = prints.select("fp").distinct().withColumn("path", F.lit("")).withColumn("fixed", F.lit(0).cast("long"))
-    free = {"": list(range(64))}
+def links(prints: DataFrame, radius: int = 2, light: int | None = None, reach: int | None = None, kinds: int = 0) -> DataFrame:
+    """(a, b): links between distinct fingerprints fp; with kinds, (kind, a, b) for fingerprints of one kind ("0", "1" and so on) each.
+
+    They connect exactly those within the radius, directly or in steps. With a longer reach they are proposals: beside
+    those within the radius, the pairs up to the reach that happen to meet, thinned out as _pairs says.
+    """
+    rows = prints.select((F.col("kind") if kinds else F.lit("0")).alias("path"), "fp").distinct()
+    free = {str(k): list(range(64)) for k in range(kinds or 1)}
+    fixed = dict.fromkeys(free, 0)
     light = LIGHT if light is None else light
-    linked, found = _pairs(radius), None
+    linked, found = _pairs(radius, reach or radius), None
     while free:
         last = all(len(p) <= 8 for p in free.values())
         plans = {path: covering(p, radius) for path, p in free.items()}
         choose = None
         for path, tables in plans.items():
-            made = F.array(*[F.struct(F.lit(f"{path}/{t}").alias("path"), (F.col("fixed").bitwiseOR(F.lit(_signed(mask)))).alias("fixed")) for t, (mask, _) in enumerate(tables)])
+            kept = [(path, fixed[path])] if last else [(f"{path}/{t}", fixed[path] | mask) for t, (mask, _) in enumerate(tables)]
+            made = F.array(*[F.struct(F.lit(name).alias("path"), F.col("fp").bitwiseAND(F.lit(_signed(mask))).alias("key")) for name, mask in kept])
             choose = made if choose is None else F.when(F.col("path") == path, made).otherwise(choose)
-        keyed = rows if last else rows.select("fp", F.explode(choose).alias("t")).select("fp", "t.path", "t.fixed")
-        keyed = keyed.withColumn("key", F.col("fp").bitwiseAND(F.col("fixed")))
+        keyed = rows.select("fp", F.explode(choose).alias("t")).select("fp", "t.path", "t.key")
         sizes = keyed.groupBy("path", "key").agg(F.count("*").alias("n")).where("n > 1")
         shared = keyed.join(sizes, ["path", "key"])
         whole = shared if last else shared.where(F.col("n") <= light)
         now = whole.groupBy("path", "key").agg(F.sort_array(F.collect_list("fp")).alias("members"))
-        now = now.select(F.explode(linked("members")).alias("e")).select("e.a", "e.b")
+        now = now.select(F.substring_index("path", "/", 1).alias("kind"), F.explode(linked("members")).alias("e")).select("kind", "e.a", "e.b")
         now = cut(now.distinct())
         found = now if found is None else found.unionByName(now)
         if last:
             break
-        rows = cut(shared.where(F.col("n") > light).select("fp", "path", "fixed").distinct())
+        rows = cut(shared.where(F.col("n") > light).select("fp", "path").distinct())
         seen = {r[0] for r in rows.select("path").distinct().collect()}  # tables in use: bounded by the covering
-        if not seen:
-            break
+        fixed = {f"{path}/{t}": fixed[path] | mask for path, tables in plans.items() for t, (mask, _) in enumerate(tables) if f"{path}/{t}" in seen}
         free = {f"{path}/{t}": left for path, tables in plans.items() for t, (_, left) in enumerate(tables) if f"{path}/{t}" in seen}
-    return found
+    return found if kinds else found.select("a", "b")
 
 
 def near_groups(docs: DataFrame, radius: int = 2, size: int = 3) -> DataFrame:
@@ -172,21 +204,26 @@ def shingle_sets(rows: DataFrame, size: int) -> DataFrame:
     return arrow_batches(rows.select("th", "text")).mapInArrow(each, "th long, s array<long>")
 
 
-def dedup(docs: DataFrame, radius: int = 4, size: int = 5, similarity: float = 0.8) -> DataFrame:
+def dedup(docs: DataFrame, radius: int = 4, size: int = 5, similarity: float = 0.8, kinds: int = 3, reach: int = 8) -> DataFrame:
     """docs without the near-duplicates: of each group the row of the smallest id stays.
 
-    Texts are fingerprinted by their words of at least CONTENT bytes, so that a few edits move few bits; the covering finds the fingerprints
-    within the radius, and a link counts if the texts' shingles of size words have a Jaccard similarity of at least
-    similarity (two texts without a word are alike). Equal texts are one node. A group's texts are each compared with
-    the smallest fingerprints that they meet, never all with all. Rows that repeat an id are one document; an id stays if one of its texts
-    does; rows without an id all stay.
+    Texts are fingerprinted by their words of at least CONTENT bytes, so that a few edits move few bits, under several
+    hash functions (kinds); the covering finds all fingerprints of a kind within the radius and many up to the reach,
+    and a link counts if the texts' shingles of size words have a Jaccard similarity of at least similarity (two texts
+    without a word are alike). Equal texts are one node. A group's texts are each compared with the nearest and the
+    smallest fingerprints that they meet, never all with all. Rows that repeat an id are one document; an id stays if
+    one of its texts does; rows without an id all stay.
     """
-    prints = cut(fingerprints(docs, 1, least=CONTENT))
-    texts = cut(prints.where("doc_id is not null").groupBy("th").agg(F.min("doc_id").alias("id"), F.min("fp").alias("fp")))
-    heads = texts.groupBy("fp").agg(F.min(F.struct("id", "th"))["th"].alias("head"))
-    twins = texts.join(heads, "fp").where("th <> head").select(F.col("th").alias("x"), F.col("head").alias("y"))
-    near = links(texts, radius)
-    near = near.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b").select("x", "y")
+    prints = cut(fingerprints(docs, 1, least=CONTENT, kinds=kinds))
+    texts = cut(prints.where("doc_id is not null").groupBy("th").agg(F.min("doc_id").alias("id"), *[F.min(c).alias(c) for c in prints.columns[2:]]))
+    each = F.posexplode(F.array(*prints.columns[2:])).alias("kind", "fp")
+    each = texts.select("th", "id", each).withColumn("kind", F.col("kind").cast("string"))
+    heads = cut(each.groupBy("kind", "fp").agg(F.min(F.struct("id", "th"))["th"].alias("head")))
+    twins = each.join(heads, ["kind", "fp"]).where("th <> head").select(F.col("th").alias("x"), F.col("head").alias("y"))
+    near = links(heads, radius, reach=reach, kinds=kinds)
+    near = near.join(heads.select("kind", F.col("fp").alias("a"), F.col("head").alias("x")), ["kind", "a"]).join(heads.select("kind", F.col("fp").alias("b"), F.col("head").alias("y")), ["kind", "b"])
+    near = near.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    twins = twins.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
     pairs = cut(twins.unionByName(near).distinct())
     asked = pairs.select(F.col("x").alias("th")).unionByName(pairs.select(F.col("y").alias("th"))).distinct().join(texts, "th").select("id", F.col("th").alias("_th"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))

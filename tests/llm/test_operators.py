@@ -470,3 +470,27 @@ def test_near_copies_go(spark):
     texts = [" ".join(base), edited(1), edited(2), edited(3), " ".join(base), edited(60), prose(2, 150), prose(3, 5), prose(3, 5), " ".join(reversed(base))]
     got = sorted(x["doc_id"] for x in op4_simhash.dedup(docs_of(spark, texts)).collect())
     assert got == [0, 5, 6, 7, 9]
+
+
+def test_near_copies_of_many_texts(spark):
+    """Against all pairs: random edits up to a similarity of 0.8; nothing below it goes, nearly all above it do."""
+    r = random.Random(8)
+    texts = []
+    for n in range(120):
+        w = prose(3000 + n, r.randint(80, 300)).split()
+        texts.append(" ".join(w))
+        for i in r.sample(range(len(w)), max(1, len(w) // r.randint(50, 100))):
+            w[i] = "edited" + str(i)
+        texts.append(" ".join(w))
+    sets = [set(op4_simhash.shingle_hashes(s.encode(), 5)) for s in texts]
+    alike = {b for a in range(0, 240, 2) for b in [a + 1] if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    gone = set(range(240)) - {x["doc_id"] for x in op4_simhash.dedup(docs_of(spark, texts)).collect()}
+    assert len(alike) > 60 and gone <= alike and len(gone) >= 0.95 * len(alike)
+
+
+def test_proposals_pass_over_a_near_stranger(spark):
+    """A smaller fingerprint within the reach of two near ones doesn't hide their link."""
+    stranger, b, c = 0, 0b11111, 0b1111111
+    rows = spark.createDataFrame([("1", f) for f in (stranger, b, c)] + [("0", b)], "kind string, fp long")
+    got = {tuple(x) for x in op4_simhash.links(rows, 4, reach=8, kinds=2).collect()}
+    assert ("1", b, c) in got and all(k == "1" and (x ^ y).bit_count() <= 8 for k, x, y in got)
