@@ -139,14 +139,14 @@ def _pairs(radius: int, reach: int):
     return linked
 
 
-def links(prints: DataFrame, radius: int = 2, light: int | None = None, reach: int | None = None, kinds: int = 0) -> DataFrame:
-    """(a, b): links between distinct fingerprints fp; with kinds, (kind, a, b) for fingerprints of one kind ("0", "1" and so on) each.
+def links(prints: DataFrame, radius: int = 2, light: int | None = None, reach: int | None = None) -> DataFrame:
+    """(a, b): links between distinct fingerprints.
 
     They connect exactly those within the radius, directly or in steps. With a longer reach they are proposals: beside
     those within the radius, the pairs up to the reach that happen to meet, thinned out as _pairs says.
     """
-    rows = prints.select((F.col("kind") if kinds else F.lit("0")).alias("path"), "fp").distinct()
-    free = {str(k): list(range(64)) for k in range(kinds or 1)}
+    rows = prints.select("fp").distinct().withColumn("path", F.lit(""))
+    free = {"": list(range(64))}
     fixed = dict.fromkeys(free, 0)
     light = LIGHT if light is None else light
     linked, found = _pairs(radius, reach or radius), None
@@ -163,7 +163,7 @@ def links(prints: DataFrame, radius: int = 2, light: int | None = None, reach: i
         shared = keyed.join(sizes, ["path", "key"])
         whole = shared if last else shared.where(F.col("n") <= light)
         now = whole.groupBy("path", "key").agg(F.sort_array(F.collect_list("fp")).alias("members"))
-        now = now.select(F.substring_index("path", "/", 1).alias("kind"), F.explode(linked("members")).alias("e")).select("kind", "e.a", "e.b")
+        now = now.select(F.explode(linked("members")).alias("e")).select("e.a", "e.b")
         now = cut(now.distinct())
         found = now if found is None else found.unionByName(now)
         if last:
@@ -172,7 +172,7 @@ def links(prints: DataFrame, radius: int = 2, light: int | None = None, reach: i
         seen = {r[0] for r in rows.select("path").distinct().collect()}  # tables in use: bounded by the covering
         fixed = {f"{path}/{t}": fixed[path] | mask for path, tables in plans.items() for t, (mask, _) in enumerate(tables) if f"{path}/{t}" in seen}
         free = {f"{path}/{t}": left for path, tables in plans.items() for t, (_, left) in enumerate(tables) if f"{path}/{t}" in seen}
-    return found if kinds else found.select("a", "b")
+    return found
 
 
 def near_groups(docs: DataFrame, radius: int = 2, size: int = 3) -> DataFrame:
@@ -204,7 +204,7 @@ def shingle_sets(rows: DataFrame, size: int) -> DataFrame:
     return arrow_batches(rows.select("th", "text")).mapInArrow(each, "th long, s array<long>")
 
 
-def dedup(docs: DataFrame, radius: int = 4, size: int = 5, similarity: float = 0.8, kinds: int = 3, reach: int = 8) -> DataFrame:
+def dedup(docs: DataFrame, radius: int = 3, size: int = 5, similarity: float = 0.8, kinds: int = 4, reach: int = 8) -> DataFrame:
     """docs without the near-duplicates: of each group the row of the smallest id stays.
 
     Texts are fingerprinted by their words of at least CONTENT bytes, so that a few edits move few bits, under several
@@ -216,15 +216,15 @@ def dedup(docs: DataFrame, radius: int = 4, size: int = 5, similarity: float = 0
     """
     prints = cut(fingerprints(docs, 1, least=CONTENT, kinds=kinds))
     texts = cut(prints.where("doc_id is not null").groupBy("th").agg(F.min("doc_id").alias("id"), *[F.min(c).alias(c) for c in prints.columns[2:]]))
-    each = F.posexplode(F.array(*prints.columns[2:])).alias("kind", "fp")
-    each = texts.select("th", "id", each).withColumn("kind", F.col("kind").cast("string"))
-    heads = cut(each.groupBy("kind", "fp").agg(F.min(F.struct("id", "th"))["th"].alias("head")))
-    twins = each.join(heads, ["kind", "fp"]).where("th <> head").select(F.col("th").alias("x"), F.col("head").alias("y"))
-    near = links(heads, radius, reach=reach, kinds=kinds)
-    near = near.join(heads.select("kind", F.col("fp").alias("a"), F.col("head").alias("x")), ["kind", "a"]).join(heads.select("kind", F.col("fp").alias("b"), F.col("head").alias("y")), ["kind", "b"])
-    near = near.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-    twins = twins.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-    pairs = cut(twins.unionByName(near).distinct())
+    pairs = None
+    for fp in prints.columns[2:]:  # one kind after the other, so that the covering tables of one alone are in memory
+        heads = cut(texts.groupBy(F.col(fp).alias("fp")).agg(F.min(F.struct("id", "th"))["th"].alias("head")))
+        twins = texts.select("th", F.col(fp).alias("fp")).join(heads, "fp").where("th <> head").select(F.col("th").alias("x"), F.col("head").alias("y"))
+        near = links(heads, radius, reach=reach)
+        near = near.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b")
+        found = twins.unionByName(near.select("x", "y")).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+        pairs = found if pairs is None else pairs.unionByName(found)
+    pairs = cut(pairs.distinct())
     asked = pairs.select(F.col("x").alias("th")).unionByName(pairs.select(F.col("y").alias("th"))).distinct().join(texts, "th").select("id", F.col("th").alias("_th"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
