@@ -145,20 +145,31 @@ def links(prints: DataFrame, radius: int = 2, light: int | None = None, reach: i
     They connect exactly those within the radius, directly or in steps. With a longer reach they are proposals: beside
     those within the radius, the pairs up to the reach that happen to meet, thinned out as _pairs says.
     """
-    rows = prints.select("fp").distinct().withColumn("path", F.lit(""))
-    free = {"": list(range(64))}
-    fixed = dict.fromkeys(free, 0)
+    rows = prints.select("fp").distinct().withColumn("path", F.lit(0))
+    free, fixed, taken = {0: list(range(64))}, {0: 0}, 0  # by path, the number of a table: the bits it leaves out, the mask of the others
     light = LIGHT if light is None else light
     linked, found = _pairs(radius, reach or radius), None
     while free:
         last = all(len(p) <= 8 for p in free.values())
-        plans = {path: covering(p, radius) for path, p in free.items()}
+        if last:
+            masks, left, below = dict(fixed), dict(free), {path: [path] for path in free}
+        else:
+            masks, left, below = {}, {}, {}
+            for path, positions in free.items():
+                below[path] = []
+                for mask, out in covering(positions, radius):
+                    taken += 1
+                    masks[taken], left[taken] = fixed[path] | mask, out
+                    below[path].append(taken)
+        # constant arrays, so that exploding them makes no object a row
+        least = min(masks)
+        table_masks = F.array(*[F.lit(_signed(masks.get(t, 0))) for t in range(least, max(masks) + 1)])
         choose = None
-        for path, tables in plans.items():
-            kept = [(path, fixed[path])] if last else [(f"{path}/{t}", fixed[path] | mask) for t, (mask, _) in enumerate(tables)]
-            made = F.array(*[F.struct(F.lit(name).alias("path"), F.col("fp").bitwiseAND(F.lit(_signed(mask))).alias("key")) for name, mask in kept])
-            choose = made if choose is None else F.when(F.col("path") == path, made).otherwise(choose)
-        keyed = rows.select("fp", F.explode(choose).alias("t")).select("fp", "t.path", "t.key")
+        for path, tables in below.items():
+            own = F.array(*[F.lit(t) for t in tables])
+            choose = own if choose is None else F.when(F.col("path") == path, own).otherwise(choose)
+        keyed = rows.select("fp", F.explode(choose).alias("path"))
+        keyed = keyed.withColumn("key", F.col("fp").bitwiseAND(F.element_at(table_masks, F.col("path") - (least - 1))))
         sizes = keyed.groupBy("path", "key").agg(F.count("*").alias("n")).where("n > 1")
         shared = keyed.join(sizes, ["path", "key"])
         whole = shared if last else shared.where(F.col("n") <= light)
@@ -170,8 +181,7 @@ def links(prints: DataFrame, radius: int = 2, light: int | None = None, reach: i
             break
         rows = cut(shared.where(F.col("n") > light).select("fp", "path").distinct())
         seen = {r[0] for r in rows.select("path").distinct().collect()}  # tables in use: bounded by the covering
-        fixed = {f"{path}/{t}": fixed[path] | mask for path, tables in plans.items() for t, (mask, _) in enumerate(tables) if f"{path}/{t}" in seen}
-        free = {f"{path}/{t}": left for path, tables in plans.items() for t, (_, left) in enumerate(tables) if f"{path}/{t}" in seen}
+        free, fixed = {t: p for t, p in left.items() if t in seen}, {t: m for t, m in masks.items() if t in seen}
     return found
 
 
@@ -204,7 +214,7 @@ def shingle_sets(rows: DataFrame, size: int) -> DataFrame:
     return arrow_batches(rows.select("th", "text")).mapInArrow(each, "th long, s array<long>")
 
 
-def dedup(docs: DataFrame, radius: int = 3, size: int = 5, similarity: float = 0.8, kinds: int = 4, reach: int = 8) -> DataFrame:
+def dedup(docs: DataFrame, radius: int = 3, size: int = 5, similarity: float = 0.8, kinds: int = 3, reach: int = 8) -> DataFrame:
     """docs without the near-duplicates: of each group the row of the smallest id stays.
 
     Texts are fingerprinted by their words of at least CONTENT bytes, so that a few edits move few bits, under several
