@@ -19,7 +19,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -112,29 +111,34 @@ def _pairs(radius: int, reach: int):
     """Links of one bucket. Within the radius they connect all that is near; up to a longer reach, which only proposes pairs
     to be verified, each member is linked with its nearest and with the smallest within the radius and within the reach."""
 
-    @F.pandas_udf("array<struct<a:long,b:long>>")
-    def linked(members: pd.Series) -> pd.Series:
-        out = []
-        for m in members:
-            u = np.array(m, dtype=np.int64)
-            far = np.bitwise_count(u.view(np.uint64)[:, None] ^ u.view(np.uint64)[None, :])
-            if reach > radius:
-                y = np.arange(len(u))
-                apart = far.copy()
-                np.fill_diagonal(apart, 65)
-                y, x = np.tile(y, 3), np.concatenate((apart.argmin(axis=1), (far <= radius).argmax(axis=1), (far <= reach).argmax(axis=1)))
-                x, y = np.minimum(x, y), np.maximum(x, y)
-                keep = (x < y) & (far[x, y] <= reach)
-                ends = np.unique(np.stack((x[keep], y[keep]), axis=1), axis=0)
-                out.append([{"a": int(u[i]), "b": int(u[j])} for i, j in ends])
-                continue
-            near = far <= radius
-            x, y = np.nonzero(np.triu(near, 1))
-            # a link that two links through a smaller member already give is left out: the component stays the same
-            first = np.argmax(near, axis=1)
-            keep = (x == first[y]) | ~near[first[y], x]
-            out.append([{"a": int(u[i]), "b": int(u[j])} for i, j in zip(x[keep], y[keep], strict=True)])
-        return pd.Series(out)
+    def ends(u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        far = np.bitwise_count(u.view(np.uint64)[:, None] ^ u.view(np.uint64)[None, :])
+        if reach > radius:
+            first, near = (far <= reach).argmax(axis=1), (far <= radius).argmax(axis=1)
+            every = np.arange(len(u))
+            apart = far.copy()
+            np.fill_diagonal(apart, 65)
+            x, y = np.concatenate((apart.argmin(axis=1), near, first)), np.tile(every, 3)
+            keep = (x != y) & (far[x, y] <= reach)
+            return np.minimum(x, y)[keep], np.maximum(x, y)[keep]
+        near = far <= radius
+        x, y = np.nonzero(np.triu(near, 1))
+        # a link that two links through a smaller member already give is left out: the component stays the same
+        first = np.argmax(near, axis=1)
+        keep = (x == first[y]) | ~near[first[y], x]
+        return x[keep], y[keep]
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            members = batch.column(0)
+            at, fps = members.offsets.to_numpy(), members.values.to_numpy()
+            found = [np.zeros((0, 2), np.int64)]
+            for i, j in zip(at.tolist(), at[1:].tolist()):
+                u = fps[i:j]
+                x, y = ends(u)
+                found.append(np.stack((u[x], u[y]), axis=1))
+            flat = np.unique(np.concatenate(found), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], names=["a", "b"])
 
     return linked
 
@@ -174,8 +178,7 @@ def links(prints: DataFrame, radius: int = 2, light: int | None = None, reach: i
         shared = keyed.join(sizes, ["path", "key"])
         whole = shared if last else shared.where(F.col("n") <= light)
         now = whole.groupBy("path", "key").agg(F.sort_array(F.collect_list("fp")).alias("members"))
-        now = now.select(F.explode(linked("members")).alias("e")).select("e.a", "e.b")
-        now = cut(now.distinct())
+        now = cut(arrow_batches(now.select("members")).mapInArrow(linked, "a long, b long").distinct())
         found = now if found is None else found.unionByName(now)
         if last:
             break
