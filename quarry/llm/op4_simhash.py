@@ -16,6 +16,7 @@ no candidate for the smallest id, and a component of null ids alone has a null i
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +31,8 @@ from .components import components
 SEED = 42
 LIGHT = 256  # fingerprints compared in full in one row
 CONTENT = 5  # bytes of a word that tells texts apart; shorter ones crowd the fingerprints of a language
+SAMPLE, COMMON, MOST_COMMON = 16, 8, 100_000  # one text of so many is sampled; texts there that make a shingle common; the most that are listed
+BITS = 4096  # of a text, that rule out most pairs before their shingles are compared
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -217,15 +220,101 @@ def shingle_sets(rows: DataFrame, size: int) -> DataFrame:
     return arrow_batches(rows.select("th", "text")).mapInArrow(each, "th long, s array<long>")
 
 
+def alike(docs: DataFrame, texts: DataFrame, pairs: DataFrame, size: int, similarity: float) -> DataFrame:
+    """(a, b): the pairs (x, y) of texts whose shingles have a Jaccard similarity of at least similarity."""
+    asked = pairs.select(F.col("x").alias("th")).unionByName(pairs.select(F.col("y").alias("th"))).distinct().join(texts, "th").select("id", F.col("th").alias("_th"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    rows = rows.join(asked, (F.col("doc_id") == F.col("id")) & (F.col("th") == F.col("_th")), "left_semi").dropDuplicates(["doc_id", "th"])
+    sets = cut(shingle_sets(rows, size))
+    both = pairs.join(sets.select(F.col("th").alias("x"), F.col("s").alias("sx")), "x").join(sets.select(F.col("th").alias("y"), F.col("s").alias("sy")), "y")
+    shared = F.size(F.array_intersect("sx", "sy"))
+    near = (F.size("sx") + F.size("sy") == 0) | (shared >= similarity * (F.size("sx") + F.size("sy") - shared))
+    return cut(both.where(near).select(F.col("x").alias("a"), F.col("y").alias("b")))
+
+
+def prefixes(docs: DataFrame, size: int, similarity: float) -> DataFrame:
+    """(tok, th, n, bits): of each text's n shingles the first in one order for all texts, so many that two texts of at least
+    the similarity share one of them: a text has similarity * n shingles in common with the other, and all but fewer are here.
+
+    Any order does. Shingles that are common in a sample come last, so that few texts meet by a common passage.
+    A row a text without tok has its bits, each whether an odd number of shingles fall on it.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.where("doc_id is not null").select(F.xxhash64(text).alias("th"), text.alias("text"))
+    some = shingle_sets(rows.where(F.pmod("th", F.lit(SAMPLE)) == 0), size).select("th", F.explode("s").alias("tok")).distinct()
+    common = some.groupBy("tok").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON).orderBy(F.col("n").desc(), "tok").limit(MOST_COMMON).collect()
+    common = sorted((r[0], r[1]) for r in common)
+    known, often = np.array([c[0] for c in common], np.int64), np.array([c[1] for c in common], np.int64)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, counts = [np.zeros(0, np.int64)], []
+            ns, bits = [], []
+            for t in batch.column(1):
+                s = np.unique(np.array(shingle_hashes((t.as_py() or "").encode(), size), np.uint64)).view(np.int64)
+                ns.append(len(s))
+                bits.append(np.packbits((np.bincount((s & (BITS - 1)), minlength=BITS) & 1).astype(bool)).tobytes())
+                if not len(s):  # texts without a word are alike
+                    s = np.zeros(1, np.int64)
+                elif len(known):
+                    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+                    s = s[np.lexsort((s, np.where(known[at] == s, often[at], 0)))]
+                first = max(1, ns[-1] - math.ceil(similarity * ns[-1] - 1e-6) + 1)
+                found.append(s[:first])
+                counts.append(len(found[-1]))
+            at, n, toks = pa.array(np.repeat(np.arange(batch.num_rows), counts)), pa.array(np.array(ns, np.int32)), pa.array(np.concatenate(found))
+            yield pa.RecordBatch.from_arrays([toks, batch.column(0).take(at), n.take(at), pa.nulls(len(toks), pa.binary())], names=["tok", "th", "n", "bits"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(n), pa.int64()), batch.column(0), n, pa.array(bits, pa.binary())], names=["tok", "th", "n", "bits"])
+
+    return arrow_batches(rows).mapInArrow(each, "tok long, th long, n int, bits binary")
+
+
+def possible(pairs: DataFrame, bits: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (x, y) that may have the similarity: shingles that only one of two texts has are at least as many as bits that differ."""
+    both = pairs.join(bits.select(F.col("th").alias("x"), F.col("n").alias("nx"), F.col("bits").alias("bx")), "x").join(bits.select(F.col("th").alias("y"), F.col("n").alias("ny"), F.col("bits").alias("by")), "y")
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bx, by = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(-1, BITS // 64) for i in (4, 5))
+            apart = np.bitwise_count(bx ^ by).sum(axis=1, dtype=np.int64)
+            n = batch.column(2).to_numpy().astype(np.int64) + batch.column(3).to_numpy()
+            keep = pa.array(apart <= (1 - similarity) / (1 + similarity) * n + 1e-6)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["x", "y"])
+
+    return arrow_batches(both.select("x", "y", "nx", "ny", "bx", "by")).mapInArrow(each, "x long, y long")
+
+
+def unmet(docs: DataFrame, tree: DataFrame, size: int, similarity: float) -> DataFrame:
+    """(x, y): pairs of texts in different components of tree that share a shingle of their prefixes and whose bits allow
+    the similarity; among them are all such pairs of at least the similarity."""
+    found = cut(prefixes(docs, size, similarity))
+    tokens = found.where("tok is not null").select("tok", "th", "n")
+    shared = tokens.groupBy("tok").agg(F.min("th").alias("low"), F.max("th").alias("high")).where("low < high").select("tok")
+    rows = tokens.join(shared, "tok", "left_semi").distinct().join(tree.withColumnRenamed("node", "th"), "th", "left")
+    rows = cut(rows.select("tok", "th", "n", F.coalesce("root", "th").alias("root")))
+    mixed = rows.groupBy("tok").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("tok")
+    rows = cut(rows.join(mixed, "tok", "left_semi"))
+    # components meet before their texts do, so a group of near copies is never paired with itself
+    roots = cut(rows.select("tok", "root").distinct())
+    met = roots.withColumnRenamed("root", "ra").join(roots.withColumnRenamed("root", "rb"), "tok").where("ra < rb")
+    met = met.join(rows.select("tok", F.col("root").alias("ra"), F.col("th").alias("x"), F.col("n").alias("nx")), ["tok", "ra"])
+    met = met.join(rows.select("tok", F.col("root").alias("rb"), F.col("th").alias("y"), F.col("n").alias("ny")), ["tok", "rb"])
+    met = met.where(F.least("nx", "ny") >= similarity * F.greatest("nx", "ny") - 1e-6)
+    met = cut(met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
+    return possible(met, found.where("tok is null").dropDuplicates(["th"]), similarity)
+
+
 def dedup(docs: DataFrame, radius: int = 3, size: int = 5, similarity: float = 0.8, kinds: int = 3, reach: int = 8) -> DataFrame:
     """docs without the near-duplicates: of each group the row of the smallest id stays.
 
-    Texts are fingerprinted by their words of at least CONTENT bytes, so that a few edits move few bits, under several
-    hash functions (kinds); the covering finds all fingerprints of a kind within the radius and many up to the reach,
-    and a link counts if the texts' shingles of size words have a Jaccard similarity of at least similarity (two texts
-    without a word are alike). Equal texts are one node. A group's texts are each compared with the nearest and the
-    smallest fingerprints that they meet, never all with all. Rows that repeat an id are one document; an id stays if
-    one of its texts does; rows without an id all stay.
+    Texts are near if their shingles of size words have a Jaccard similarity of at least similarity (two texts without
+    a word are alike). Most links are found by fingerprints: of the words of at least CONTENT bytes, so that a few edits
+    move few bits, under several hash functions (kinds), where each text is compared with the nearest and the smallest
+    fingerprints that it meets. That leaves some out, so the groups so far are completed by the prefixes of the texts'
+    shingles, which every pair of the similarity shares: all pairs that meet there and aren't in one group yet are compared.
+    Equal texts are one node. Rows that repeat an id are one document; an id stays if one of its texts does; rows without
+    an id all stay.
     """
     prints = cut(fingerprints(docs, 1, least=CONTENT, kinds=kinds))
     texts = cut(prints.where("doc_id is not null").groupBy("th").agg(F.min("doc_id").alias("id"), *[F.min(c).alias(c) for c in prints.columns[2:]]))
@@ -238,15 +327,10 @@ def dedup(docs: DataFrame, radius: int = 3, size: int = 5, similarity: float = 0
         found = twins.unionByName(near.select("x", "y")).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
         pairs = found if pairs is None else pairs.unionByName(found)
     pairs = cut(pairs.distinct())
-    asked = pairs.select(F.col("x").alias("th")).unionByName(pairs.select(F.col("y").alias("th"))).distinct().join(texts, "th").select("id", F.col("th").alias("_th"))
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
-    rows = rows.join(asked, (F.col("doc_id") == F.col("id")) & (F.col("th") == F.col("_th")), "left_semi").dropDuplicates(["doc_id", "th"])
-    sets = cut(shingle_sets(rows, size))
-    both = pairs.join(sets.select(F.col("th").alias("x"), F.col("s").alias("sx")), "x").join(sets.select(F.col("th").alias("y"), F.col("s").alias("sy")), "y")
-    shared = F.size(F.array_intersect("sx", "sy"))
-    alike = (F.size("sx") + F.size("sy") == 0) | (shared >= similarity * (F.size("sx") + F.size("sy") - shared))
-    tree = components(both.where(alike).select(F.col("x").alias("a"), F.col("y").alias("b")))
+    sure = alike(docs, texts, pairs, size, similarity)
+    tree = cut(components(sure))
+    more = cut(unmet(docs, tree, size, similarity).join(pairs, ["x", "y"], "left_anti"))
+    tree = components(sure.unionByName(alike(docs, texts, more, size, similarity)))
     groups = texts.join(tree.withColumnRenamed("node", "th"), "th", "left").groupBy(F.coalesce("root", "th").alias("group")).agg(F.min("id").alias("_kept"))
     keep = groups.select("_kept").distinct()
     kept = docs.join(keep, docs["doc_id"] == keep["_kept"], "left_semi")

@@ -494,3 +494,35 @@ def test_proposals_pass_over_a_near_stranger(spark):
     rows = spark.createDataFrame([(f,) for f in (stranger, b, c)], "fp long")
     got = {tuple(x) for x in op4_simhash.links(rows, 4, reach=8).collect()}
     assert (b, c) in got and all((x ^ y).bit_count() <= 8 for x, y in got)
+
+
+def test_near_copies_under_one_fingerprint(spark):
+    """Texts with the fingerprint of their only long word: near copies go though the head of that fingerprint is unlike them."""
+    short = lambda seed: [w[:4] for w in prose(seed, 100).split()]
+    one, two = short(1), short(2)
+    near = [*two[:50], "abc", *two[51:]]
+    texts = [" ".join([*w, "fingerprint"]) for w in (one, two, near, short(3), [*near[:20], "abcd", *near[21:]])]
+    assert len({op4_simhash.majority(op4_simhash.shingle_hashes(s.encode(), 1, op4_simhash.CONTENT)) for s in texts}) == 1
+    assert sorted(x["doc_id"] for x in op4_simhash.dedup(docs_of(spark, texts)).collect()) == [0, 1, 3]
+
+
+@pytest.mark.parametrize("sample", [16, 1])
+def test_near_copies_against_all_pairs(spark, monkeypatch, sample):
+    """The groups are those of all pairs of the similarity, also where a passage is common to all texts."""
+    monkeypatch.setattr(op4_simhash, "SAMPLE", sample)
+    r = random.Random(9)
+    texts, passage = [], prose(77, 15)
+    for n in range(40):
+        w = prose(4000 + n, r.randint(30, 120)).split()
+        for _ in range(5):
+            texts.append(f"{' '.join(w)} {passage}")
+            w = list(w)
+            for i in r.sample(range(len(w)), max(1, len(w) // 50)):
+                w[i] = "edited" + str(r.randint(0, 99))
+    sets = [set(op4_simhash.shingle_hashes(s.encode(), 5)) for s in texts]
+    root = list(range(len(texts)))
+    for a, b in combinations(range(len(texts)), 2):
+        if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and root[a] != root[b]:
+            low, high = sorted((root[a], root[b]))
+            root = [low if x == high else x for x in root]
+    assert {x["doc_id"] for x in op4_simhash.dedup(docs_of(spark, texts)).collect()} == set(root)
