@@ -7,6 +7,12 @@ each of them one pair, never all pairs. Each pair is aligned by patience diff: t
 are in order in both. Aligned blocks of at least min_block_words words are deleted from the later document, with the
 shorter lines between them where these are equal too. The first holder keeps its lines.
 
+Short lines, and blocks that the first holders of their lines have in another order, are found by runs: from each
+non-empty line the shortest run of two lines or more with min_block_words words, forward and backward. A run goes if an
+earlier document holds it; any shared block of two lines and as many words is the union of such runs. A line's second
+and later occurrences in a document are runs of their own, so they go if an earlier document has the line once; so does
+a document of fewer words than a block, if an earlier one has the same lines and no others.
+
 Only hashes and positions meet in the alignment; texts are read once more to be rewritten.
 
 Defined cases: earlier means a smaller id, for equal ids a smaller hash of the text; null ids come last; rows equal in
@@ -56,26 +62,54 @@ def line_rows(text: str, min_words: int) -> list[tuple[int, int, int, int, int]]
     return out
 
 
+def run_rows(text: str, min_block_words: int, later_holders: bool) -> list[tuple[int, int, int]]:
+    """(first line, hash, last line) of each run: places among all lines of the text; empty lines don't count.
+
+    Runs of long lines alone and repeated lines are given for later_holders only; a repeated line has the hash that
+    line_rows gives to its first occurrence.
+    """
+    bare = [(i, s.split()) for i, s in enumerate(text.split("\n"))]
+    bare = [(i, " ".join(w), len(w)) for i, w in bare if w]
+    ends, each = np.cumsum([0, *(n for _, _, n in bare)]), np.arange(len(bare))
+    if 0 < ends[-1] < min_block_words:
+        return [(bare[0][0], _hash("whole", *(s for _, s, _ in bare)), bare[-1][0])]
+    to = np.maximum(each + 2, np.searchsorted(ends, ends[:-1] + min_block_words)).tolist()
+    start = np.minimum(each - 1, np.searchsorted(ends, ends[1:] - min_block_words, "right") - 1).tolist()
+    spans = {(k, b) for k, b in enumerate(to) if b <= len(bare)} | {(a, k + 1) for k, a in enumerate(start) if a >= 0}
+    if not later_holders:
+        spans = {(a, b) for a, b in spans if any(n < min_block_words for _, _, n in bare[a:b])}
+    out = [(bare[a][0], _hash("run", *(s for _, s, _ in bare[a:b])), bare[b - 1][0]) for a, b in sorted(spans)]
+    seen = set()
+    for i, s, n in bare if later_holders else []:
+        if n >= min_block_words:
+            if s in seen:
+                out.append((i, _hash(s, "1"), i))
+            seen.add(s)
+    return out
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).withColumn("_th", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
 
 
-def lines_of(docs: DataFrame, min_words: int) -> DataFrame:
+def lines_of(docs: DataFrame, min_words: int, min_block_words: int, later_holders: bool) -> DataFrame:
+    """The long lines, and the runs: these have their last line in the column to and their first in k; to is null for lines."""
     rows = keyed(docs).select("_doc", "_th", F.col("text").cast("string").alias("text")).where("text is not null")
-    names = ["doc", "th", "k", "h", "gb", "ga", "w"]
+    names = ["doc", "th", "k", "h", "gb", "ga", "w", "to"]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found, counts = [], []
             for t in batch.column(2):
-                own = line_rows(t.as_py(), min_words)
+                own = [(*line, None) for line in line_rows(t.as_py(), min_words)]
+                own += [(a, h, 0, 0, 0, b) for a, h, b in run_rows(t.as_py(), min_block_words, later_holders)]
                 found += own
                 counts.append(len(own))
             at = np.repeat(np.arange(batch.num_rows), counts)
-            cols = list(zip(*found, strict=True)) if found else [[]] * 5
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int32())], names=names)
+            cols = list(zip(*found, strict=True)) if found else [[]] * 6
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int32()), pa.array(cols[5], pa.int32())], names=names)
 
-    return arrow_batches(rows).mapInArrow(each, "doc long, th long, k int, h long, gb long, ga long, w int")
+    return arrow_batches(rows).mapInArrow(each, "doc long, th long, k int, h long, gb long, ga long, w int, to int")
 
 
 def patience(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -117,54 +151,60 @@ def deletions(shared: list[tuple[int, int, int, int, bool, bool, int]], min_bloc
     return sorted(lines), sorted(gaps)
 
 
-def cleaned(text: str, lines: set[int], gaps: set[int], min_words: int) -> str:
-    """The text without those long lines and gaps; ~k stands for the gap after line k, if k is the last."""
+def cleaned(text: str, lines: set[int], gaps: set[int], spans: list[tuple[int, int]], min_words: int) -> tuple[str, int]:
+    """The text without those long lines, gaps and runs, and how many non-empty lines went; ~k stands for the gap after line k, if k is the last."""
     every, long = split_lines(text, min_words)
     number = {i: k for k, (i, _) in enumerate(long)}
+    within = {i for a, b in spans for i in range(a, b + 1)}
     out, k = [], 0
     for i, s in enumerate(every):
         if i in number:
             k = number[i] + 1
-            if number[i] not in lines:
-                out.append(s)
-        elif not (k in gaps or k == len(long) and ~(k - 1) in gaps):
+            gone = number[i] in lines
+        else:
+            gone = k in gaps or k == len(long) and ~(k - 1) in gaps
+        if not (gone or i in within):
             out.append(s)
-    return "\n".join(out)
+    left, had = (sum(1 for s in own if s and not s.isspace()) for own in (out, every))
+    return "\n".join(out) if left else "", had - left
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, min_block_words: int = MIN_BLOCK_WORDS) -> DataFrame:
-    """docs with text rewritten and the column removed_lines, the number of long lines deleted."""
-    lines = cut(lines_of(docs, min_words))
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, min_block_words: int = MIN_BLOCK_WORDS, later_holders: bool = False) -> DataFrame:
+    """docs with text rewritten and the column removed_lines, the number of non-empty lines deleted.
+
+    With later_holders, blocks of long lines also go if only a later holder of the lines has them in that order.
+    """
+    lines = cut(lines_of(docs, min_words, min_block_words, later_holders))
     first = lines.groupBy("h").agg(F.min(F.struct("doc", "th", "k", "gb", "ga")).alias("f"), F.max(F.struct("doc", "th")).alias("l"))
     first = first.where((F.col("f.doc") != F.col("l.doc")) | (F.col("f.th") != F.col("l.th"))).select("h", F.col("f.doc").alias("fd"), F.col("f.th").alias("ft"), F.col("f.k").alias("fk"), F.col("f.gb").alias("fgb"), F.col("f.ga").alias("fga"))
     first = cut(first)  # so both sides of the join are shuffled and a line that very many documents hold can be split
     shared = lines.join(first, "h").where((F.col("doc") != F.col("fd")) | (F.col("th") != F.col("ft")))
     member = F.struct(F.col("fd"), F.col("ft"), F.col("k"), F.col("fk"), (F.col("gb") == F.col("fgb")).alias("sb"), (F.col("ga") == F.col("fga")).alias("sa"), F.col("w"))
-    grouped = shared.groupBy(F.col("doc").alias("_doc"), F.col("th").alias("_th")).agg(F.collect_set(member).alias("shared"))  # at most the document's own lines
+    run = F.struct(F.col("k"), F.col("to"))
+    grouped = shared.groupBy(F.col("doc").alias("_doc"), F.col("th").alias("_th")).agg(F.collect_set(F.when(F.col("to").isNull(), member)).alias("shared"), F.collect_set(F.when(F.col("to").isNotNull(), run)).alias("_spans"))  # at most the document's own lines
 
     @F.pandas_udf("struct<lines:array<int>,gaps:array<int>>")
     def chosen(shared: pd.Series) -> pd.DataFrame:
         found = [deletions([tuple(s.values()) for s in own], min_block_words) for own in shared]
         return pd.DataFrame({"lines": [f[0] for f in found], "gaps": [f[1] for f in found]})
 
-    marks = grouped.select("_doc", "_th", chosen("shared").alias("c")).select("_doc", "_th", "c.lines", "c.gaps").where(F.size("lines") > 0)
+    marks = grouped.select("_doc", "_th", chosen("shared").alias("c"), "_spans").select("_doc", "_th", "c.lines", "c.gaps", "_spans").where((F.size("lines") > 0) | (F.size("_spans") > 0))
     marks = marks.withColumnsRenamed({"lines": "_lines", "gaps": "_gaps"})
     kept = docs.columns
-    joined = keyed(docs).join(marks, ["_doc", "_th"], "left").select(*kept, "_lines", "_gaps")
+    joined = keyed(docs).join(marks, ["_doc", "_th"], "left").select(*kept, "_lines", "_gaps", "_spans")
     at = kept.index("text")
     schema = joined.select(*kept).withColumn("text", F.col("text").cast("string")).withColumn("removed_lines", F.lit(0)).schema
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marked, gaps = batch.column(len(kept)), batch.column(len(kept) + 1)
+            marked, gaps, spans = (batch.column(len(kept) + i) for i in range(3))
             texts, removed = batch.column(at).cast(pa.string()), np.zeros(batch.num_rows, np.int32)
             hit = np.nonzero(marked.is_valid().to_numpy(zero_copy_only=False))[0].tolist()
             if hit:
                 new = texts.to_pylist()
                 for i in hit:
-                    own = set(marked[i].as_py())
-                    removed[i] = len(own)
-                    new[i] = cleaned(new[i], own, set(gaps[i].as_py()), min_words)
+                    own = [(x["k"], x["to"]) for x in spans[i].as_py()]
+                    new[i], removed[i] = cleaned(new[i], set(marked[i].as_py()), set(gaps[i].as_py()), own, min_words)
                 texts = pa.array(new, pa.string())
             cols = list(batch.columns[: len(kept)])
             cols[at] = texts

@@ -526,3 +526,12 @@ def test_near_copies_against_all_pairs(spark, monkeypatch, sample):
             low, high = sorted((root[a], root[b]))
             root = [low if x == high else x for x in root]
     assert {x["doc_id"] for x in op4_simhash.dedup(docs_of(spark, texts)).collect()} == set(root)
+
+
+def test_short_lines_go_in_blocks(spark):
+    """Blocks of short lines, also without white space, and whole copies of few words; a short line alone stays."""
+    block, signs = "\n".join(prose(20 + i, 5) for i in range(12)), "\n".join(f"字{i}" * 9 for i in range(10))
+    texts = [f"{block}\n{prose(1, 20)}", f"own start\n{block}\n{prose(2, 20)}", signs, f"{signs}\nown end", "few words\nhere", "few  words\n\nhere\n", f"here\n{prose(3, 20)}"]
+    rows = {x["doc_id"]: x for x in op2_lines.dedup_lines(docs_of(spark, texts)).collect()}
+    assert [rows[i]["text"] for i in range(7)] == [texts[0], f"own start\n{prose(2, 20)}", texts[2], "own end", texts[4], "", texts[6]]
+    assert [rows[i]["removed_lines"] for i in range(7)] == [0, 12, 0, 10, 0, 2, 0]
