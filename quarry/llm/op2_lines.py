@@ -214,13 +214,13 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, min_block_words: in
 
 
 def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "removed_lines", F.char_length("text").cast("long").alias("n_chars"), "text")
+    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), later_holders=True).select("doc_id", "removed_lines", F.char_length("text").cast("long").alias("n_chars"), "text")
 
 
 def without_copied_lines(docs: DataFrame) -> DataFrame:
     """docs with their texts rewritten, without those that were copies as a whole; n_chars follows the text."""
     names = docs.columns
-    found = dedup_lines(docs).where((F.col("removed_lines") == 0) | (F.trim("text") != ""))
+    found = dedup_lines(docs, later_holders=True).where((F.col("removed_lines") == 0) | (F.trim("text") != ""))
     if "n_chars" in names:
         found = found.withColumn("n_chars", F.when(F.col("removed_lines") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return found.select(*names)
