@@ -3,8 +3,8 @@
 Each page is parsed into a tree. Its skeleton is the tree of block elements, where equal siblings are one node, so
 pages of one layout have one skeleton however many paragraphs they hold. Of each host, the commonest skeleton is
 the reference; every other skeleton is aligned to it by simple tree matching, and over all pages of the host each
-aligned node counts its pages, its text and whether the text is always the same. Nodes with the same text everywhere
-are template; the others are slots, and the slot with the most text outside links is the content where a
+aligned node counts its pages, its text and whether the text is always the same; copies of a page count once. Nodes
+with the same text everywhere, on SHARE of the host's pages at least, are template unless the page marks its article around them; the others are slots, and the slot with the most text outside links is the content where a
 page doesn't mark its article. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
 comments are left out by element, role, class and id.
 
@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 
 from .common import arrow_batches, cut, table
 
-MIN_PAGES = 3  # of a host, before a text that is always the same is template
+MIN_PAGES = 3  # different pages of a host, before a text that is always the same is template
+SHARE = 0.5  # of the host's different pages that have such a text at least
 FEW_HOSTS = 20_000  # wrappers that may be broadcast
 FEW_BYTES = 16 << 20
 SALTS = 64
@@ -292,12 +293,12 @@ def _within(node: Node, tops: set[int]) -> bool:
 def main_text(page: str, reference: dict | None, constant: frozenset[str], content: str) -> str:
     root = parse(page)
     tops = {id(n) for n in articles(root)}
-    to = tree_match(skeleton(root), reference)[1] if reference and (constant or not tops) else {}
+    to = tree_match(skeleton(root), reference)[1] if reference and not tops else {}
     every = [(path, text, node) for path, text, _, node in blocks(root, True)]
-    if constant:
-        every = [x for x in every if to.get(x[0]) not in constant]
     if tops:
         return "\n".join(text for _, text, node in every if _within(node, tops))
+    if constant:
+        every = [x for x in every if to.get(x[0]) not in constant]
     if content and (inside := [text for path, text, _ in every if (p := to.get(path, "")) == content or p.startswith(f"{content}/")]):
         return "\n".join(inside)
     return "\n".join(text for _, text, _ in every)
@@ -313,7 +314,7 @@ def host_of(url: str = "url"):
 
 def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(host, reference, constant, content): a row a host."""
-    rows = pages.select(host_of(url_col).alias("host"), F.col(html_col).cast("string").alias("html"))
+    rows = pages.select(host_of(url_col).alias("host"), F.col(html_col).cast("string").alias("html")).withColumn("page", F.xxhash64(F.coalesce("html", F.lit(""))))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -329,16 +330,16 @@ def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
                     s[2] += linked
                 slots.append([{"slot": p, "h": xxhash.xxh64_intdigest("\n".join(t)) >> 1, "chars": n, "linked": k, "marked": _marked(node)} for p, (t, n, k, node) in per.items()])
             struct = pa.struct([("slot", pa.string()), ("h", pa.int64()), ("chars", pa.int64()), ("linked", pa.int64()), ("marked", pa.bool_())])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shapes, pa.string()), pa.array(slots, pa.list_(struct))], names=["host", "shape", "slots"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shapes, pa.string()), pa.array(slots, pa.list_(struct)), batch.column(2)], names=["host", "shape", "slots", "page"])
 
-    read_ = arrow_batches(rows).mapInArrow(each, "host string, shape string, slots array<struct<slot:string,h:long,chars:long,linked:long,marked:boolean>>")
+    read_ = arrow_batches(rows).mapInArrow(each, "host string, shape string, slots array<struct<slot:string,h:long,chars:long,linked:long,marked:boolean>>, page long").dropDuplicates(["host", "page"])  # copies of a page say nothing of its host
     sums = [F.sum("pages").alias("pages"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), F.max("marked").alias("marked")]
     nodes = read_.select("host", "shape", F.explode_outer("slots").alias("s")).groupBy("host", "shape", "s.slot").agg(
         F.count("*").alias("pages"), F.min("s.h").alias("low"), F.max("s.h").alias("high"), F.coalesce(F.sum("s.chars"), F.lit(0)).alias("chars"), F.coalesce(F.sum("s.linked"), F.lit(0)).alias("linked"), F.coalesce(F.max("s.marked"), F.lit(False)).alias("marked")
     )
     nodes = cut(nodes)
     shapes = nodes.groupBy("host", "shape").agg(F.max("pages").alias("n"))
-    reference = shapes.groupBy("host").agg(F.max(F.struct("n", "shape"))["shape"].alias("reference"))
+    reference = shapes.groupBy("host").agg(F.max(F.struct("n", "shape"))["shape"].alias("reference"), F.sum("n").alias("all"))
 
     def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -354,10 +355,10 @@ def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
             yield pa.RecordBatch.from_arrays([*batch.columns[3:], pa.array(to, pa.string())], names=[*batch.schema.names[3:], "to"])
 
     keep = ["host", "pages", "low", "high", "chars", "linked", "marked"]
-    met = nodes.where(F.col("slot").isNotNull()).join(reference, "host").select("shape", "reference", "slot", *keep)
-    met = met.mapInArrow(aligned, "host string, pages long, low long, high long, chars long, linked long, marked boolean, to string")
-    slots = met.where(F.col("to").isNotNull()).groupBy("host", "to").agg(*sums)
-    same = (F.col("pages") >= MIN_PAGES) & (F.col("low") == F.col("high"))
+    met = nodes.where(F.col("slot").isNotNull()).join(reference, "host").select("shape", "reference", "slot", *keep, "all")
+    met = met.mapInArrow(aligned, "host string, pages long, low long, high long, chars long, linked long, marked boolean, all long, to string")
+    slots = met.where(F.col("to").isNotNull()).groupBy("host", "to").agg(*sums, F.max("all").alias("all"))
+    same = (F.col("pages") >= MIN_PAGES) & (F.col("pages") >= SHARE * F.col("all")) & (F.col("low") == F.col("high"))
     rich = F.when(~same & ~F.col("marked"), F.struct((F.col("chars") - 2 * F.col("linked")).alias("rich"), F.col("to").alias("to")))
     made = slots.groupBy("host").agg(F.sort_array(F.collect_list(F.when(same, F.col("to")))).alias("constant"), F.max(rich)["to"].alias("content"))
     parent = F.regexp_replace(F.coalesce("content", F.lit("")), r"/[^/]*$", "")

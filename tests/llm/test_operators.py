@@ -543,3 +543,14 @@ def test_blocks_in_the_order_of_a_later_holder(spark):
     texts = [f"{x}\n{y}", f"{y}\n{x}", f"{y}\n{x}", f"{prose(50, 9)}\n{z}", f"{z}\n{prose(51, 9)}\n{z}"]
     got = {r["doc_id"]: r["text"] for r in op2_lines.without_copied_lines(docs_of(spark, texts)).collect()}
     assert got[0] == texts[0] and got[1] in (x, y) and 2 not in got and got[3] == texts[3] and got[4] == prose(51, 9)
+
+
+def test_copies_of_a_page_are_no_template(spark):
+    """Copies alone on a host, or many on a mixed host, keep their text, marked as an article or not."""
+    page = lambda i: f"<body><div class='x1'>Our site since 1999</div><div class='c'><h2>{prose(50 + i, 3)}</h2><p>{prose(100 + i, 40)}</p></div></body>"
+    marked = f"<body><article><h1>{prose(60, 3)}</h1><p>{prose(61, 40)}</p><blockquote>{prose(62, 20)}</blockquote></article></body>"
+    rows = [(i, "https://copies.example/", page(0)) for i in range(4)] + [(10 + i, "https://mixed.example/", marked) for i in range(9)] + [(30 + i, "https://mixed.example/", page(i)) for i in range(5)]
+    got = {r["page_id"]: r["text"] for r in op10_html.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), ["page_id"]).collect()}
+    assert all(f"{prose(50, 3)}\n{prose(100, 40)}" in got[i] for i in range(4))
+    assert all(got[10 + i] == f"{prose(60, 3)}\n{prose(61, 40)}\n{prose(62, 20)}" for i in range(9))
+    assert all(got[30 + i] == f"{prose(50 + i, 3)}\n{prose(100 + i, 40)}" for i in range(5))
