@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import re
+import shutil
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -11,8 +14,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Only for sessions without spark.checkpoint.dir, such as tests in local mode.
-LOCAL_DIR = "/tmp/quarry-checkpoints"
 BATCH_ROWS = 1000
 
 
@@ -20,10 +21,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_OWN_DIRS: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir, which driver and executors share."""
+    """The folder named by spark.checkpoint.dir, which driver and executors share.
+
+    Where it is unset, a temporary folder serves a session whose executors are in the driver's own JVM; on a cluster that
+    would lose data, so it is an error there.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return found or LOCAL_DIR
+    if found:
+        return found
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not _OWN_DIRS:
+        _OWN_DIRS.append(tempfile.mkdtemp(prefix="quarry-"))
+        atexit.register(shutil.rmtree, _OWN_DIRS[0], ignore_errors=True)
+    return _OWN_DIRS[0]
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -46,6 +61,30 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(names: list[str], name: str) -> str:
+    """A column name like the given one that isn't among names, in any case of letters."""
+    taken = {n.lower() for n in names}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def place(names: list[str], name: str) -> int:
+    """Where a column is, in any case of letters."""
+    return [n.lower() for n in names].index(name.lower())
+
+
+def plain(df: DataFrame) -> DataFrame:
+    """df with its columns named c0, c1 and so on, so that none clashes with a name that an operator makes."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
+def given_back(df: DataFrame, names: list[str], made: list[str]) -> DataFrame:
+    """The columns of plain() under their names, then those made; a given column named like one made gives way."""
+    own = {n.lower() for n in made}
+    return df.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names) if n.lower() not in own], *made)
+
+
 def id_text(col: str = "doc_id") -> Column:
     """The id as text; a null id counts as empty text."""
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
