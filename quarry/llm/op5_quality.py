@@ -2,13 +2,15 @@
 
 Each whole text gives a row of statistics of its characters, words and lines. Standardised with the moments of all
 documents, they pass through cos(Wx + b), whose scalar products approximate a Gaussian kernel. Every partition of the
-labelled training rows sums its part of the normal equations (a square matrix of fixed size); the parts are
-added in groups before the driver adds the last few and solves them with a ridge. Scores of the training rows,
-counted by thousandths, are calibrated by pooling adjacent violators, so a score is the chance of label 1.
+labelled rows that are fitted sums its part of the normal equations (a square matrix of fixed size); the parts are
+added FAN at a time, round after round, so that no task and not the driver holds more, and are solved with a ridge. Raw scores
+of the other labelled rows, one in CALIBRATE by a hash of the id, which the ridge hasn't seen, are counted by thousandths and
+calibrated by pooling adjacent violators, so a score is the chance of label 1.
 
 Defined cases: a null text is empty; an empty text has all statistics zero and gets a score like any other; labels of
 repeated ids are averaged and rounded; labels other than 0 and 1 and null ones aren't learned from; without a labelled
-row every score is 0.5; rows of equal text have equal scores. Extra columns are ignored.
+row to fit every score is 0.5; without one to calibrate a score is the raw one, kept within 0 and 1; rows of equal text have
+equal scores. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,14 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, buffers, cut, held_out, pieces, rows_of, table, windows
+from .common import arrow_batches, buffers, cut, held_out, id_text, pieces, rows_of, table, windows
 
 THRESHOLD = 0.3
 FEATURES = 384
 WIDTH = 1.0  # kernel width as a share of the square root of the number of statistics
 RIDGE = 1e-3  # a training row
 SEED = 7
-GROUPS = 16  # in which the parts of the normal equations are added before the driver
+FAN = 16  # parts of the normal equations that one task adds
+CALIBRATE = 4  # one labelled row of so many calibrates, the others are fitted
 BINS = 1000
 STEP = 1 << 20
 
@@ -129,6 +132,8 @@ class Model:
     def score(self, x: np.ndarray) -> np.ndarray:
         if self.weight is None:
             return np.full(len(x), 0.5)
+        if not len(self.steps):
+            return np.clip(self.raw(x), 0.0, 1.0)
         return np.interp(self.raw(x), self.steps, self.levels)
 
 
@@ -137,7 +142,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _normal_equations(rows: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
-    """Sums of zz' and zy over rows of x and y: one part a partition, added in GROUPS, then here."""
+    """Sums of zz' and zy over rows of x and y: a part for each partition, added FAN at a time until FAN are left, and those here."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
     d = FEATURES + 1
 
@@ -152,12 +157,18 @@ def _normal_equations(rows: DataFrame, model: Model) -> tuple[np.ndarray, np.nda
         if any_row:
             yield pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.binary())], names=["part"])
 
-    def add(frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"part": [sum(np.frombuffer(p).reshape(d, d + 1) for p in frame["part"]).tobytes()]})
+    def added(parts: list[bytes]) -> np.ndarray:
+        return sum((np.frombuffer(p).reshape(d, d + 1) for p in parts), np.zeros((d, d + 1)))
 
-    parts = rows.select("x", "y").mapInArrow(part, "part binary").withColumn("g", F.spark_partition_id() % GROUPS)
-    found = parts.groupBy("g").applyInPandas(lambda f: add(f), "part binary").collect()  # at most GROUPS rows
-    total = sum((np.frombuffer(r[0]).reshape(d, d + 1) for r in found), np.zeros((d, d + 1)))
+    def add(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"g": [key[0]], "part": [added(frame["part"]).tobytes()]})
+
+    n = rows.rdd.getNumPartitions()
+    parts = rows.select("x", "y").mapInArrow(part, "part binary").select(F.spark_partition_id().alias("g"), "part")
+    while n > FAN:
+        n = -(-n // FAN)
+        parts = parts.withColumn("g", F.floor(F.col("g") / FAN).cast("int")).groupBy("g").applyInPandas(add, "g int, part binary")
+    total = added([r["part"] for r in parts.collect()])
     return total[:, :d], total[:, d]
 
 
@@ -181,7 +192,8 @@ def fit(found: DataFrame, labels: DataFrame, label_col: str = "quality") -> Mode
     rng = np.random.default_rng(SEED)
     model = Model(value[:, 0], np.maximum(value[:, 1], 1e-9), rng.normal(0, 1 / (WIDTH * np.sqrt(k)), (k, FEATURES)), rng.uniform(0, 2 * np.pi, FEATURES))
     y = labels.where(F.col(label_col).isin(0, 1)).groupBy("doc_id").agg(F.round(F.avg(label_col)).alias("y"))
-    rows = cut(found.join(y, "doc_id").select("x", "y"))
+    every = cut(found.join(y, "doc_id").select("x", "y", (F.pmod(F.xxhash64(id_text()), F.lit(CALIBRATE)) == 0).alias("calibrates")))
+    rows = every.where(~F.col("calibrates")).select("x", "y")
     a, b = _normal_equations(rows, model)
     n = a[-1, -1]
     if not n:
@@ -194,7 +206,7 @@ def fit(found: DataFrame, labels: DataFrame, label_col: str = "quality") -> Mode
             at = np.round(shared.value.raw(_matrix(batch.column(0))) * BINS).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(at), batch.column(1)], names=["bin", "y"])
 
-    bins = rows.mapInArrow(binned, "bin long, y double").groupBy("bin").agg(F.count("*").alias("n"), F.avg("y").alias("y")).orderBy("bin").collect()  # at most 2 * BINS + 1
+    bins = every.where("calibrates").select("x", "y").mapInArrow(binned, "bin long, y double").groupBy("bin").agg(F.count("*").alias("n"), F.avg("y").alias("y")).orderBy("bin").collect()  # at most 2 * BINS + 1
     model.steps = np.array([r["bin"] / BINS for r in bins])
     model.levels = isotonic(np.array([r["y"] for r in bins]), np.array([r["n"] for r in bins], np.float64))
     return model
