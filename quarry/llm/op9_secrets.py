@@ -2,12 +2,14 @@
 
 Base kinds assign, access and hex are found by their patterns, leftmost and without overlap, and always stay. The
 method adds spans of further kinds (bearer, jwt, pem, prefixed, mixed) where they look live. Every candidate's value
-is hashed; over the whole corpus each hash gets its number of distinct repositories and owners. A value of more than
-max_owners owners is a widely copied example; one that stays with its owner and doesn't read like a placeholder is
-live. Added spans that are no live credential are dropped again; base spans are only counted as live or shared.
+is hashed; over the whole corpus each hash gets its number of distinct repositories and of distinct owners. A value of more
+than max_owners owners, or in more than max_repos repositories, is a widely copied example; one that stays with its
+owner, in few repositories, and doesn't read like a placeholder is live. Added spans that are no live credential are dropped
+again; base spans are only counted as live or shared. Documents have one column for where they come from, so in the query
+the source is the owner and each different text of it a repository: exact copies of a text are one place that holds the value.
 
-Counts are combined by (hash, repository, owner) before they meet by hash, so a value that a third of all rows hold
-is a few rows when it is counted.
+Distinct repositories and owners of a value are combined in each task before they meet by hash, and the statistics are written
+before they are joined, so a value that a third of all rows hold is a few rows when it is counted and its rows can be split.
 
 Defined cases: a null text is empty and has no span; a null repository or owner counts as one of its own; rows that
 repeat an id are scanned and returned each; positions are code points, ends exclusive. Extra columns are ignored.
@@ -41,6 +43,7 @@ PREFIXED = re.compile(r"\b(?:gh[opsu]|xox[abp]|sk_live|sk_test|glpat)[_-][A-Za-z
 MIXED = re.compile(r"[A-Za-z0-9+/_-]{32,}")
 PLACEHOLDER = re.compile(r"(?ai:example|changeme|change_me|placeholder|dummy|sample|redacted|your|xxxx|12345678|abcdef|password)")
 MIXED_BITS = 4.0
+MAX_REPOS = 20  # repositories of one owner that may hold a live value
 LONG_HEX = re.compile(r"[0-9a-f]{24,}")  # maximal runs, so the same as HEX of that length
 
 
@@ -64,8 +67,7 @@ def base_spans(text: str) -> list[tuple[str, int, int, str]]:
 
 def added_spans(text: str, base: list[tuple[str, int, int, str]]) -> list[tuple[str, int, int, str]]:
     out = []
-    low = text.lower() if "earer" in text or "EARER" in text else ""
-    if "bearer" in low:
+    if "bearer" in text.lower():
         out += [("bearer", m.start(), m.end(), m[1]) for m in BEARER.finditer(text)]
     if "eyJ" in text:
         out += [("jwt", m.start(), m.end(), m[0]) for m in JWT.finditer(text)]
@@ -87,9 +89,10 @@ def added_spans(text: str, base: list[tuple[str, int, int, str]]) -> list[tuple[
 SPAN = "struct<start:long,rank:int,stop:long,hash:string,placeholder:boolean>"
 
 
-def scan(docs: DataFrame, repo_col: str, owner_col: str) -> DataFrame:
-    """A row of (doc_id, repo, owner, base, added) for each row, spans as arrays of structs."""
-    rows = docs.select(F.col("doc_id"), F.col(repo_col).cast("string").alias("repo"), F.col(owner_col).cast("string").alias("owner"), F.col("text").cast("string").alias("text"))
+def scan(docs: DataFrame, repo_col: str | None, owner_col: str) -> DataFrame:
+    """A row of (doc_id, repo, owner, base, added) for each row, spans as arrays of structs; without repo_col each text of an owner is a repository."""
+    repo = F.col(repo_col).cast("string") if repo_col else F.xxhash64(F.col(owner_col).cast("string"), F.col("text").cast("string")).cast("string")
+    rows = docs.select(F.col("doc_id"), repo.alias("repo"), F.col(owner_col).cast("string").alias("owner"), F.col("text").cast("string").alias("text"))
     kind = dict(rows.dtypes)["doc_id"]
     rank = {k: i for i, k in enumerate(KINDS)}
     struct = pa.struct([("start", pa.int64()), ("rank", pa.int32()), ("stop", pa.int64()), ("hash", pa.string()), ("placeholder", pa.bool_())])
@@ -118,14 +121,14 @@ def ownership(found: DataFrame) -> DataFrame:
     return each.groupBy("hash").agg(F.count_distinct(F.coalesce("repo", none)).alias("repos"), F.count_distinct(F.coalesce("owner", none)).alias("owners"), F.sum("rows").alias("rows"))
 
 
-def find_secrets(docs: DataFrame, repo_col: str = "source", owner_col: str = "source", max_owners: int = 1) -> DataFrame:
+def find_secrets(docs: DataFrame, repo_col: str | None = None, owner_col: str = "source", max_owners: int = 1, max_repos: int = MAX_REPOS) -> DataFrame:
     """doc_id, base and all spans (arrays of struct start, rank in KINDS, stop), n_live, n_shared of each row."""
     found = cut(scan(docs, repo_col, owner_col).withColumn("row", F.monotonically_increasing_id()))
-    stats = ownership(found)
+    stats = cut(ownership(found).select("hash", ((F.col("owners") > max_owners) | (F.col("repos") > max_repos)).alias("common")))  # so both sides of the join are shuffled and a common value's rows can be split
     values = found.select("row", F.posexplode(F.concat("base", "added")).alias("i", "s"), F.size("base").alias("n")).select("row", "i", "n", "s", F.col("s.hash").alias("hash"))
-    judged = values.join(stats, "hash").withColumn("live", (F.col("owners") <= max_owners) & ~F.col("s.placeholder"))
+    judged = values.join(stats, "hash").withColumn("live", ~F.col("common") & ~F.col("s.placeholder"))
     per = judged.groupBy("row").agg(
-        F.count_if("live").alias("n_live"), F.count_if(F.col("owners") > max_owners).alias("n_shared"),
+        F.count_if("live").alias("n_live"), F.count_if("common").alias("n_shared"),
         F.sort_array(F.collect_list(F.when(F.col("live") & (F.col("i") >= F.col("n")), F.col("s")))).alias("kept"),
     )
     out = found.join(per, "row", "left")
