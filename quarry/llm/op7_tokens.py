@@ -11,7 +11,8 @@ Two deterministic transducers count what the tokenizer would emit, without build
    its predecessor as the merges would leave it, so the automaton is deterministic. States are made when
    first reached and kept.
 
-The vocabulary file is a parameter and must be at that path on every node. Strings of added tokens inside a text count
+The vocabulary file is a parameter and must be at that path on every node; one that asks for another splitter, a normalizer or
+other flags raises. Strings of added tokens inside a text count
 as one token each, as the library does by default.
 
 Defined cases: a null text is empty, and an empty text has no token; repeated rows are counted each; a text of any
@@ -141,12 +142,25 @@ def _byte_of() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+def expected(spec: dict) -> None:
+    """Raises if the vocabulary file asks for what the transducers don't compile: another splitter, a normalizer, other flags."""
+    pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    wrong = [k for k, ok in {
+        "normalizer": spec.get("normalizer") is None, "pre_tokenizer": pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True),
+        "model": model.get("type", "BPE") == "BPE" and not model.get("ignore_merges") and not model.get("byte_fallback") and not model.get("dropout") and not model.get("continuing_subword_prefix") and not model.get("end_of_word_suffix"),
+        "added_tokens": not any(t.get(k) for t in spec.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip", "normalized")),
+    }.items() if not ok]
+    if wrong:
+        raise ValueError(f"not compiled for this {', '.join(wrong)} of the vocabulary file")
+
+
 class Merger:
     """Counts the tokens of a pre-token's bytes."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        expected(spec)
         byte = _byte_of()
         coded = lambda s: bytes(byte[c] for c in s)
         pairs = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
@@ -170,10 +184,10 @@ class Merger:
             self.token[node] = t
         added = [t["content"] for t in spec.get("added_tokens", [])]
         self.special = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
-        self.together: dict[tuple[bytes | None, bytes], bool] = {}
         self.reset()
 
     def reset(self) -> None:
+        self.together: dict[tuple[bytes | None, bytes], bool] = {}
         first = ((0, None, 0),)
         self.states, self.number = [first], {first: 0}
         self.steps: list[dict[int, tuple[int, int]]] = [{}]
@@ -233,7 +247,7 @@ class Merger:
 
     def total(self, words: list[str]) -> np.ndarray:
         """The count of each word, each different word counted once."""
-        if len(self.counts) > KEPT or len(self.states) > KEPT:
+        if max(len(self.counts), len(self.states), len(self.together)) > KEPT:
             self.reset()
         counts = self.counts
         for w in set(words).difference(counts):
