@@ -1,23 +1,25 @@
 """Line dedup by pairwise alignment.
 
 Lines of at least min_words words are hashed (white space as one space; the j-th occurrence of a line in its document
-is a line of its own, so every hash is unique in its document, as patience diff wants). A document is paired with
-each earlier document that was the first to hold one of its lines, so a line that very many documents share costs
-each of them one pair, never all pairs. Each pair is aligned by patience diff: the longest run of common lines that
+is a line of its own, so every hash is unique in its document, as patience diff wants). Documents overlap if they share a
+rare line, one that at most RARE documents hold: a document is paired with each earlier holder of each of its rare lines.
+A line that more documents hold pairs each of them with its first holder only, so a line of very many documents costs each
+of them one pair, never all pairs. Each pair is aligned by patience diff: the longest run of common lines that
 are in order in both. Aligned blocks of at least min_block_words words are deleted from the later document, with the
 shorter lines between them where these are equal too. The first holder keeps its lines.
 
-Short lines, and blocks that the first holders of their lines have in another order, are found by runs: from each
+What common lines may still share with a later holder, and short lines, are found by runs: from each
 non-empty line the shortest run of two lines or more with min_block_words words, forward and backward. A run goes if an
 earlier document holds it; any shared block of two lines and as many words is the union of such runs. A line's second
 and later occurrences in a document are runs of their own, so they go if an earlier document has the line once; so does
-a document of fewer words than a block, if an earlier one has the same lines and no others.
+a document of fewer words than a block, if an earlier one has the same lines and no others. So an exact copy of any
+earlier document becomes empty.
 
 Only hashes and positions meet in the alignment; texts are read once more to be rewritten.
 
 Defined cases: earlier means a smaller id, for equal ids a smaller hash of the text; null ids come last; rows equal in
 id and text are one document and are treated alike; a null text stays null; an empty text stays empty; a text whose
-lines are all copies becomes empty. Extra columns stay as they are.
+lines are all copies becomes empty. Extra columns stay as they are; one named removed_lines gives way to the result.
 """
 
 from __future__ import annotations
@@ -32,10 +34,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, cut, table
+from .common import arrow_batches, cut, given_back, place, plain, table
 
 MIN_WORDS = 8
 MIN_BLOCK_WORDS = 8
+RARE = 8  # documents that hold a rare line at most
 LAST = 2**63 - 1
 
 
@@ -88,13 +91,13 @@ def run_rows(text: str, min_block_words: int, later_holders: bool) -> list[tuple
     return out
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).withColumn("_th", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    return docs.withColumn("doc", F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST))).withColumn("th", F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))))
 
 
 def lines_of(docs: DataFrame, min_words: int, min_block_words: int, later_holders: bool) -> DataFrame:
     """The long lines, and the runs: these have their last line in the column to and their first in k; to is null for lines."""
-    rows = keyed(docs).select("_doc", "_th", F.col("text").cast("string").alias("text")).where("text is not null")
+    rows = keyed(docs.select("doc_id", F.col("text").cast("string").alias("text"))).select("doc", "th", "text").where("text is not null")
     names = ["doc", "th", "k", "h", "gb", "ga", "w", "to"]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,48 +172,67 @@ def cleaned(text: str, lines: set[int], gaps: set[int], spans: list[tuple[int, i
     return "\n".join(out) if left else "", had - left
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, min_block_words: int = MIN_BLOCK_WORDS, later_holders: bool = False) -> DataFrame:
+def pairs_of(lines: DataFrame, rare: int = RARE) -> DataFrame:
+    """(doc, th, fd, ft, k, fk, sb, sa, w, to): what each document shares with an earlier one, its partner (fd, ft).
+
+    Rare lines with every earlier holder, other lines and runs with the first one.
+    """
+    first = lines.groupBy("h").agg(F.min(F.struct("doc", "th", "k", "gb", "ga")).alias("f"), F.max(F.struct("doc", "th")).alias("l"), F.count("*").alias("n"))
+    first = first.where((F.col("f.doc") != F.col("l.doc")) | (F.col("f.th") != F.col("l.th")))
+    first = first.select("h", F.col("f.doc").alias("fd"), F.col("f.th").alias("ft"), F.col("f.k").alias("fk"), F.col("f.gb").alias("fgb"), F.col("f.ga").alias("fga"), "n")
+    first = cut(first)  # so both sides of the join are shuffled and a line that very many documents hold can be split
+    alone = F.col("to").isNotNull() | (F.col("n") > rare)
+    same = [(F.col("gb") == F.col("fgb")).alias("sb"), (F.col("ga") == F.col("fga")).alias("sa")]
+    with_first = lines.join(first, "h").where(alone & ((F.col("doc") != F.col("fd")) | (F.col("th") != F.col("ft"))))
+    with_first = with_first.select("doc", "th", "fd", "ft", "k", "fk", *same, "w", "to")
+    # at most RARE rows of a line meet
+    few = lines.where("to is null").join(first.where(F.col("n") <= rare).select("h"), "h", "left_semi")
+    few = few.groupBy("h").agg(F.collect_set(F.struct("doc", "th", "k", "gb", "ga", "w")).alias("m")).where(F.size("m") > 1)
+    later = few.select("m", F.explode("m").alias("x"))
+    earlier = F.filter("m", lambda y: F.struct(y["doc"], y["th"]) < F.struct(F.col("x.doc"), F.col("x.th")))
+    both = later.select("x", F.explode(earlier).alias("y")).select(
+        "x.doc", "x.th", F.col("y.doc").alias("fd"), F.col("y.th").alias("ft"), "x.k", F.col("y.k").alias("fk"), (F.col("x.gb") == F.col("y.gb")).alias("sb"), (F.col("x.ga") == F.col("y.ga")).alias("sa"), "x.w", F.lit(None).cast("int").alias("to")
+    )
+    return with_first.unionByName(both)
+
+
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, min_block_words: int = MIN_BLOCK_WORDS, later_holders: bool = False, rare: int = RARE) -> DataFrame:
     """docs with text rewritten and the column removed_lines, the number of non-empty lines deleted.
 
-    With later_holders, blocks of long lines also go if only a later holder of the lines has them in that order.
+    With later_holders, blocks of common long lines also go if only a later holder of the lines has them in that order.
     """
     lines = cut(lines_of(docs, min_words, min_block_words, later_holders))
-    first = lines.groupBy("h").agg(F.min(F.struct("doc", "th", "k", "gb", "ga")).alias("f"), F.max(F.struct("doc", "th")).alias("l"))
-    first = first.where((F.col("f.doc") != F.col("l.doc")) | (F.col("f.th") != F.col("l.th"))).select("h", F.col("f.doc").alias("fd"), F.col("f.th").alias("ft"), F.col("f.k").alias("fk"), F.col("f.gb").alias("fgb"), F.col("f.ga").alias("fga"))
-    first = cut(first)  # so both sides of the join are shuffled and a line that very many documents hold can be split
-    shared = lines.join(first, "h").where((F.col("doc") != F.col("fd")) | (F.col("th") != F.col("ft")))
-    member = F.struct(F.col("fd"), F.col("ft"), F.col("k"), F.col("fk"), (F.col("gb") == F.col("fgb")).alias("sb"), (F.col("ga") == F.col("fga")).alias("sa"), F.col("w"))
+    member = F.struct("fd", "ft", "k", "fk", "sb", "sa", "w")
     run = F.struct(F.col("k"), F.col("to"))
-    grouped = shared.groupBy(F.col("doc").alias("_doc"), F.col("th").alias("_th")).agg(F.collect_set(F.when(F.col("to").isNull(), member)).alias("shared"), F.collect_set(F.when(F.col("to").isNotNull(), run)).alias("_spans"))  # at most the document's own lines
+    grouped = pairs_of(lines, rare).groupBy("doc", "th").agg(F.collect_set(F.when(F.col("to").isNull(), member)).alias("shared"), F.collect_set(F.when(F.col("to").isNotNull(), run)).alias("spans"))  # at most RARE for each of the document's own lines
 
     @F.pandas_udf("struct<lines:array<int>,gaps:array<int>>")
     def chosen(shared: pd.Series) -> pd.DataFrame:
         found = [deletions([tuple(s.values()) for s in own], min_block_words) for own in shared]
         return pd.DataFrame({"lines": [f[0] for f in found], "gaps": [f[1] for f in found]})
 
-    marks = grouped.select("_doc", "_th", chosen("shared").alias("c"), "_spans").select("_doc", "_th", "c.lines", "c.gaps", "_spans").where((F.size("lines") > 0) | (F.size("_spans") > 0))
-    marks = marks.withColumnsRenamed({"lines": "_lines", "gaps": "_gaps"})
-    kept = docs.columns
-    joined = keyed(docs).join(marks, ["_doc", "_th"], "left").select(*kept, "_lines", "_gaps", "_spans")
-    at = kept.index("text")
-    schema = joined.select(*kept).withColumn("text", F.col("text").cast("string")).withColumn("removed_lines", F.lit(0)).schema
+    marks = grouped.select("doc", "th", chosen("shared").alias("c"), "spans").select("doc", "th", "c.lines", "c.gaps", "spans").where((F.size("lines") > 0) | (F.size("spans") > 0))
+    names, own = docs.columns, plain(docs)
+    at, width = place(names, "text"), len(names)
+    joined = keyed(own, f"c{place(names, 'doc_id')}", f"c{at}").join(marks, ["doc", "th"], "left").select(*own.columns, "lines", "gaps", "spans")
+    schema = joined.select(*own.columns).withColumn(f"c{at}", F.col(f"c{at}").cast("string")).withColumn("removed_lines", F.lit(0)).schema
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marked, gaps, spans = (batch.column(len(kept) + i) for i in range(3))
+            marked, gaps, spans = (batch.column(width + i) for i in range(3))
             texts, removed = batch.column(at).cast(pa.string()), np.zeros(batch.num_rows, np.int32)
             hit = np.nonzero(marked.is_valid().to_numpy(zero_copy_only=False))[0].tolist()
             if hit:
                 new = texts.to_pylist()
                 for i in hit:
-                    own = [(x["k"], x["to"]) for x in spans[i].as_py()]
-                    new[i], removed[i] = cleaned(new[i], set(marked[i].as_py()), set(gaps[i].as_py()), own, min_words)
+                    runs = [(x["k"], x["to"]) for x in spans[i].as_py()]
+                    new[i], removed[i] = cleaned(new[i], set(marked[i].as_py()), set(gaps[i].as_py()), runs, min_words)
                 texts = pa.array(new, pa.string())
-            cols = list(batch.columns[: len(kept)])
+            cols = list(batch.columns[:width])
             cols[at] = texts
             yield pa.RecordBatch.from_arrays([*cols, pa.array(removed)], names=schema.names)
 
-    return joined.mapInArrow(rewrite, schema)
+    return given_back(joined.mapInArrow(rewrite, schema), names, ["removed_lines"])
 
 
 def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -218,9 +240,12 @@ def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def without_copied_lines(docs: DataFrame) -> DataFrame:
-    """docs with their texts rewritten, without those that were copies as a whole; n_chars follows the text."""
-    names = docs.columns
-    found = dedup_lines(docs, later_holders=True).where((F.col("removed_lines") == 0) | (F.trim("text") != ""))
+    """docs with their texts rewritten, without those that were copies as a whole; n_chars follows the text. A column named removed_lines stays as it is."""
+    names, own = docs.columns, plain(docs)
+    c = lambda name: f"c{place(names, name)}"
+    found = dedup_lines(own.withColumnsRenamed({c("doc_id"): "doc_id", c("text"): "text"}), later_holders=True).where((F.col("removed_lines") == 0) | (F.trim("text") != ""))
+    found = found.withColumnsRenamed({"doc_id": c("doc_id"), "text": c("text")})
     if "n_chars" in names:
-        found = found.withColumn("n_chars", F.when(F.col("removed_lines") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return found.select(*names)
+        kind = docs.schema["n_chars"].dataType
+        found = found.withColumn(c("n_chars"), F.when(F.col("removed_lines") > 0, F.char_length(c("text")).cast(kind)).otherwise(F.col(c("n_chars"))))
+    return given_back(found, names, [])
