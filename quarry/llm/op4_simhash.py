@@ -9,41 +9,46 @@ A bucket of up to LIGHT fingerprints is compared in full inside one row. A large
 laid over the bits its table left out, so its fingerprints meet again in smaller buckets, until at most 8 bits are
 free (at most 256 distinct fingerprints). No bucket is ever cut off or gathered beyond that bound.
 
+dedup() groups texts by the Jaccard similarity of their shingles. Fingerprints of weighted words propose pairs: within the
+radius all are linked, up to a longer reach those that meet. What they leave out, as Hamming distance doesn't bound
+similarity, is completed exactly: every two similar texts share a shingle of their prefixes.
+
 Defined cases: a null or empty text has no word and gets fingerprint zero, which links like any other; fewer words
 than a shingle give one shingle of all words; repeated rows keep their rows and share a component; a null id counts as
-no candidate for the smallest id, and a component of null ids alone has a null id. Extra columns are ignored.
+no candidate for the smallest id, and a component of null ids alone has a null id. Extra columns are ignored by
+near_groups(), and stay as they are in dedup(), whatever their names; its cases are given there.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
-from .common import arrow_batches, buffers, cut, table
+from .common import arrow_batches, buffers, cut, given_back, place, plain, table
 from .components import components
 
 SEED = 42
 LIGHT = 256  # fingerprints compared in full in one row
-CONTENT = 5  # bytes of a word that tells texts apart; shorter ones crowd the fingerprints of a language
+HEAVY = 16  # bytes of a word that weighs most in the fingerprints of dedup()
+LAST = 2**63 - 1
+KEPT_WORDS = 1 << 19  # hashes of words that a worker remembers
+SLICE = 4 << 20  # bytes of text worked on at once, at least one text
+MIX = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F)]
 SAMPLE, COMMON, MOST_COMMON = 16, 8, 100_000  # one text of so many is sampled; texts there that make a shingle common; the most that are listed
 BITS = 4096  # of a text, that rule out most pairs before their shingles are compared
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def shingle_hashes(text: bytes, size: int, least: int = 0) -> list[int]:
-    """XXH64 of each shingle of a text; A-Z are lower-cased, words are separated by the six ASCII white spaces.
-
-    Words of under least bytes don't count, unless there are no others.
-    """
+def shingle_hashes(text: bytes, size: int) -> list[int]:
+    """XXH64 of each shingle of a text; A-Z are lower-cased, words are separated by the six ASCII white spaces."""
     words = text.translate(LOWER).split()  # bytes.split() splits at exactly x20 and x09-x0D
-    if least:
-        words = [w for w in words if len(w) >= least] or words
     if not words:
         return []
     digest = xxhash.xxh64_intdigest
@@ -55,44 +60,48 @@ def shingle_hashes(text: bytes, size: int, least: int = 0) -> list[int]:
     return [digest(joined[a:b], SEED) for a, b in zip(starts[: len(words) - size + 1].tolist(), ends[size - 1 :].tolist(), strict=True)]
 
 
-def rehashed(hashes: np.ndarray, kind: int) -> np.ndarray:
-    """Hashes as independent as under another seed for each kind (the finalizer of SplitMix64); kind 0 leaves them as they are."""
-    if not kind:
-        return hashes
-    h = hashes + np.uint64(kind * 0x9E3779B97F4A7C15 % 2**64)
-    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-        h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
-    return h ^ (h >> np.uint64(31))
+def majorities(hashes: np.ndarray, owner: np.ndarray, n: int, weights: np.ndarray | None = None) -> np.ndarray:
+    """The fingerprints of n texts: bits set in over half of the weight of a text's hashes (uint64); zero if there are none."""
+    total = np.bincount(owner, weights, n)
+    out = np.zeros(n, np.uint64)
+    bits = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.float64)
+    for k in range(8):
+        byte = ((hashes >> np.uint64(8 * k)) & np.uint64(255)).astype(np.int64)
+        votes = np.bincount(owner * 256 + byte, weights, n * 256).reshape(n, 256) @ bits
+        out |= np.packbits(2 * votes > total[:, None], axis=1, bitorder="little")[:, 0].astype(np.uint64) << np.uint64(8 * k)
+    return out
+
+
+def majority(hashes: list[int]) -> int:
+    return int(majorities(np.array(hashes, np.uint64), np.zeros(len(hashes), np.int64), 1)[0])
 
 
-def majority(hashes: list[int] | np.ndarray) -> int:
-    """The fingerprint: bits set in over half of the hashes; zero if there are none."""
-    if not len(hashes):
-        return 0
-    h = np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8)
-    votes = np.zeros(64, np.int64)
-    for a in range(0, len(h), 65536):
-        votes += np.unpackbits(h[a : a + 65536], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * votes > len(hashes), bitorder="little").tobytes(), "little")
+def slices(column: pa.Array, most: int = 256) -> Iterator[tuple[int, list[bytes]]]:
+    """(first row, texts) of up to so many rows and SLICE bytes, or of one longer text; a null is empty."""
+    raw, at = buffers(column)
+    data, a = raw.tobytes(), 0
+    while a < len(at) - 1:
+        b = min(a + most, max(a + 1, int(np.searchsorted(at, at[a] + SLICE, "right")) - 1))
+        ends = at[a : b + 1].tolist()
+        yield a, [data[i:j] for i, j in zip(ends, ends[1:])]
+        a = b
 
 
-def fingerprints(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_col: str = "text", least: int = 0, kinds: int = 1) -> DataFrame:
-    """(id_col, th, fp): a hash of every whole text and its fingerprint, as signed longs; further kinds are fp1, fp2 and so on."""
-    names = ["fp", *(f"fp{k}" for k in range(1, kinds))]
+def fingerprints(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, th, fp): a hash of every whole text and its fingerprint, as signed longs."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     base = docs.select(F.col(id_col).cast("long").alias(id_col), F.xxhash64(text).alias("th"), text.alias("text"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, at = buffers(batch.column(2))
-            data, at = raw.tobytes(), at.tolist()
-            fps = np.zeros((kinds, batch.num_rows), np.uint64)
-            for i, (a, b) in enumerate(zip(at, at[1:])):
-                hashes = np.array(shingle_hashes(data[a:b], size, least), np.uint64)
-                fps[:, i] = [majority(rehashed(hashes, k)) for k in range(kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(f.view(np.int64), pa.int64()) for f in fps)], names=[id_col, "th", *names])
+            fps = np.zeros(batch.num_rows, np.uint64)
+            for a, texts in slices(batch.column(2)):
+                hashes = [np.array(shingle_hashes(t, size), np.uint64) for t in texts]
+                owner = np.repeat(np.arange(len(texts)), [len(h) for h in hashes])
+                fps[a : a + len(texts)] = majorities(np.concatenate(hashes), owner, len(texts))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64), pa.int64())], names=[id_col, "th", "fp"])
 
-    return arrow_batches(base).mapInArrow(each, f"{id_col} long, th long, " + ", ".join(f"{n} long" for n in names))
+    return arrow_batches(base).mapInArrow(each, f"{id_col} long, th long, fp long")
 
 
 def covering(positions: list[int], radius: int) -> list[tuple[int, list[int]]]:
@@ -207,25 +216,65 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+# --- near-duplicates by the similarity of shingles ----------------------------------------------------------------
+
+_WORDS: dict[bytes, int] = {}
+
+
+def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, text it is of, bytes) of each word."""
+    words = [t.translate(LOWER).split() for t in texts]
+    counts = np.fromiter(map(len, words), np.int64, len(words))
+    flat = list(chain.from_iterable(words))
+    if len(_WORDS) > KEPT_WORDS:
+        _WORDS.clear()
+    for w in set(flat).difference(_WORDS):
+        _WORDS[w] = xxhash.xxh64_intdigest(w, SEED)
+    return np.fromiter(map(_WORDS.__getitem__, flat), np.uint64, len(flat)), np.repeat(np.arange(len(texts)), counts), np.fromiter(map(len, flat), np.int64, len(flat))
+
+
+def shingles_of(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, text it is of) of the distinct shingles, by text; fewer words than size make one shingle."""
+    words, owner, _ = words_of(texts)
+    counts = np.bincount(owner, minlength=len(texts))
+    ends = np.cumsum(counts)
+    at = np.arange(len(words))
+    length = np.minimum(ends[owner] - at, size)  # words that are left for a shingle
+    first = at == ends[owner] - counts[owner]
+    here = (length == size) | first
+    at, length, owner = at[here], length[here], owner[here]
+    h = np.zeros(len(at), np.uint64)
+    for j in range(size):
+        own = length > j
+        x = (h[own] ^ words[at[own] + j]) * MIX[j % 5]
+        h[own] = x ^ (x >> np.uint64(31))
+    order = np.lexsort((h, owner))
+    h, owner = h[order], owner[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
+    return h[new].view(np.int64), owner[new]
+
+
+def _lists(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), pa.array(values, pa.int64()))
+
+
 def shingle_sets(rows: DataFrame, size: int) -> DataFrame:
     """(th, s): the distinct hashes of the shingles of rows' texts (columns th and text)."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [(np.unique(np.array(shingle_hashes((t.as_py() or "").encode(), size), np.uint64))).view(np.int64) for t in batch.column(1)]
-            ends = np.cumsum([0, *map(len, sets)])
-            flat = pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], names=["th", "s"])
+            for a, texts in slices(batch.column(1)):
+                h, owner = shingles_of(texts, size)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(texts)), _lists(h, np.bincount(owner, minlength=len(texts)))], names=["th", "s"])
 
     return arrow_batches(rows.select("th", "text")).mapInArrow(each, "th long, s array<long>")
 
 
-def alike(docs: DataFrame, texts: DataFrame, pairs: DataFrame, size: int, similarity: float) -> DataFrame:
-    """(a, b): the pairs (x, y) of texts whose shingles have a Jaccard similarity of at least similarity."""
-    asked = pairs.select(F.col("x").alias("th")).unionByName(pairs.select(F.col("y").alias("th"))).distinct().join(texts, "th").select("id", F.col("th").alias("_th"))
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
-    rows = rows.join(asked, (F.col("doc_id") == F.col("id")) & (F.col("th") == F.col("_th")), "left_semi").dropDuplicates(["doc_id", "th"])
+def alike(base: DataFrame, texts: DataFrame, pairs: DataFrame, size: int, similarity: float) -> DataFrame:
+    """(a, b): the pairs (x, y) of texts whose shingles have a Jaccard similarity of at least similarity; base has id, th and text."""
+    asked = pairs.select(F.col("x").alias("th")).unionByName(pairs.select(F.col("y").alias("th"))).distinct().join(texts, "th").select("id", "th")
+    rows = base.join(asked, ["id", "th"], "left_semi").dropDuplicates(["id", "th"])
     sets = cut(shingle_sets(rows, size))
     both = pairs.join(sets.select(F.col("th").alias("x"), F.col("s").alias("sx")), "x").join(sets.select(F.col("th").alias("y"), F.col("s").alias("sy")), "y")
     shared = F.size(F.array_intersect("sx", "sy"))
@@ -233,46 +282,50 @@ def alike(docs: DataFrame, texts: DataFrame, pairs: DataFrame, size: int, simila
     return cut(both.where(near).select(F.col("x").alias("a"), F.col("y").alias("b")))
 
 
-def prefixes(docs: DataFrame, size: int, similarity: float) -> DataFrame:
-    """(tok, th, n, bits): of each text's n shingles the first in one order for all texts, so many that two texts of at least
-    the similarity share one of them: a text has similarity * n shingles in common with the other, and all but fewer are here.
+def read_words(base: DataFrame, size: int, similarity: float) -> DataFrame:
+    """(id, th, fp, n, toks, bits) of the rows of base (id, th, text), in one reading of the texts.
 
-    Any order does. Shingles that are common in a sample come last, so that few texts meet by a common passage.
-    A row a text without tok has its bits, each whether an odd number of shingles fall on it.
+    fp is the fingerprint of the words: a word weighs the cube of its bytes (of HEAVY at most), so the few short words of a
+    language don't crowd it. toks are, of the text's n shingles, the first in one order for all texts, so many that two texts of at
+    least the similarity share one of them: a text has similarity * n shingles in common with the other, and all but fewer are
+    here; any order does, and shingles that are common in a sample come last, so that few texts meet by a common passage. bits
+    say of BITS places whether an odd number of shingles fall on it.
     """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.where("doc_id is not null").select(F.xxhash64(text).alias("th"), text.alias("text"))
-    some = shingle_sets(rows.where(F.pmod("th", F.lit(SAMPLE)) == 0), size).select("th", F.explode("s").alias("tok")).distinct()
+    some = shingle_sets(base.where(F.pmod("th", F.lit(SAMPLE)) == 0), size).select("th", F.explode("s").alias("tok")).distinct()
     common = some.groupBy("tok").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON).orderBy(F.col("n").desc(), "tok").limit(MOST_COMMON).collect()
     common = sorted((r[0], r[1]) for r in common)
     known, often = np.array([c[0] for c in common], np.int64), np.array([c[1] for c in common], np.int64)
+    names = ["id", "th", "fp", "n", "toks", "bits"]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, counts = [np.zeros(0, np.int64)], []
-            ns, bits = [], []
-            for t in batch.column(1):
-                s = np.unique(np.array(shingle_hashes((t.as_py() or "").encode(), size), np.uint64)).view(np.int64)
-                ns.append(len(s))
-                bits.append(np.packbits((np.bincount((s & (BITS - 1)), minlength=BITS) & 1).astype(bool)).tobytes())
-                if not len(s):  # texts without a word are alike
-                    s = np.zeros(1, np.int64)
-                elif len(known):
-                    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-                    s = s[np.lexsort((s, np.where(known[at] == s, often[at], 0)))]
-                first = max(1, ns[-1] - math.ceil(similarity * ns[-1] - 1e-6) + 1)
-                found.append(s[:first])
-                counts.append(len(found[-1]))
-            at, n, toks = pa.array(np.repeat(np.arange(batch.num_rows), counts)), pa.array(np.array(ns, np.int32)), pa.array(np.concatenate(found))
-            yield pa.RecordBatch.from_arrays([toks, batch.column(0).take(at), n.take(at), pa.nulls(len(toks), pa.binary())], names=["tok", "th", "n", "bits"])
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(n), pa.int64()), batch.column(0), n, pa.array(bits, pa.binary())], names=["tok", "th", "n", "bits"])
-
-    return arrow_batches(rows).mapInArrow(each, "tok long, th long, n int, bits binary")
-
-
-def possible(pairs: DataFrame, bits: DataFrame, similarity: float) -> DataFrame:
+            for a, texts in slices(batch.column(2)):
+                n = len(texts)
+                words, owner, length = words_of(texts)
+                fps = majorities(words, owner, n, np.minimum(length, HEAVY).astype(np.float64) ** 3)
+                h, owner = shingles_of(texts, size)
+                counts = np.bincount(owner, minlength=n)
+                odd = (np.bincount(owner * BITS + (h & (BITS - 1)), minlength=n * BITS) & 1).astype(bool).reshape(n, BITS)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                    order = np.lexsort((h, np.where(known[at] == h, often[at], 0), owner))
+                    h = h[order]
+                rank = np.arange(len(h)) - np.repeat(np.cumsum(counts) - counts, counts)
+                prefix = counts - np.ceil(similarity * counts - 1e-6).astype(np.int64) + 1
+                kept = rank < prefix[owner]
+                toks, sizes = h[kept], np.minimum(prefix, counts)
+                if (counts == 0).any():  # texts without a word are alike: they share a token
+                    toks = np.insert(toks, np.repeat((np.cumsum(sizes) - sizes)[counts == 0], 1), 0)
+                    sizes = np.where(counts == 0, 1, sizes)
+                packed = np.packbits(odd, axis=1)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, n), batch.column(1).slice(a, n), pa.array(fps.view(np.int64), pa.int64()), pa.array(counts, pa.int32()), _lists(toks, sizes), pa.array([p.tobytes() for p in packed], pa.binary())], names=names)
+
+    return arrow_batches(base.select("id", "th", "text")).mapInArrow(each, "id long, th long, fp long, n int, toks array<long>, bits binary")
+
+
+def possible(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """The pairs (x, y) that may have the similarity: shingles that only one of two texts has are at least as many as bits that differ."""
-    both = pairs.join(bits.select(F.col("th").alias("x"), F.col("n").alias("nx"), F.col("bits").alias("bx")), "x").join(bits.select(F.col("th").alias("y"), F.col("n").alias("ny"), F.col("bits").alias("by")), "y")
+    both = pairs.join(texts.select(F.col("th").alias("x"), F.col("n").alias("nx"), F.col("bits").alias("bx")), "x").join(texts.select(F.col("th").alias("y"), F.col("n").alias("ny"), F.col("bits").alias("by")), "y")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -285,54 +338,78 @@ def possible(pairs: DataFrame, bits: DataFrame, similarity: float) -> DataFrame:
     return arrow_batches(both.select("x", "y", "nx", "ny", "bx", "by")).mapInArrow(each, "x long, y long")
 
 
-def unmet(docs: DataFrame, tree: DataFrame, size: int, similarity: float) -> DataFrame:
-    """(x, y): pairs of texts in different components of tree that share a shingle of their prefixes and whose bits allow
-    the similarity; among them are all such pairs of at least the similarity."""
-    found = cut(prefixes(docs, size, similarity))
-    tokens = found.where("tok is not null").select("tok", "th", "n")
-    shared = tokens.groupBy("tok").agg(F.min("th").alias("low"), F.max("th").alias("high")).where("low < high").select("tok")
-    rows = tokens.join(shared, "tok", "left_semi").distinct().join(tree.withColumnRenamed("node", "th"), "th", "left")
-    rows = cut(rows.select("tok", "th", "n", F.coalesce("root", "th").alias("root")))
+def meeting(texts: DataFrame, tree: DataFrame) -> DataFrame:
+    """(tok, th, n, root): the texts by their tokens (texts: th, n, toks), where texts of different components of tree share one."""
+    rooted = texts.select("th", "n", "toks").join(tree.withColumnRenamed("node", "th"), "th", "left")
+    rows = rooted.select(F.explode("toks").alias("tok"), "th", "n", F.coalesce("root", "th").alias("root"))
     mixed = rows.groupBy("tok").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("tok")
-    rows = cut(rows.join(mixed, "tok", "left_semi"))
+    return cut(rows.join(mixed, "tok", "left_semi"))
+
+
+def _sized(pairs: DataFrame, similarity: float) -> DataFrame:
+    """The distinct pairs x < y whose numbers of shingles allow the similarity."""
+    fit = pairs.where(F.least("nx", "ny") >= similarity * F.greatest("nx", "ny") - 1e-6)
+    return fit.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+
+
+def to_largest(rows: DataFrame, similarity: float) -> DataFrame:
+    """(x, y): for each token of rows (as meeting() gives them) a text of each component with one of the component that has most of
+    its texts; other tokens take other texts. A pair a component and token, so these merge what is dense at little cost."""
+    some = rows.groupBy("tok", "root").agg(F.count("*").alias("m"), F.min(F.struct(F.xxhash64("th", "tok").alias("r"), "th", "n")).alias("t"))
+    hub = some.groupBy("tok").agg(F.max(F.struct("m", "root", "t")).alias("h"))
+    met = some.join(hub, "tok").where(F.col("root") != F.col("h.root"))
+    return _sized(met.select(F.col("t.th").alias("x"), F.col("t.n").alias("nx"), F.col("h.t.th").alias("y"), F.col("h.t.n").alias("ny")), similarity)
+
+
+def unmet(rows: DataFrame, similarity: float) -> DataFrame:
+    """(x, y): all pairs of texts in different components that share a token and whose sizes allow the similarity."""
     # components meet before their texts do, so a group of near copies is never paired with itself
     roots = cut(rows.select("tok", "root").distinct())
     met = roots.withColumnRenamed("root", "ra").join(roots.withColumnRenamed("root", "rb"), "tok").where("ra < rb")
     met = met.join(rows.select("tok", F.col("root").alias("ra"), F.col("th").alias("x"), F.col("n").alias("nx")), ["tok", "ra"])
     met = met.join(rows.select("tok", F.col("root").alias("rb"), F.col("th").alias("y"), F.col("n").alias("ny")), ["tok", "rb"])
-    met = met.where(F.least("nx", "ny") >= similarity * F.greatest("nx", "ny") - 1e-6)
-    met = cut(met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
-    return possible(met, found.where("tok is null").dropDuplicates(["th"]), similarity)
+    return cut(_sized(met, similarity))
 
 
-def dedup(docs: DataFrame, radius: int = 3, size: int = 5, similarity: float = 0.8, kinds: int = 3, reach: int = 8) -> DataFrame:
-    """docs without the near-duplicates: of each group the row of the smallest id stays.
+def dedup(docs: DataFrame, radius: int = 3, size: int = 5, similarity: float = 0.8, reach: int = 8) -> DataFrame:
+    """docs without the near-duplicates: one document of each group stays, that of the smallest id.
 
     Texts are near if their shingles of size words have a Jaccard similarity of at least similarity (two texts without
-    a word are alike). Most links are found by fingerprints: of the words of at least CONTENT bytes, so that a few edits
-    move few bits, under several hash functions (kinds), where each text is compared with the nearest and the smallest
-    fingerprints that it meets. That leaves some out, so the groups so far are completed by the prefixes of the texts'
-    shingles, which every pair of the similarity shares: all pairs that meet there and aren't in one group yet are compared.
-    Equal texts are one node. Rows that repeat an id are one document; an id stays if one of its texts does; rows without
-    an id all stay.
+    a word are alike). The covering tables propose pairs by the fingerprints of the texts' words: all within the radius are
+    connected, and each text is compared with the nearest and the smallest that it meets up to the reach. That leaves
+    some out, so the groups so far are completed by the prefixes of the texts' shingles, which every pair of the
+    similarity shares: first each group meets the largest one at each shingle, then all pairs that meet there and still aren't in
+    one group are compared.
+
+    Equal texts are one node. Ids that are null come last; of documents of one id the smaller hash of the text comes first,
+    so a group keeps one of them; rows equal in id and text are one document, of which the row with the smallest hash of all
+    columns stays.
     """
-    prints = cut(fingerprints(docs, 1, least=CONTENT, kinds=kinds))
-    texts = cut(prints.where("doc_id is not null").groupBy("th").agg(F.min("doc_id").alias("id"), *[F.min(c).alias(c) for c in prints.columns[2:]]))
-    pairs = None
-    for fp in prints.columns[2:]:  # one kind after the other, so that the covering tables of one alone are in memory
-        heads = cut(texts.groupBy(F.col(fp).alias("fp")).agg(F.min(F.struct("id", "th"))["th"].alias("head")))
-        twins = texts.select("th", F.col(fp).alias("fp")).join(heads, "fp").where("th <> head").select(F.col("th").alias("x"), F.col("head").alias("y"))
-        near = links(heads, radius, reach=reach)
-        near = near.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b")
-        found = twins.unionByName(near.select("x", "y")).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-        pairs = found if pairs is None else pairs.unionByName(found)
-    pairs = cut(pairs.distinct())
-    sure = alike(docs, texts, pairs, size, similarity)
+    names, own = docs.columns, plain(docs)
+    c = lambda name: F.col(f"c{place(names, name)}")
+    text = F.coalesce(c("text").cast("string"), F.lit(""))
+    own = own.withColumns({"id": F.coalesce(c("doc_id").cast("long"), F.lit(LAST)), "th": F.xxhash64(text), "text": text})
+    base = own.select("id", "th", "text")
+    found = read_words(base, size, similarity)
+    texts = cut(found.groupBy("th").agg(F.min("id").alias("id"), *[F.any_value(n).alias(n) for n in ("fp", "n", "toks", "bits")]))
+    heads = cut(texts.groupBy("fp").agg(F.min(F.struct("id", "th"))["th"].alias("head")))
+    twins = texts.select("th", "fp").join(heads, "fp").where("th <> head").select(F.col("th").alias("x"), F.col("head").alias("y"))
+    near = links(heads, radius, reach=reach)
+    near = near.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b")
+    pairs = twins.unionByName(near.select("x", "y")).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    pairs = cut(possible(pairs.distinct(), texts, similarity))
+    ids = texts.select("id", "th")
+    sure = alike(base, ids, pairs, size, similarity)
     tree = cut(components(sure))
-    more = cut(unmet(docs, tree, size, similarity).join(pairs, ["x", "y"], "left_anti"))
-    tree = components(sure.unionByName(alike(docs, texts, more, size, similarity)))
-    groups = texts.join(tree.withColumnRenamed("node", "th"), "th", "left").groupBy(F.coalesce("root", "th").alias("group")).agg(F.min("id").alias("_kept"))
-    keep = groups.select("_kept").distinct()
-    kept = docs.join(keep, docs["doc_id"] == keep["_kept"], "left_semi")
-    kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+    for propose in (to_largest, unmet):
+        rows = meeting(texts, tree)
+        more = cut(possible(propose(rows, similarity).join(pairs, ["x", "y"], "left_anti"), texts, similarity))
+        pairs = pairs.unionByName(more)
+        sure = sure.unionByName(alike(base, ids, more, size, similarity))
+        tree = cut(components(sure))
+    groups = ids.join(tree.withColumnRenamed("node", "th"), "th", "left").groupBy(F.coalesce("root", "th").alias("group")).agg(F.min(F.struct("id", "th")).alias("k"))
+    kept = own.join(groups.select("k.id", "k.th"), ["id", "th"], "left_semi")
+    columns = [f"c{i}" for i in range(len(names))]
+    hashed = [n for n in columns if not isinstance(own.schema[n].dataType, (MapType, VariantType))]
+    one = kept.groupBy("id", "th").agg(F.min_by(F.struct(*columns), F.xxhash64(*hashed)).alias("row"))
+    return given_back(one.select("row.*"), names, [])
