@@ -22,7 +22,6 @@ near_groups(), and stay as they are in dedup(), whatever their names; its cases
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +37,7 @@ SEED = 42
 LIGHT = 256  # fingerprints compared in full in one row
 HEAVY = 16  # bytes of a word that weighs most in the fingerprints of dedup()
 LAST = 2**63 - 1
-KEPT_WORDS = 1 << 19  # hashes of words that a worker remembers
+LONG = 64  # bytes of a word that are hashed at once for all words
 SLICE = 4 << 20  # bytes of text worked on at once, at least one text
 MIX = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F)]
 SAMPLE, COMMON, MOST_COMMON = 16, 8, 100_000  # one text of so many is sampled; texts there that make a shingle common; the most that are listed
@@ -76,14 +75,13 @@ def majority(hashes: list[int]) -> int:
     return int(majorities(np.array(hashes, np.uint64), np.zeros(len(hashes), np.int64), 1)[0])
 
 
-def slices(column: pa.Array, most: int = 256) -> Iterator[tuple[int, list[bytes]]]:
-    """(first row, texts) of up to so many rows and SLICE bytes, or of one longer text; a null is empty."""
+def slices(column: pa.Array, most: int = 256) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, bytes, offsets) of up to so many rows and SLICE bytes, or of one longer text; a null is empty."""
     raw, at = buffers(column)
-    data, a = raw.tobytes(), 0
+    a = 0
     while a < len(at) - 1:
         b = min(a + most, max(a + 1, int(np.searchsorted(at, at[a] + SLICE, "right")) - 1))
-        ends = at[a : b + 1].tolist()
-        yield a, [data[i:j] for i, j in zip(ends, ends[1:])]
+        yield a, raw[at[a] : at[b]], at[a : b + 1] - at[a]
         a = b
 
 
@@ -95,10 +93,10 @@ def fingerprints(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_co
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.zeros(batch.num_rows, np.uint64)
-            for a, texts in slices(batch.column(2)):
-                hashes = [np.array(shingle_hashes(t, size), np.uint64) for t in texts]
-                owner = np.repeat(np.arange(len(texts)), [len(h) for h in hashes])
-                fps[a : a + len(texts)] = majorities(np.concatenate(hashes), owner, len(texts))
+            for a, raw, at in slices(batch.column(2)):
+                data, ends, n = raw.tobytes(), at.tolist(), len(at) - 1
+                hashes = [np.array(shingle_hashes(data[i:j], size), np.uint64) for i, j in zip(ends, ends[1:])]
+                fps[a : a + n] = majorities(np.concatenate(hashes), np.repeat(np.arange(n), [len(h) for h in hashes]), n)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64), pa.int64())], names=[id_col, "th", "fp"])
 
     return arrow_batches(base).mapInArrow(each, f"{id_col} long, th long, fp long")
@@ -218,30 +216,49 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- near-duplicates by the similarity of shingles ----------------------------------------------------------------
 
-_WORDS: dict[bytes, int] = {}
-
-
-def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, text it is of, bytes) of each word."""
-    words = [t.translate(LOWER).split() for t in texts]
-    counts = np.fromiter(map(len, words), np.int64, len(words))
-    flat = list(chain.from_iterable(words))
-    if len(_WORDS) > KEPT_WORDS:
-        _WORDS.clear()
-    for w in set(flat).difference(_WORDS):
-        _WORDS[w] = xxhash.xxh64_intdigest(w, SEED)
-    return np.fromiter(map(_WORDS.__getitem__, flat), np.uint64, len(flat)), np.repeat(np.arange(len(texts)), counts), np.fromiter(map(len, flat), np.int64, len(flat))
+WHITE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+LOWERED = np.frombuffer(LOWER, np.uint8)
+START, PRIME = np.uint64(0xCBF29CE484222325), np.uint64(0x100000001B3)  # of FNV-1a
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    """The finalizer of SplitMix64."""
+    h = (h ^ (h >> np.uint64(30))) * MIX[1]
+    h = (h ^ (h >> np.uint64(27))) * MIX[2]
+    return h ^ (h >> np.uint64(31))
+
+
+def words_of(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, row, bytes) of each word of the rows at the offsets, A-Z lower-cased: FNV-1a of the first LONG bytes, then mixed
+    with an XXH64 of what a longer word has beyond them."""
+    raw = LOWERED[raw]
+    inside = ~WHITE[raw]
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    filled = np.diff(at) > 0
+    begin, end = at[:-1][filled], at[1:][filled] - 1
+    first[begin], last[end] = inside[begin], inside[end]
+    starts = np.nonzero(first)[0]
+    length = np.nonzero(last)[0] + 1 - starts
+    h, live = np.full(len(starts), START), np.arange(len(starts))
+    for k in range(LONG):
+        live = live[length[live] > k]
+        if not len(live):
+            break
+        h[live] = (h[live] ^ raw[starts[live] + k]) * PRIME
+    for i in np.nonzero(length > LONG)[0].tolist():
+        h[i] ^= np.uint64(xxhash.xxh64_intdigest(raw[starts[i] + LONG : starts[i] + length[i]].tobytes(), SEED))
+    return mixed(h), np.searchsorted(at, starts, "right") - 1, length
 
 
-def shingles_of(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, text it is of) of the distinct shingles, by text; fewer words than size make one shingle."""
-    words, owner, _ = words_of(texts)
-    counts = np.bincount(owner, minlength=len(texts))
+def shingles_of(words: np.ndarray, owner: np.ndarray, n: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, row) of the distinct shingles of n rows' words, by row; fewer words than size make one shingle."""
+    counts = np.bincount(owner, minlength=n)
     ends = np.cumsum(counts)
     at = np.arange(len(words))
     length = np.minimum(ends[owner] - at, size)  # words that are left for a shingle
-    first = at == ends[owner] - counts[owner]
-    here = (length == size) | first
+    here = (length == size) | (at == ends[owner] - counts[owner])
     at, length, owner = at[here], length[here], owner[here]
     h = np.zeros(len(at), np.uint64)
     for j in range(size):
@@ -264,9 +281,10 @@ def shingle_sets(rows: DataFrame, size: int) -> DataFrame:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, texts in slices(batch.column(1)):
-                h, owner = shingles_of(texts, size)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(texts)), _lists(h, np.bincount(owner, minlength=len(texts)))], names=["th", "s"])
+            for a, raw, at in slices(batch.column(1)):
+                n = len(at) - 1
+                h, owner = shingles_of(*words_of(raw, at)[:2], n, size)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, n), _lists(h, np.bincount(owner, minlength=n))], names=["th", "s"])
 
     return arrow_batches(rows.select("th", "text")).mapInArrow(each, "th long, s array<long>")
 
@@ -299,11 +317,11 @@ def read_words(base: DataFrame, size: int, similarity: float) -> DataFrame:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, texts in slices(batch.column(2)):
-                n = len(texts)
-                words, owner, length = words_of(texts)
+            for a, raw, at in slices(batch.column(2)):
+                n = len(at) - 1
+                words, owner, length = words_of(raw, at)
                 fps = majorities(words, owner, n, np.minimum(length, HEAVY).astype(np.float64) ** 3)
-                h, owner = shingles_of(texts, size)
+                h, owner = shingles_of(words, owner, n, size)
                 counts = np.bincount(owner, minlength=n)
                 odd = (np.bincount(owner * BITS + (h & (BITS - 1)), minlength=n * BITS) & 1).astype(bool).reshape(n, BITS)
                 if len(known):
@@ -338,10 +356,13 @@ def possible(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
     return arrow_batches(both.select("x", "y", "nx", "ny", "bx", "by")).mapInArrow(each, "x long, y long")
 
 
-def meeting(texts: DataFrame, tree: DataFrame) -> DataFrame:
-    """(tok, th, n, root): the texts by their tokens (texts: th, n, toks), where texts of different components of tree share one."""
-    rooted = texts.select("th", "n", "toks").join(tree.withColumnRenamed("node", "th"), "th", "left")
-    rows = rooted.select(F.explode("toks").alias("tok"), "th", "n", F.coalesce("root", "th").alias("root"))
+def rooted(rows: DataFrame, tree: DataFrame) -> DataFrame:
+    """rows (of texts th) with root, their component in tree."""
+    return rows.join(tree.withColumnRenamed("node", "th"), "th", "left").withColumn("root", F.coalesce("root", "th"))
+
+
+def meeting(rows: DataFrame) -> DataFrame:
+    """rows (tok, th, n, root) where texts of different components share a token."""
     mixed = rows.groupBy("tok").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("tok")
     return cut(rows.join(mixed, "tok", "left_semi"))
 
@@ -401,8 +422,13 @@ def dedup(docs: DataFrame, radius: int = 3, size: int = 5, similarity: float = 0
     ids = texts.select("id", "th")
     sure = alike(base, ids, pairs, size, similarity)
     tree = cut(components(sure))
+    rows = None
     for propose in (to_largest, unmet):
-        rows = meeting(texts, tree)
+        if rows is None:
+            rows = rooted(texts.select("th", "n", "toks"), tree).select(F.explode("toks").alias("tok"), "th", "n", "root")
+        else:
+            rows = rooted(rows.drop("root"), tree)  # what once met in one component does so for good
+        rows = meeting(rows.select("tok", "th", "n", "root"))
         more = cut(possible(propose(rows, similarity).join(pairs, ["x", "y"], "left_anti"), texts, similarity))
         pairs = pairs.unionByName(more)
         sure = sure.unionByName(alike(base, ids, more, size, similarity))
