@@ -17,6 +17,7 @@ class Settings:
     title_tokens: int = 24
     section_tokens: int = 40
     # retrieval
+    retrieval_mode: str = "hybrid"
     top_k: int = 6
     pool: int = 40
     rrf_k: int = 60
@@ -53,18 +54,26 @@ class Settings:
     # model calls
     breaker_threshold: int = 5
     breaker_cooldown: float = 45.0
+    call_tries: int = 3
+    call_backoff: float = 0.8
+    call_timeout: float = 45.0
 
 
 SETTINGS = Settings()
 
 # Fixed values, by which results must agree: words without weight in the index, words without a topic of their own,
 # and words that end in a full stop inside a sentence.
-STOPWORDS = tuple(
-    "a an and are as at be been but by can did do does for from had has have how i if in into is it its of on or that the their them then there these they "
-    "this to was were what when where which who will with would you your".split()
+STOPWORDS = (
+    "a", "an", "and", "are", "as", "at", "be", "been", "but", "by", "can", "did", "do", "does", "for", "from", "had", "has", "have", "how", "i", "if",
+    "in", "into", "is", "it", "its", "of", "on", "or", "that", "the", "their", "them", "then", "there", "these", "they", "this", "to", "was", "were",
+    "what", "when", "where", "which", "who", "will", "with", "would", "you", "your",
 )
-FUNCTION_WORDS = tuple(
-    "about and what how the it that this those these one ones second third first last next other another of for is are was were do does did so then also too "
-    "much many more why when where who which me my i you your we our they them there here".split()
+FUNCTION_WORDS = (
+    "about", "and", "what", "how", "the", "it", "that", "this", "those", "these", "one", "ones", "second", "third", "first", "last", "next", "other",
+    "another", "of", "for", "is", "are", "was", "were", "do", "does", "did", "so", "then", "also", "too", "much", "many", "more", "why", "when",
+    "where", "who", "which", "me", "my", "i", "you", "your", "we", "our", "they", "them", "there", "here",
+)
+ABBREVIATIONS = (
+    "mr", "mrs", "ms", "dr", "prof", "sr", "jr", "st", "no", "vs", "fig", "eq", "al", "etc", "inc", "ltd", "co", "corp", "dept", "est", "approx",
+    "e.g", "i.e", "cf", "vol", "ch", "sec", "p", "pp",
 )
-ABBREVIATIONS = tuple("mr mrs ms dr prof sr jr st no vs fig eq al etc inc ltd co corp dept est approx e.g i.e cf vol ch sec p pp".split())

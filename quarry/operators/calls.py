@@ -9,8 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.config import SETTINGS
-from quarry.functions.text import found_json
+from quarry.functions.text import found_json, strip
+from quarry.functions.text import intent as intent_of
 from quarry.functions.vectors import hashed
+from quarry.operators import models
 
 ROLES = ("query", "passage", "similarity")
 Encode = Callable[[list[str], str], list[list[float]]]
@@ -67,15 +69,27 @@ def breaker(calls: DataFrame, key: str, order: str, failed: str, seconds: str, t
     return folded.select(key, "calls", "s.rejected", "s.opened", "s.state")
 
 
-def transient(error: Column) -> Column:
-    """Whether a call that failed with this message is worth another try."""
-    return error.rlike(r"(?i)\b(429|5\d\d|timeout|timed out|rate limit|connection|overloaded|unavailable)\b")
+def transient(error: Column, status: Column | None = None) -> Column:
+    """Whether a call that failed with this message (and status) is worth another try."""
+    by_word = F.exists(F.array(*[F.lit(w) for w in models.AGAIN_WORDS]), lambda w: F.contains(F.lower(error), w))
+    return by_word if status is None else F.coalesce(status.isin(*models.AGAIN_STATUS), F.lit(False)) | by_word
 
 
-def retry_after(error: Column) -> Column:
-    """Seconds that a message asks to wait: 'try again in 3.66s', '450ms'; null without one."""
-    number = F.regexp_extract(error, r"(?i)try again in\s*([\d.]+)\s*(ms|s)\b", 1).try_cast("double")
-    return F.when(F.regexp_extract(error, r"(?i)try again in\s*([\d.]+)\s*(ms|s)\b", 2).ilike("ms"), number / 1000).otherwise(number)
+def fatal(error: Column, status: Column | None = None) -> Column:
+    """Whether the same model is useless after this error."""
+    said = F.lower(error)
+    by_word = F.contains(said, F.lit("does not exist")) | F.contains(said, F.lit("decommissioned")) | (F.contains(said, F.lit("context")) & F.contains(said, F.lit("length")))
+    return by_word if status is None else F.coalesce(status.isin(*models.FATAL_STATUS), F.lit(False)) | by_word
+
+
+def retry_after(error: Column, headers: Column | None = None) -> Column:
+    """Seconds that a server asks to wait, by its headers (a map) or else by its message: 'try again in 3.66s', '450ms'; null without one."""
+    number = F.regexp_extract(error, r"(?i)try again in ([\d.]+)\s*(ms|s)\b", 1).try_cast("double")
+    said = F.when(F.regexp_extract(error, r"(?i)try again in ([\d.]+)\s*(ms|s)\b", 2).ilike("ms"), number / 1000).otherwise(number)
+    if headers is None:
+        return said
+    value = lambda key: F.rtrim(F.try_element_at(headers, F.lit(key)), F.lit("smh")).try_cast("double") / (1000 if key.endswith("-ms") else 1)
+    return F.coalesce(*[value(key) for key in models.WAIT_HEADERS], said)
 
 
 # --- replies of models ----------------------------------------------------------------------------------------------
@@ -101,16 +115,37 @@ def claim_verdicts(reply: Column) -> Column:
     return F.filter(pair, lambda p: p["id"].isNotNull() & p["verdict"].isin("supported", "partial", "unsupported"))
 
 
+# What a question may want.
+INTENTS = ("chitchat", "document_qa", "summarize", "compare", "meta")
+SOCIAL = ("chitchat", "meta")
+PLAN = "struct<intent:string,standalone:string,queries:array<string>,needs_retrieval:boolean,hyde:string,planner:string>"
+
+
+def _plan(planner: str, intent: Column, question: Column, **parts: Column) -> Column:
+    given = {"standalone": question, "queries": F.array(question), "needs_retrieval": ~intent.isin(*SOCIAL), "hyde": F.lit("")} | parts
+    return F.struct(intent.alias("intent"), *[v.alias(k) for k, v in given.items()], F.lit(planner).alias("planner")).cast(PLAN)
+
+
 def planned(question: Column, reply: Column) -> Column:
     """The plan in a model's reply, or the plan without a model where there is none."""
     v = F.try_parse_json(found_json(reply))
-    said = lambda name: F.trim(F.coalesce(F.try_variant_get(v, f"$.{name}", "string"), F.lit("")))
-    intent = F.when(F.lower(said("intent")).isin("document_qa", "chitchat", "meta"), F.lower(said("intent"))).otherwise("document_qa")
-    alone = F.when(said("standalone_question") != "", said("standalone_question")).otherwise(question)
-    asked = F.filter(F.transform(_entries(reply, "search_queries"), lambda e: F.trim(F.try_variant_get(e, "$", "string"))), lambda s: F.coalesce(s, F.lit("")) != "")
-    asked = F.when(F.size(asked) > 0, F.slice(asked, 1, SETTINGS.max_sub_queries)).otherwise(F.array(alone))
-    social = intent.isin("chitchat", "meta")
-    needs = F.when(social, False).otherwise(F.coalesce(F.try_variant_get(v, "$.needs_retrieval", "boolean"), F.lit(True)))
-    made = F.struct(intent.alias("intent"), alone.alias("standalone"), asked.alias("queries"), needs.alias("needs_retrieval"), F.substring(said("hypothetical_answer"), 1, SETTINGS.hyde_chars).alias("hyde"), F.lit("llm").alias("planner"))
-    none = F.struct(F.lit("document_qa").alias("intent"), question.alias("standalone"), F.array(question).alias("queries"), F.lit(True).alias("needs_retrieval"), F.lit("").alias("hyde"), F.lit("fallback").alias("planner"))
-    return F.when(v.isNull(), none).otherwise(made)
+    part = lambda name, kind="string": F.try_variant_get(v, f"$.{name}", kind)
+    said = {n: strip(F.coalesce(part(n), F.lit(""))) for n in ("intent", "standalone_question", "hypothetical_answer")}
+    intent = F.when(F.lower(said["intent"]).isin(*INTENTS), F.lower(said["intent"])).otherwise("document_qa")
+    social = intent.isin(*SOCIAL)
+    alone = F.coalesce(F.nullif(said["standalone_question"], F.lit("")), question)
+    asked = F.slice(F.filter(F.transform(_entries(reply, "search_queries"), lambda e: strip(F.try_variant_get(e, "$", "string"))), lambda s: F.coalesce(s, F.lit("")) != ""), 1, SETTINGS.max_sub_queries)
+    flag = F.when(F.schema_of_variant(part("needs_retrieval", "variant")) == "BOOLEAN", part("needs_retrieval", "boolean"))
+    by_model = _plan(
+        "llm", intent, question, standalone=alone, queries=F.when(F.size(asked) > 0, asked).otherwise(F.array(alone)), needs_retrieval=~social & F.coalesce(flag, F.lit(True)),
+        hyde=F.when(social, F.lit("")).otherwise(F.substring(said["hypothetical_answer"], 1, SETTINGS.hyde_chars)),
+    )
+    return F.when(v.isNull() | (F.to_json(v) == "{}"), _plan("fallback", F.lit("document_qa"), question)).otherwise(by_model)
+
+
+def plan_query(question: Column, reply: Column | None = None) -> Column:
+    """The plan of a question: by patterns where it needs no search, else by the model's reply (null: none came); without replies by the question alone."""
+    q = strip(F.coalesce(question, F.lit("")))
+    quick = intent_of(q)
+    rest = _plan("heuristic", F.lit("document_qa"), q) if reply is None else planned(q, F.coalesce(reply, F.lit("")))
+    return F.when(quick != "document_qa", _plan("heuristic", quick, q)).otherwise(rest)

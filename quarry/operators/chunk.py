@@ -38,18 +38,45 @@ def proxy(text: str) -> int:
     return max(1, int(len(text.split()) * 1.3))
 
 
+def cuts(sizes: list[int], breaks: list[bool], shifts: list[bool] | None, limit: int, least: int) -> list[int]:
+    """Where groups begin, and the end: each reaches to the next break, to where the limit would be passed, or to the first shift
+    beyond the least size, whichever comes first. All are found in running sums."""
+    upto = np.cumsum([0, *sizes])
+    stops = np.append(np.nonzero(breaks)[0], len(sizes))
+    turns = np.nonzero(shifts)[0] if shifts is not None else np.zeros(0, np.int64)
+    out, at = [0], 0
+    while at < len(sizes):
+        full = max(at + 1, int(np.searchsorted(upto, upto[at] + limit, "right")) - 1)
+        stop = int(stops[np.searchsorted(stops, at, "right")])
+        enough = max(at + 1, int(np.searchsorted(upto, upto[at] + least)))
+        turn = np.searchsorted(turns, enough)
+        at = min(full, stop, int(turns[turn]) if turn < len(turns) else len(sizes))
+        out.append(at)
+    return out
+
+
 def packed(sizes: list[int], breaks: list[bool], shifts: list[bool] | None, limit: int, least: int) -> list[list[int]]:
-    """Positions in groups: a new group at a break, where the limit would be passed, or at a shift once a group has the least."""
-    groups: list[list[int]] = []
-    total = 0
-    for i, n in enumerate(sizes):
-        shift = shifts is not None and shifts[i] and total >= least
-        if not groups or breaks[i] or total + n > limit or shift:
-            groups.append([])
-            total = 0
-        groups[-1].append(i)
-        total += n
-    return groups
+    """Positions in groups, as cuts() begins them."""
+    at = cuts(sizes, breaks, shifts, limit, least)
+    return [list(range(a, b)) for a, b in zip(at, at[1:])]
+
+
+def _bounded(units: list[dict], starts: list[int], limit: int) -> tuple[list[dict], list[int]]:
+    """The units, those over the limit cut by words, and where pieces begin: each part of a giant, what follows it, and each group."""
+    out, heads, first = [], [], set(starts)
+    alone = False
+    for i, u in enumerate(units):
+        words = u["text"].split() if proxy(u["text"]) > limit else None
+        if words or alone or i in first:
+            heads.append(len(out))
+        if words:
+            parts = [u | {"text": " ".join(words[a : a + limit])} for a in range(0, len(words), limit)]
+            heads += range(len(out) + 1, len(out) + len(parts))
+            out += parts
+        else:
+            out.append(u)
+        alone = bool(words)
+    return out, heads
 
 
 def chunks_of(units: list[dict], limit: int, overlap: int, least: int, shifts: list[bool] | None = None) -> list[dict]:
@@ -57,51 +84,38 @@ def chunks_of(units: list[dict], limit: int, overlap: int, least: int, shifts: l
     if not units:
         return []
     breaks = [i > 0 and (u["hard_break"] or u["section"] != units[i - 1]["section"]) for i, u in enumerate(units)]
-    if shifts is not None and len(units) < 3:
-        groups = [list(units)]
-    else:
-        groups = [[units[i] for i in g] for g in packed([proxy(u["text"]) for u in units], breaks, shifts, limit, least)]
-    sized: list[list[dict]] = []
-    for group in groups:
-        room = 0
-        fresh = True
-        for u in group:
-            n = proxy(u["text"])
-            if n > limit:  # a giant is cut by words
-                words = u["text"].split()
-                sized += [[u | {"text": " ".join(words[i : i + limit])}] for i in range(0, len(words), limit)]
-                fresh = True
-                continue
-            if fresh or room + n > limit:
-                sized.append([])
-                room, fresh = 0, False
-            sized[-1].append(u)
-            room += n
-    merged: list[list[dict]] = []
-    total = lambda g: sum(proxy(u["text"]) for u in g)
-    for group in sized:
-        if merged and total(group) < least and group[0]["section"] == merged[-1][-1]["section"] and total(merged[-1]) + total(group) <= limit:
-            merged[-1] = merged[-1] + group
-        else:
-            merged.append(group)
-    out, before = [], []
-    for group in merged:
-        tail, room = [], 0
-        for u in reversed(before):
-            room += proxy(u["text"])
-            if room > overlap:
-                break
-            tail.append(u)
-        tail.reverse()
-        if tail and tail[-1]["section"] != group[0]["section"]:
-            tail = []
-        text = " ".join(u["text"] for u in [*tail, *group]).strip()
+    one_group = shifts is not None and len(units) < 3
+    starts = [0] if one_group else cuts([proxy(u["text"]) for u in units], breaks, shifts, limit, least)[:-1]
+    parts, heads = _bounded(units, starts, limit)
+    sizes = [proxy(u["text"]) for u in parts]
+    pieces = cuts(sizes, [i in set(heads) for i in range(len(parts))], None, limit, 0)
+    upto = np.cumsum([0, *sizes])
+    ends = [pieces[0]]  # where chunks begin; a small piece goes to the chunk before it if section and room allow
+    for a, b in zip(pieces, pieces[1:]):
+        small = upto[b] - upto[a] < least and a > 0
+        if not (small and parts[a]["section"] == parts[a - 1]["section"] and upto[b] - upto[ends[-1]] <= limit) and a:
+            ends.append(a)
+    out, before = [], None  # the bounds of the chunk before
+    for a, b in zip(ends, [*ends[1:], len(parts)]):
+        tail = a
+        if before is not None and parts[before[1] - 1]["section"] == parts[a]["section"]:
+            tail = max(before[0], int(np.searchsorted(upto, upto[before[1]] - overlap)))
+            tail = min(tail, before[1])
+        carried = parts[tail : before[1]] if before is not None and tail < a else []
+        text = " ".join(u["text"] for u in [*carried, *parts[a:b]]).strip()
         if text:
-            out.append({"chunk_index": len(out), "text": text, "page": group[0]["page"], "section": group[0]["section"], "kind": group[0]["kind"], "tokens": proxy(text), "overlap_sentences": len(tail), "sentences": len(group)})
-            before = group
+            head = parts[a]
+            out.append({"chunk_index": len(out), "text": text, "page": head["page"], "section": head["section"], "kind": head["kind"], "tokens": proxy(text), "overlap_sentences": len(carried), "sentences": b - a})
+            before = (a, b)
     return out
 
 
+def tail_of(units: list[dict], overlap: int) -> list[dict]:
+    """The longest end of the units within the overlap budget."""
+    upto = np.cumsum([0, *(proxy(u["text"]) for u in units)])
+    return units[int(np.searchsorted(upto, upto[-1] - overlap)) :]
+
+
 def embedded(docs: DataFrame) -> DataFrame:
     """docs with vectors, an embedding for each of units: sentences are rows while they are embedded."""
     rows = docs.select("document_id", F.posexplode("units").alias("i", "u")).select("document_id", "i", hashed(F.col("u.text")).alias("v"))
@@ -143,7 +157,7 @@ def groups(docs: DataFrame, limit: int = SETTINGS.chunk_tokens) -> DataFrame:
 
 
 def topic_shifts(vectors: Column, percentile: float = SETTINGS.breakpoint_percentile) -> Column:
-    """For each vector of an ordered array, whether it is further from the one before than the percentile of all steps."""
+    """For each vector of an ordered array, whether it is further from the one before than the percentile of all steps (to nine digits)."""
 
     @F.pandas_udf("array<boolean>")
     def shifts(column: pd.Series) -> pd.Series:
@@ -155,8 +169,8 @@ def topic_shifts(vectors: Column, percentile: float = SETTINGS.breakpoint_percen
             v = np.stack([np.asarray(x, np.float64) for x in own])
             norm = np.linalg.norm(v, axis=1)
             scale = norm[1:] * norm[:-1]
-            steps = 1 - np.where(scale == 0, 0.0, (v[1:] * v[:-1]).sum(axis=1) / np.where(scale == 0, 1, scale))
-            out.append([False, *(steps > np.quantile(steps, percentile)).tolist()])
+            steps = np.round(1 - np.where(scale == 0, 0.0, (v[1:] * v[:-1]).sum(axis=1) / np.where(scale == 0, 1, scale)), 9)
+            out.append([False, *(steps > np.round(np.quantile(steps, percentile), 9)).tolist()])
         return pd.Series(out)
 
     return shifts(vectors)
@@ -167,3 +181,7 @@ def with_headers(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("embed_text", F.concat_ws("\n", context_header(F.col("title"), F.col("section"), F.col("page")), F.col("text")))
 
 
+def pages_units(pages: Column) -> Column:
+    """Units of a document given as an array of page texts: each page that isn't blank is one block of text."""
+    of = lambda p, i: F.transform(sentences(p), lambda s: F.struct(s.alias("text"), (i + 1).cast("int").alias("page"), F.lit("").alias("section"), F.lit("text").alias("kind"), F.lit(False).alias("hard_break")))
+    return F.flatten(F.transform(pages, of)).cast(f"array<{UNIT}>")

@@ -1,4 +1,4 @@
-"""Exact nearest vectors by cosine: each partition keeps its k best for each query, then the few of all partitions meet."""
+"""Exact nearest vectors by cosine: each task keeps its k best for each query, then the few of all tasks meet."""
 
 from __future__ import annotations
 
@@ -9,45 +9,55 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_QUERIES = 100_000  # broadcast at once; more are asked in rounds
+from quarry.operators.topk import SCHEMA, Best
 
+ROUND_BYTES = 64 << 20  # of query vectors that are sent to the vectors at once; more are asked in rounds
+CELLS = 1 << 22  # vectors x queries compared at once
 
-def _matrix(column: pa.Array, size: int) -> np.ndarray:
-    m = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), size)
+
+def _unit(m: np.ndarray) -> np.ndarray:
     norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
     return m / np.where(norm == 0, 1, norm)
 
 
+def _rounds(asked: DataFrame, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    rounds = max(1, -(-asked.count() * size * 8 // ROUND_BYTES))
+    for k in range(rounds):
+        part = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(rounds)) == k) if rounds > 1 else asked
+        rows = part.orderBy("query_id").collect()
+        if rows:
+            yield np.array([r[0] for r in rows], np.int64), _unit(np.array([r[1] for r in rows], np.float64))
+
+
 def search(queries: DataFrame, vectors: DataFrame, k: int, round_to: int = 4) -> DataFrame:
     """(query_id, chunk_id, rank, score) from queries (query_id, embedding) and vectors (chunk_id, embedding).
 
-    Filter vectors before the call: what is left out doesn't take a rank. Vectors of a length other than the
-    first query's, and null ones, are left out.
+    Filter vectors before the call: what is left out doesn't take a rank. Vectors of a length other than that of the
+    query with the smallest id, and null ones, are left out.
     """
     spark = queries.sparkSession
-    asked = queries.where("embedding is not null").select("query_id", "embedding").orderBy("query_id").limit(MAX_QUERIES + 1).collect()
-    if len(asked) > MAX_QUERIES:
-        raise ValueError(f"over {MAX_QUERIES} queries: ask them in rounds")
-    schema = "query_id long, chunk_id long, score double"
-    if not asked:
-        return spark.createDataFrame([], "query_id long, chunk_id long, rank int, score double")
-    size = len(asked[0][1])
-    ids = np.array([r[0] for r in asked if len(r[1]) == size])
-    q = np.array([r[1] for r in asked if len(r[1]) == size], np.float64)
-    norm = np.sqrt((q * q).sum(axis=1, keepdims=True))
-    shared = spark.sparkContext.broadcast((ids, q / np.where(norm == 0, 1, norm)))
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qid, qm = shared.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            own = batch.column(0).to_numpy(zero_copy_only=False)
-            s = np.maximum(_matrix(batch.column(1), size) @ qm.T, 0.0)
-            for j in range(s.shape[1]):
-                best = np.lexsort((own, -np.round(s[:, j], 6)))[:k]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), qid[j]), pa.int64()), pa.array(own[best], pa.int64()), pa.array(s[best, j])], names=["query_id", "chunk_id", "score"])
-
-    near = vectors.where(F.size("embedding") == size).select(F.col("chunk_id").cast("long").alias("chunk_id"), "embedding").mapInArrow(each, schema)
+    asked = queries.where("embedding is not null").select(F.col("query_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding")).persist()
+    first = asked.orderBy("query_id").first()
+    found = spark.createDataFrame([], SCHEMA)
+    if first is not None:
+        size = len(first[1])
+        near = vectors.where(F.size("embedding") == size).select(F.col("chunk_id").cast("long").alias("chunk_id"), "embedding")
+        for one in _rounds(asked.where(F.size("embedding") == size), size):
+            shared = spark.sparkContext.broadcast(one)
+
+            def each(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+                ids, asked_ = shared.value
+                best, step = Best(ids, k), max(1, CELLS // len(ids))
+                for batch in batches:
+                    own = batch.column(0).to_numpy(zero_copy_only=False)
+                    m = _unit(batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size))
+                    for low in range(0, len(own), step):
+                        s = np.maximum(m[low : low + step] @ asked_.T, 0.0)
+                        doc, query = np.nonzero(np.round(s, 6) >= best.floor)
+                        best.add(query, own[low + doc], s[doc, query])
+                yield best.batch()
+
+            found = found.unionByName(near.mapInArrow(each, SCHEMA))
+    asked.unpersist()
     order = Window.partitionBy("query_id").orderBy(F.round("score", 6).desc(), "chunk_id")
-    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "chunk_id", "rank", F.round("score", round_to).alias("score"))
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "chunk_id", "rank", F.round("score", round_to).alias("score"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quarry.config import SETTINGS
@@ -9,7 +10,7 @@ from quarry.functions import text as t
 from quarry.functions.vectors import cosine
 from quarry.operators import calls, evaluate, ground, planning
 from quarry.plans import sqltext as q
-from quarry.plans.retrieval import load
+from quarry.plans.retrieval import POOL, candidates, load
 from quarry.plans.texts import inline
 
 CITED = [(1, "Revenue rose【S1】."), (2, "It grew (S2)."), (3, "Both [S1, S2] say so."), (4, "See [Source 5] here."), (5, "In (2024) it fell."), (6, "Revenue was $48.2M. [S1]"), (7, "Real [S1] and fake [S9]."), (8, "A [S1] B [S2]."), (9, "Joined[S3] words  twice."), (10, "No marks."), (11, "Order [S4][S2] [S4].")]
@@ -50,23 +51,22 @@ def refusal_detection(spark, d):
 
 
 def lexical_support(spark, d):
-    """Each benchmark passage against the document of the same number."""
-    b, docs = load(spark, d, "benchmark"), load(spark, d, "documents").select("doc_id", F.col("text").alias("evidence"))
-    j = docs.join(F.broadcast(b), docs["doc_id"] == b["item_id"])
-    return j.select("item_id", F.round(t.lexical_support(F.col("text"), F.col("evidence")), 6).alias("support"))
+    """Each benchmark passage against the documents that share most of its words."""
+    c = candidates(spark, d, SETTINGS.top_k)
+    return c.select("query_id", "chunk_id", F.round(t.lexical_support(F.col("question"), F.col("text")), 6).alias("support"))
 
 
 def semantic_support(spark, d):
-    """The likest of vectors 20 to 29 for each of vectors 0 to 9."""
+    """The likest vector of the same label for every vector whose id is divisible by 100."""
     e = load(spark, d, "embeddings")
-    c, v = e.where("vec_id < 10").select(F.col("vec_id").alias("claim"), F.col("embedding").alias("a")), e.where("vec_id between 20 and 29").select(F.col("embedding").alias("b"))
-    packed = v.agg(F.collect_list("b").alias("bs"))  # ten passages of one answer
-    return c.crossJoin(F.broadcast(packed)).select("claim", F.round(F.array_max(F.transform("bs", lambda b: cosine(F.col("a"), b))), 5).alias("support"))
+    c = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("claim"), "label", F.col("embedding").alias("a"))
+    near = e.select("vec_id", "label", "embedding").join(c, "label").where("vec_id <> claim")
+    return near.groupBy("claim").agg(F.round(F.max(cosine(F.col("a"), F.col("embedding"))), 5).alias("support"))
 
 
 def grounding_confidence(spark, d):
-    """Confidence of made-up checked claims, a few for each tenth document."""
-    docs = load(spark, d, "documents").where("doc_id % 10 = 0").select(F.col("doc_id").alias("answer_id"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("claim_idx"))
+    """Confidence of answers with three checked claims each, a made-up one for every document."""
+    docs = load(spark, d, "documents").select(F.col("doc_id").alias("answer_id"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("claim_idx"))
     s = F.pmod(F.col("answer_id") * 7 + F.col("claim_idx") * 13, F.lit(100)) / 100.0
     rows = docs.withColumn("semantic", s).withColumn("lexical", 1 - s / 2).withColumn("citations", F.when(F.col("claim_idx") == 1, F.array().cast("array<int>")).otherwise(F.array(F.lit(1))))
     f = ground.confidence(ground.judged(rows))
@@ -74,8 +74,15 @@ def grounding_confidence(spark, d):
 
 
 def ground_answers(spark, d):
-    a = ground.ground(inline(spark, ANSWERS, "answer_id long, answer string, passages array<string>"))
-    return a.select("answer_id", "method", "verified", "abstained", "confidence", F.size("invalid").alias("invalid"))
+    """A few made-up answers, and every assistant turn as an answer from the turns before it in its conversation (at most six)."""
+    c = load(spark, d, "conversations").where("role <> 'system'")
+    before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-6, -1)
+    own = c.withColumn("passages", F.collect_list("text").over(before)).where("role = 'assistant'")
+    cite = F.when(F.col("turn") % 3 == 0, " [S1]").when(F.col("turn") % 3 == 1, " [S1] [S8]").otherwise("")
+    own = own.select((F.col("conv_id") * 1000 + F.col("turn")).alias("answer_id"), F.concat("text", cite).alias("answer"), "passages")
+    made = inline(spark, ANSWERS, "answer_id long, answer string, passages array<string>").withColumn("answer_id", -F.col("answer_id"))
+    a = ground.ground(own.unionByName(made))
+    return a.select("answer_id", "method", "verified", "abstained", "confidence", F.size("invalid").alias("invalid"), F.md5("answer").alias("answer_md5"))
 
 
 def intent_routing(spark, d):
@@ -152,6 +159,41 @@ CLAIMS = f"""cl as (select conv_id, turn, unnest(string_split(text, chr(10))) l,
 cb as (select conv_id, turn, li, {LINE} l from cl), cs as (select conv_id, turn, li, unnest({q.sentences('l')}) c, generate_subscripts({q.sentences('l')}, 1) si from cb where l <> '' and l not like '#%'),
 ck as (select * from cs where len(regexp_extract_all(regexp_replace(c, '\\[S(\\d+)\\]', '', 'g'), '[A-Za-z0-9]+')) >= 3 and length(c) >= 12)"""
 WEIGHT = "case when regexp_matches(trim(coalesce(w, k), '.,;:()'), '^(\\d[\\d,.%/-]*|[A-Z][A-Za-z0-9.-]{2,})$') then 3.0::double else 1.0::double end"
+
+
+def cleaned(c: str) -> str:
+    """Text hygiene of texts without marks that join lines."""
+    c = f"regexp_replace({c}, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]', '', 'g')"
+    c = f"regexp_replace({c}, '([\\p{{L}}\\p{{N}}_])-\\n([\\p{{L}}\\p{{N}}_])', '\\1\\2', 'g')"
+    c = f"regexp_replace(regexp_replace({c}, '[ \\t]{{2,}}', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g')"
+    c = f"array_to_string(list_transform(string_split({c}, chr(10)), lambda v: regexp_replace(v, '\\s+$', '')), chr(10))"
+    return q.strip(c)
+
+
+_MARKS = "[ \\t]*((?:\\[S\\d+\\])+)"
+_NORMAL = "regexp_replace(regexp_replace(regexp_replace(answer, '([.!?])" + _MARKS + "', ' \\2\\1', 'g'), '([^\\s(\\[])(\\[S\\d+\\])', '\\1 \\2', 'g'), '[ \\t]{2,}', ' ', 'g')"
+_BARE = "regexp_replace(claim, '\\[S(\\d+)\\]', '', 'g')"
+#: From ga(answer_id, answer, passages), answers that cite as [S#] in two marks in a row at most, to ground(answer_id, answer, refusal, invalid, confidence, verified, abstained, method).
+GROUND = f"""gn as (select answer_id, passages, {_NORMAL} answer from ga), gr as (select *, {_refusal('answer')} refusal, list_filter(list_distinct(list_transform(regexp_extract_all(answer, '\\[S(\\d+)\\]', 1), lambda x: x::int)), lambda x: x < 1 or x > len(passages)) bad from gn),
+gs as (select answer_id, passages, refusal, len(bad) invalid, case when refusal then answer else {q.strip("regexp_replace(regexp_replace(list_reduce(list_concat([answer], list_transform(bad, lambda x: '[S' || x || ']')), lambda a, m: replace(a, m, '')), '[ \\t]{2,}', ' ', 'g'), '\\s+([.,;:])', '\\1', 'g')")} end answer from gr),
+gl as (select answer_id, passages, unnest(string_split(answer, chr(10))) l, generate_subscripts(string_split(answer, chr(10)), 1) li from gs where not refusal and len(passages) > 0),
+gb as (select answer_id, passages, li, {LINE} l from gl), gc as (select answer_id, passages, li, unnest({q.sentences('l')}) claim, generate_subscripts({q.sentences('l')}, 1) si from gb where l <> '' and l not like '#%'),
+gk as (select *, answer_id || '/' || row_number() over (partition by answer_id order by li, si) id, {_BARE} bare, list_sort(list_filter(list_distinct(list_transform(regexp_extract_all(claim, '\\[S(\\d+)\\]', 1), lambda x: x::int)), lambda x: x between 1 and len(passages))) cites from gc
+ where len(regexp_extract_all({_BARE}, '[A-Za-z0-9]+')) >= 3 and length(claim) >= 12),
+ge as (select *, array_to_string(case when len(cites) > 0 then list_transform(cites, lambda n: passages[n]) else passages end, chr(10)) evidence from gk),
+gp as (select id, id || '#' || j pid, p from (select id, unnest(list_append(passages, evidence)) p, generate_subscripts(list_append(passages, evidence), 1) j from ge)),
+gcv as ({q.hashed('gk', 'id', 'bare')}), gpv as ({q.hashed('gp', 'pid', 'p')}),
+gm as (select gp.id, max(coalesce(case when isnan(list_cosine_similarity(c.v, p.v)) then 0 else list_cosine_similarity(c.v, p.v) end, 0)) semantic from gp join gcv c on c.id = gp.id join gpv p on p.id = gp.pid group by 1),
+gt as (select id, {q.tok('evidence')} ev, unnest(list_distinct({q.tok('bare')})) k, {q.words('bare')} ws from ge), gu as (select id, ev, k, list_filter(ws, lambda x: ({q.tok('x')})[1] = k)[1] w from gt),
+gx as (select id, case when len(any_value(ev)) = 0 then 0 else sum(case when list_contains(ev, k) then {WEIGHT} else 0 end) / sum({WEIGHT}) end lexical from gu group by 1),
+gw as (select answer_id, len(cites) = 0 alone, round(0.55::double * semantic + 0.45::double * coalesce(lexical, 0), 9) raw from ge join gm using (id) left join gx using (id)),
+gv as (select answer_id, alone, case when raw >= 0.42::double + 0.15::double then case when alone then 'partial' else 'supported' end when raw >= 0.42::double then 'partial' else 'unsupported' end verdict, round(case when alone then raw * 0.9::double else raw end, 3) support from gw),
+gq as (select answer_id, sum(case verdict when 'supported' then 1.0::double when 'partial' then 0.5 else 0 end) / count(*) ratio, avg(support) mean, bool_or(not alone) cited from gv group by 1),
+gf as (select *, round(least(1.0::double, 0.5::double * ratio + 0.35::double * mean + 0.15::double * case when cited then 1.0::double else 0.55 end), 3) conf from gq),
+gh as (select gs.*, gf.ratio, gf.conf, answer = '' or len(passages) = 0 empty from gs left join gf using (answer_id)),
+gi as (select *, round(greatest(0.0::double, case when refusal then 0.5::double when empty then 0.0 else coalesce(conf, 0.6) end - case when refusal then 0.0::double else 0.1::double * invalid end), 3) confidence,
+ case when refusal then true when empty then false else coalesce(ratio >= 0.5 and conf >= 0.25, true) end verified, case when refusal then 'refusal' when ratio is null and not empty then 'trivial' when empty then 'none' else 'hybrid-lexical-semantic' end as method from gh),
+ground as (select answer_id, refusal, invalid, confidence, verified, method, not refusal and confidence < 0.25 abstained, case when not refusal and confidence < 0.25 then {q.quoted(ground.ABSTAINED)} else answer end answer from gi)"""
 S_ = "(((i * 7 + c * 13) % 100) / 100.0::double)"
 SQL = {
     "parse_citations": "select * from (values (1, '1'), (2, '2'), (3, '1,2'), (4, '5'), (5, ''), (6, '1'), (7, '1,9'), (8, '1,2'), (9, '3'), (10, ''), (11, '2,4')) v(id, numbers)",
@@ -159,15 +201,18 @@ SQL = {
     "strip_invalid": "select id, " + q.strip("regexp_replace(regexp_replace(regexp_replace(s, '\\[S([3-9]|\\d\\d+)\\]', '', 'g'), '[ \\t]{2,}', ' ', 'g'), '\\s+([.,;:])', '\\1', 'g')") + f" s from {q.values(CITED, 'id, s')}",
     "split_claims": f"with {CLAIMS} select conv_id, turn, row_number() over (partition by conv_id, turn order by li, si) - 1 idx, md5(c) claim_md5 from ck",
     "refusal_detection": f"select id, {_refusal('s')} refusal from {CONV} union all select -id, {_refusal('s')} from {q.values(REPLIES, 'id, s')}",
-    "lexical_support": f"""with j as (select item_id, b.text c, {q.tok('d.text')} ev from benchmark b join documents d on d.doc_id = b.item_id),
-k as (select item_id, ev, unnest(list_distinct({q.tok('c')})) k, {q.words('c')} ws from j),
-s as (select item_id, ev, k, list_filter(ws, lambda x: ({q.tok('x')})[1] = k)[1] w from k)
-select item_id, round(case when len(any_value(ev)) = 0 then 0 else sum(case when list_contains(ev, k) then {WEIGHT} else 0 end) / sum({WEIGHT}) end, 6) support from s group by item_id""",
-    "semantic_support": "select a.vec_id claim, round(max(list_cosine_similarity(a.embedding::double[], b.embedding::double[])), 5) support from embeddings a, embeddings b where a.vec_id < 10 and b.vec_id between 20 and 29 group by 1",
-    "grounding_confidence": f"""with r as (select doc_id i, unnest([0, 1, 2]) c from documents where doc_id % 10 = 0), s as (select i, c, round(0.55::double * {S_} + 0.45::double * (1 - {S_} / 2), 9) raw from r),
+    "lexical_support": f"""with {POOL}, j as (select query_id, chunk_id, question c, {q.tok('text')} ev from ca where rank <= 6),
+k as (select query_id, chunk_id, ev, unnest(list_distinct({q.tok('c')})) k, {q.words('c')} ws from j),
+sw as (select query_id, chunk_id, ev, k, list_filter(ws, lambda x: ({q.tok('x')})[1] = k)[1] w from k)
+select query_id, chunk_id, round(case when len(any_value(ev)) = 0 then 0 else sum(case when list_contains(ev, k) then {WEIGHT} else 0 end) / sum({WEIGHT}) end, 6) support from sw group by query_id, chunk_id""",
+    "semantic_support": "select a.vec_id claim, round(max(list_cosine_similarity(a.embedding::double[], b.embedding::double[])), 5) support from embeddings a join embeddings b on a.label = b.label and a.vec_id <> b.vec_id where a.vec_id % 100 = 0 group by 1",
+    "grounding_confidence": f"""with r as (select doc_id i, unnest([0, 1, 2]) c from documents), s as (select i, c, round(0.55::double * {S_} + 0.45::double * (1 - {S_} / 2), 9) raw from r),
 v as (select i, c, case when raw >= 0.42::double + 0.15::double then case when c = 1 then 'partial' else 'supported' end when raw >= 0.42 then 'partial' else 'unsupported' end verdict, round(case when c = 1 then raw * 0.9::double else raw end, 3) support from s),
 a as (select i, count(*) claims, sum((c = 1)::int)::bigint uncited_claims, sum(case verdict when 'supported' then 1.0::double when 'partial' then 0.5 else 0 end) / count(*) ratio, avg(support) mean from v group by 1),
 f as (select *, round(least(1.0, 0.5::double * ratio + 0.35::double * mean + 0.15::double), 3) confidence from a) select i answer_id, claims, uncited_claims, round(ratio, 5) support_ratio, confidence, ratio >= 0.5 and confidence >= 0.25 verified from f""",
+    "ground_answers": f"""with cv as (select *, list(text) over (partition by conv_id order by turn rows between 6 preceding and 1 preceding) p from conversations where role <> 'system'),
+ga as (select conv_id * 1000 + turn answer_id, text || case turn % 3 when 0 then ' [S1]' when 1 then ' [S1] [S8]' else '' end answer, coalesce(p, []::varchar[]) passages from cv where role = 'assistant' union all select -i, a, p::varchar[] from {q.values(ANSWERS, 'i, a, p')}), {GROUND}
+select answer_id, method, verified, abstained, confidence, invalid::int invalid, md5(answer) answer_md5 from ground""",
     "intent_routing": f"select id, {_intent('s')} intent from {CONV} where role = 'user' union all select -id, {_intent('s')} from {q.values(QUESTIONS, 'id, s')}",
     "needs_history": f"select id, {_needs('s')} needed from {CONV} where role = 'user' union all select -id, {_needs('s')} from {q.values(QUESTIONS, 'id, s')}",
     "retrieval_queries": "select * from (values (1, 'when is the report due?', 'and when is it due?|report due date'), (2, 'what about expenses?', 'expense policy under STD-441|expenses|travel expenses'), (3, 'What is X policy?', 'x policy|policy x|a b|c d|e f')) v(id, resolved, extras)",

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.functions.text import squeeze
-from quarry.functions.vectors import hashed
 from quarry.operators import admin, answer
 from quarry.plans import sqltext as q
 from quarry.plans.retrieval import load
 from quarry.plans.texts import inline
+from quarry.sources import documents
 
 FILES = [("a.pdf", 10), ("b.xlsx", 10), ("c.md", 0), ("d.txt", 60 << 20), ("e.DOCX", 5), ("noending", 3)]
 LANGS = ["de", "en", "es", "fr", "it"]
@@ -41,8 +41,15 @@ def source_preview(spark, d):
 
 
 def delete_document_cascade(spark, d):
-    docs = load(spark, d, "documents").select("doc_id", "source", "n_chars")
-    return admin.delete(docs, docs.where("doc_id % 3 = 0"), "doc_id")
+    """What documents, vectors and labels keep when every third document goes."""
+    docs = load(spark, d, "documents")
+    tables = {"documents": (docs, "doc_id"), "embeddings": (load(spark, d, "embeddings"), "vec_id"), "labels": (load(spark, d, "labels"), "doc_id")}
+    kept = admin.purge(tables, docs.where("doc_id % 3 = 0"), "doc_id")
+    out = None
+    for name, df in kept.items():
+        part = df.select(F.lit(name).alias("table_name"), F.col(tables[name][1]).alias("id"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def upsert_chunks(spark, d):
@@ -52,8 +59,9 @@ def upsert_chunks(spark, d):
 
 
 def reindex_embed_hash(spark, d):
-    docs = load(spark, d, "documents").where(F.col("doc_id") % 5 == 0)
-    v = docs.select("doc_id", F.posexplode(hashed(F.col("text"))).alias("dim", "value"))
+    """Every document embedded anew under its header: the numbers that aren't zero."""
+    docs = load(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("document_id"), F.col("source").alias("title"), F.when(F.col("doc_id") % 3 > 0, F.col("lang")).alias("section"), F.when(F.col("doc_id") % 4 > 0, (F.col("doc_id") % 4).cast("int")).alias("page"), "text")
+    v = documents.reindex(docs).select(F.col("chunk_id").alias("doc_id"), F.posexplode("embedding").alias("dim", "value"))
     return v.where("value <> 0").select("doc_id", "dim", "value")
 
 
@@ -82,9 +90,10 @@ SQL = {
     "library_totals": "select count(*) documents, coalesce(sum(n_chars), 0)::bigint chars from documents",
     "library_hint": "select (select string_agg(source || '#' || doc_id, ', ' order by doc_id desc) from (select * from documents where lang = 'en' order by doc_id desc limit 5)) as names, (select count(*) from documents where lang = 'en') total",
     "source_preview": "select doc_id, source || ' > ' || lang as label, substr(text, 1, 600) preview from documents",
-    "delete_document_cascade": "select doc_id, source, n_chars from documents where doc_id % 3 <> 0",
+    "delete_document_cascade": "select 'documents' as table_name, doc_id id from documents where doc_id % 3 <> 0 union all select 'embeddings', vec_id from embeddings where vec_id % 3 <> 0 or vec_id not in (select doc_id from documents) union all select 'labels', doc_id from labels where doc_id % 3 <> 0 or doc_id not in (select doc_id from documents)",
     "upsert_chunks": "select doc_id, source, case when doc_id % 5 = 0 then 0 else n_chars end n_chars from documents union all select doc_id + 1000000, source, n_chars from documents where doc_id < 10",
-    "reindex_embed_hash": f"""with k as (select doc_id, md5(unnest({q.tok('text')})) h from documents where doc_id % 5 = 0), b as (select doc_id, ('0x' || substr(h, 1, 7))::bigint % 64 dim, case when ('0x' || substr(h, 8, 1))::int % 2 = 0 then 1.0::double else -1.0 end s from k)
+    "reindex_embed_hash": f"""with e as (select doc_id, '[Document: ' || source || case when doc_id % 3 > 0 then ' | Section: ' || lang else '' end || ' | Page: ' || doc_id % 4 || ']' || chr(10) || text as text from documents),
+k as (select doc_id, md5(unnest({q.tok('text')})) h from e), b as (select doc_id, ('0x' || substr(h, 1, 7))::bigint % 64 dim, case when ('0x' || substr(h, 8, 1))::int % 2 = 0 then 1.0::double else -1.0 end s from k)
 select doc_id, dim, sum(s) as value from b group by 1, 2 having sum(s) <> 0""",
     "upload_validation": "select * from (values ('a.pdf', null), ('b.xlsx', 'unsupported'), ('c.md', 'empty'), ('d.txt', 'too large'), ('e.DOCX', null), ('noending', 'unsupported')) v(name, reason)",
     "document_state": "select user_id, arg_max(event_type, event_id) event_type from events group by 1",

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quarry.plans import answers, library, retrieval, texts
+from quarry.plans import answers, library, retrieval, service, texts
 
-PARTS = (retrieval, texts, answers, library)
+PARTS = (retrieval, texts, answers, library, service)
 
 
 def flagship(spark, sf_dir):

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.config import SETTINGS
-from quarry.functions.text import tokens
-from quarry.operators import answer, bm25, dense, evaluate, fusion, rerank
+from quarry.functions.text import tokens, words
+from quarry.functions.vectors import hashed
+from quarry.operators import answer, bm25, dense, evaluate, fusion, rerank, retrieve
 from quarry.plans import sqltext as q
 
 
@@ -60,14 +61,19 @@ def bm25_topk_filtered(spark, d):
     return bm25.search(index(spark, d), asked(spark, d), SETTINGS.top_k, allowed)
 
 
+def own_queries(v):
+    """Every vector whose id is divisible by 100 asks for its neighbours among all."""
+    return v.where("chunk_id % 100 = 0").withColumnRenamed("chunk_id", "query_id")
+
+
 def dense_topk(spark, d):
     v = vectors(spark, d)
-    return dense.search(v.where("chunk_id < 10").withColumnRenamed("chunk_id", "query_id"), v, SETTINGS.pool)
+    return dense.search(own_queries(v), v, SETTINGS.pool)
 
 
 def dense_topk_filtered(spark, d):
     v = vectors(spark, d)
-    return dense.search(v.where("chunk_id < 10").withColumnRenamed("chunk_id", "query_id"), v.where("label % 2 = 0"), SETTINGS.top_k)
+    return dense.search(own_queries(v), v.where("label % 2 = 0"), SETTINGS.top_k)
 
 
 def arms(spark, d):
@@ -98,11 +104,41 @@ def retrieval_modes(spark, d):
 
 def mmr_select(spark, d):
     v = vectors(spark, d)
-    short = dense.search(v.where("chunk_id < 10").withColumnRenamed("chunk_id", "query_id"), v, SETTINGS.rerank_input)
+    short = dense.search(own_queries(v), v, SETTINGS.rerank_input)
     own = v.select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("query_embedding"))
     return fusion.mmr(short.join(v.select("chunk_id", "embedding"), "chunk_id").join(own, "query_id").select("query_id", "chunk_id", "rank", "query_embedding", "embedding"), SETTINGS.top_k)
 
 
+def questions(spark, d):
+    """Benchmark passages as questions, with their first and last eight words as further queries."""
+    b = load(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    w = words(F.col("question"))
+    return b.withColumn("extras", F.array(F.array_join(F.slice(w, 1, 8), " "), F.array_join(F.slice(w, F.greatest(F.size(w) - 7, F.lit(1)), 8), " ")))
+
+
+def hashed_vectors(spark, d):
+    return load(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), hashed(indexed(), "passage").alias("embedding"))
+
+
+def query_fanout(spark, d):
+    """Every question's three queries through both arms, fused."""
+    fan = retrieve.fan_out(questions(spark, d))
+    f = fusion.rrf(retrieve.hits(fan, index(spark, d), hashed_vectors(spark, d)))
+    return f.select("query_id", "chunk_id", F.round("rrf", 6).alias("rrf"), "dense_score", "sparse_score", F.array_join("sources", ",").alias("sources"))
+
+
+def retrieve_hybrid(spark, d):
+    r = retrieve.retrieve(questions(spark, d), index(spark, d), hashed_vectors(spark, d))
+    return r.select("query_id", "chunk_id", "rank", "score", F.array_join("sources", ",").alias("sources"))
+
+
+def retrieve_sparse(spark, d):
+    """The sparse arm alone, over documents of quality 1: no vectors, so no diversity."""
+    allowed = load(spark, d, "labels").where("quality = 1").select(F.col("doc_id").alias("chunk_id"))
+    r = retrieve.retrieve(questions(spark, d), index(spark, d), hashed_vectors(spark, d), mode="sparse", allowed=allowed)
+    return r.select("query_id", "chunk_id", "rank", "score")
+
+
 def candidates(spark, d, k=SETTINGS.rerank_input):
     hits = bm25.search(index(spark, d), asked(spark, d), k)
     docs = load(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text", F.col("source").alias("title"), F.col("lang").alias("section"))
@@ -151,9 +187,9 @@ def eval_recall_mrr_precision(spark, d):
     return evaluate.ranking(hits, relevant, items)
 
 
-QUERIES = {f.__name__: f for f in (tokenize_counts, bm25_postings, bm25_term_stats, bm25_topk, bm25_topk_filtered, dense_topk, dense_topk_filtered, rrf_fusion, hybrid_topk, retrieval_modes, mmr_select, heuristic_rerank, rerank_blend_topk, context_budget, extractive_answer, eval_recall_mrr_precision)}
+QUERIES = {f.__name__: f for f in (tokenize_counts, bm25_postings, bm25_term_stats, bm25_topk, bm25_topk_filtered, dense_topk, dense_topk_filtered, rrf_fusion, hybrid_topk, retrieval_modes, mmr_select, query_fanout, retrieve_hybrid, retrieve_sparse, heuristic_rerank, rerank_blend_topk, context_budget, extractive_answer, eval_recall_mrr_precision)}
 
-FIRST = "(select vec_id id, embedding::double[] v from embeddings where vec_id < 10)"
+FIRST = "(select vec_id id, embedding::double[] v from embeddings where vec_id % 100 = 0)"
 ITEMS = "(select vec_id id, embedding::double[] v from embeddings where vec_id in (select item_id from benchmark))"
 ARMS = f"""{q.bm25()}, sp as ({q.top('s', 40)}), {q.dense('de', 40, ITEMS, 'e.vec_id in (select doc_id from documents)')},
 li as (select query_id, chunk_id, rank, score, 'dense' arm from de union all select query_id, chunk_id, rank, score, 'sparse' from sp)"""
@@ -163,6 +199,15 @@ def fused(lists: str) -> str:
     return f"(select *, row_number() over (partition by query_id order by rrf desc, chunk_id) rank, round(rrf / max(rrf) over (partition by query_id), 4) score from (select query_id, chunk_id, round(sum(1.0::double / (60 + rank)), 12) rrf from {lists} group by all))"
 
 
+WORDS = q.words("text")
+FAN = f"""qs as (select item_id query_id, text, {WORDS} w from benchmark), fx as (select query_id, unnest([text, array_to_string(w[1:8], ' '), array_to_string(w[greatest(len(w) - 7, 1):], ' ')]) s, unnest([0, 1, 2]) i, text from qs),
+fa as (select query_id * 64 + row_number() over (partition by query_id order by i) - 1 id, s from fx where i = 0 or (s <> '' and {q.strip('s')} <> {q.strip('text')}))"""
+INDEXED = "concat_ws(' ', source, lang, text)"
+FANNED = f"""{FAN}, {q.bm25(asked="fa", ask_id="id", ask_text="s")}, dv as ({q.hashed('documents', 'doc_id', INDEXED)}), qv as ({q.hashed('fa', 'id', 's')}),
+nd as (select qv.id fid, dv.id chunk_id, greatest(0, coalesce(list_cosine_similarity(qv.v, dv.v), 0)) s from qv, dv),
+fd as (select fid query_id, chunk_id, rank, round(s, 4) score from (select *, row_number() over (partition by fid order by round(s, 6) desc, chunk_id) rank from nd) where rank <= 40),
+fs as ({q.top('s', 40)}),
+fl as (select query_id // 64 query_id, chunk_id, rank, score, 'dense' arm from fd union all select query_id // 64, chunk_id, rank, score, 'sparse' from fs)"""
 MODE = "select '{m}' as mode, count(*) hits, count(distinct query_id) questions, round(avg(score), 4) mean_score from {f} where rank <= 6 and score >= 0.15"
 POOL = f"""{q.bm25()}, ca as (select c.*, d.text, d.source title, d.lang section, b.text question from ({q.top('s', 20)}) c join documents d on d.doc_id = c.chunk_id join benchmark b on b.item_id = c.query_id)"""
 HEUR = f"""{POOL}, ct as (select *, {q.tok('text')} t, list_distinct({q.tok('question')}) qt, count(*) over (partition by query_id) n from ca),
@@ -192,6 +237,20 @@ r as (select distinct query_id, 0 pick, []::bigint[] picks from sl
     from r join sl on sl.query_id = r.query_id and not list_contains(r.picks, sl.chunk_id) join (select query_id, a, map(list(b), list(s)) like_ from si group by all) m on m.query_id = r.query_id and m.a = sl.chunk_id
     where r.pick < 6) where o = 1)
 select query_id, picks[pick] chunk_id, pick from r where pick > 0""",
+    "query_fanout": f"with {FANNED} select query_id, chunk_id, round(round(sum(1.0::double / (60 + rank)), 12), 6) rrf, max(score) filter (arm = 'dense') dense_score, max(score) filter (arm = 'sparse') sparse_score, string_agg(distinct arm, ',' order by arm) sources from fl group by query_id, chunk_id",
+    "retrieve_hybrid": f"""with recursive {FANNED}, fu as (select f.*, (select string_agg(distinct arm, ',' order by arm) from fl where fl.query_id = f.query_id and fl.chunk_id = f.chunk_id) sources from {fused('fl')} f where score >= 0.15),
+n as (select query_id, count(*) n from fu group by 1), sl as (select fu.*, dv.v, coalesce(list_cosine_similarity(dv.v, qv.v), 0) near from fu join n using (query_id) join dv on dv.id = fu.chunk_id join qv on qv.id = fu.query_id * 64 where rank <= 40 and n > 6),
+si as (select a.query_id, a.chunk_id a, b.chunk_id b, coalesce(list_cosine_similarity(a.v, b.v), 0) s from sl a join sl b using (query_id)),
+sm as (select query_id, a, map(list(b), list(s)) like_ from si group by all),
+r as (select distinct query_id, 0 pick, []::bigint[] picks from sl
+  union all
+  select query_id, pick + 1, list_append(picks, chunk_id) from (
+    select r.query_id, r.pick, r.picks, sl.chunk_id, row_number() over (partition by r.query_id order by round(0.65 * near - 0.35 * coalesce(list_max(list_transform(r.picks, lambda p: m.like_[p])), 0), 9) desc, sl.rank) o
+    from r join sl on sl.query_id = r.query_id and not list_contains(r.picks, sl.chunk_id) join sm m on m.query_id = r.query_id and m.a = sl.chunk_id
+    where r.pick < 20) where o = 1),
+p as (select query_id, picks[pick] chunk_id, pick from r where pick > 0)
+select query_id, chunk_id, pick as rank, score, sources from p join fu using (query_id, chunk_id) union all select query_id, chunk_id, rank, score, sources from fu join n using (query_id) where n <= 6""",
+    "retrieve_sparse": f"with {FAN}, {q.bm25(asked='fa', ask_id='id', ask_text='s')}, fs as ({q.top('(select * from s where chunk_id in (select doc_id from labels where quality = 1))', 40)}), fl as (select query_id // 64 query_id, chunk_id, rank from fs) select query_id, chunk_id, rank, score from {fused('fl')} where score >= 0.15 and rank <= 20",
     "heuristic_rerank": f"with {HEUR} select query_id, chunk_id, round(rs, 4) rerank_score from hr",
     "rerank_blend_topk": f"with {HEUR} select query_id, chunk_id, final_rank, blend from (select *, row_number() over (partition by query_id order by blend desc, rank) final_rank from (select *, round(0.85 * rs + (1 - 0.85::double) * score, 6) blend from hr)) where final_rank <= 6",
     "context_budget": f"with {POOL}, cu as (select *, sum({q.tokens(q.strip('text'))} + 30) over (partition by query_id order by rank) used from ca) select query_id, chunk_id, used::bigint used from cu where used <= 3000 or rank = 1",

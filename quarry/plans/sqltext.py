@@ -62,7 +62,15 @@ def sentences(c: str) -> str:
     return f"case when len({cut}) = 0 then []::varchar[] else string_split({joined}, chr(1)) end"
 
 
-def bm25(where: str = "") -> str:
+def hashed(table: str, key: str, text: str, size: int = 64) -> str:
+    """(id, v): the hashed embedding of each row's text."""
+    hashes = f"select {key} id, md5(unnest({tok(text)})) h from {table}"
+    parts = f"select id, ('0x' || substr(h, 1, 7))::bigint % {size} dim, case when ('0x' || substr(h, 8, 1))::int % 2 = 0 then 1.0::double else -1.0 end w from ({hashes})"
+    sums = f"select id, map(list(dim), list(w)) m from (select id, dim, sum(w) w from ({parts}) group by all) group by 1"
+    return f"select t.{key} id, list_transform(range({size}), lambda i: coalesce(m[i], 0.0::double)) v from {table} t left join ({sums}) k on k.id = t.{key}"
+
+
+def bm25(where: str = "", asked: str = "benchmark", ask_id: str = "item_id", ask_text: str = "text") -> str:
     """CTEs up to s(query_id, chunk_id, score)."""
     return f"""
 dt as (select doc_id chunk_id, {tok("concat_ws(' ', source, lang, text)")} t from documents),
@@ -71,7 +79,7 @@ tot as (select count(*) n, avg(len(t)) avgdl from dd),
 po as (select chunk_id, dl, term, count(*) tf from (select chunk_id, dl, unnest(t) term from dd) group by all),
 raw as (select term, count(*) df, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) r from po, tot group by term, n),
 terms as (select term, df, case when r < 0 then 0.25 * (select avg(r) from raw) else r end idf from raw),
-q as (select query_id, term, count(*) qtf from (select item_id query_id, unnest({tok("text")}) term from benchmark) group by all),
+q as (select query_id, term, count(*) qtf from (select {ask_id} query_id, unnest({tok(ask_text)}) term from {asked}) group by all),
 s as (select query_id, chunk_id, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) score from q join terms using (term) join po using (term), tot group by all {where})"""
 
 

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+import pandas as pd
 from pyspark.sql import functions as F
 
 from quarry.config import SETTINGS
 from quarry.functions import text as t
-from quarry.functions.vectors import cosine
 from quarry.operators import chunk, parse
 from quarry.plans import sqltext as q
 from quarry.plans.retrieval import load
@@ -98,18 +97,21 @@ def chunk_semantic(spark, d):
 
 
 def semantic_breakpoints(spark, d):
-    e = load(spark, d, "embeddings")
-    w = Window.partitionBy("label").orderBy("vec_id")
-    steps = e.select("vec_id", "label", F.round(1 - cosine(F.lag("embedding").over(w), F.col("embedding")), 9).alias("distance")).where("distance is not null")
-    cut = F.expr(f"percentile(distance, {SETTINGS.breakpoint_percentile})").over(Window.partitionBy("label"))
-    return steps.withColumn("cut", cut).where("distance > cut").select("label", "vec_id", F.round("distance", 5).alias("distance"))
+    """Topic shifts among the vectors of each label, as if it were a document."""
+    e = load(spark, d, "embeddings").groupBy("label").agg(F.array_sort(F.collect_list(F.struct("vec_id", F.col("embedding").cast("array<double>").alias("v")))).alias("s"))
+    shifts = e.select("label", F.col("s.vec_id").alias("ids"), chunk.topic_shifts(F.col("s.v")).alias("shifts"))
+    return shifts.select("label", F.inline(F.arrays_zip("ids", "shifts"))).where("shifts").select("label", F.col("ids").alias("vec_id"))
 
 
 def overlap_tail(spark, d):
     """The last sentences of each document within the overlap budget."""
-    s = load(spark, d, "documents").select("doc_id", F.posexplode(t.sentences(F.col("text"))).alias("idx", "s"))
-    w = Window.partitionBy("doc_id").orderBy(F.col("idx").desc())
-    return s.withColumn("used", F.sum(t.token_count(F.col("s"))).over(w)).where(F.col("used") <= SETTINGS.overlap_tokens).groupBy("doc_id").agg(F.count("*").alias("sentences"), F.max("used").alias("tokens"))
+
+    @F.pandas_udf("struct<sentences:long,tokens:long>")
+    def tails(column: pd.Series) -> pd.DataFrame:
+        own = [chunk.tail_of(list(u), SETTINGS.overlap_tokens) for u in column]
+        return pd.DataFrame({"sentences": [len(o) for o in own], "tokens": [sum(chunk.proxy(u["text"]) for u in o) for o in own]})
+
+    return unit_rows(spark, d).select(F.col("document_id").alias("doc_id"), tails("units").alias("t")).select("doc_id", "t.*").where("sentences > 0")
 
 
 def token_bounds_merge(spark, d):
@@ -146,6 +148,23 @@ UNITS = f"u as (select doc_id, unnest({q.sentences('text')}) s, generate_subscri
 PACK = f"""with recursive {UNITS}, z as (select doc_id, list(n order by i) ns, list(s order by i) ss, count(*) m from k group by 1),
 g as (select doc_id, ns, ss, m, 1 i, 0 gid, ns[1] tot from z
  union all select doc_id, ns, ss, m, i + 1, case when tot + ns[i + 1] > 420 then gid + 1 else gid end, case when tot + ns[i + 1] > 420 then ns[i + 1] else tot + ns[i + 1] end from g where i < m)"""
+#: Units cut by words where they are over the limit, in pieces p, merged into chunks ch: mg(doc_id, i, s, n, p, ch).
+MERGED = f"""gw as (select doc_id, i, gid, unnest(case when ns[i] > 420 then list_transform(range(0, len(ws), 420), lambda a: array_to_string(ws[a + 1:a + 420], ' ')) else [ss[i]] end) s, unnest(case when ns[i] > 420 then range(0, len(ws), 420) else [0] end) part, ns[i] > 420 giant from (select *, {q.words('ss[i]')} ws from g)),
+gp as (select *, {q.tokens('s')} n, dense_rank() over (partition by doc_id order by gid, case when giant then i else 0 end, part) p from gw),
+pt as (select doc_id, p, sum(n)::bigint n from gp group by all), pl as (select doc_id, list(n order by p) pn from pt group by 1),
+pm as (select doc_id, pn, 1 p, 1 ch, pn[1] tot from pl union all
+ select doc_id, pn, p + 1, case when pn[p + 1] < 48 and tot + pn[p + 1] <= 420 then ch else ch + 1 end, case when pn[p + 1] < 48 and tot + pn[p + 1] <= 420 then tot + pn[p + 1] else pn[p + 1] end from pm where p < len(pn)),
+mg as (select gp.doc_id, row_number() over (partition by gp.doc_id order by gp.i, part) i, s, n, gp.p, ch from gp join pm using (doc_id, p))"""
+CHUNKED = f"{PACK}, {MERGED}"
+SEMANTIC = f"""with recursive {UNITS}, kd as (select doc_id * 100000 + i id, s from k), kv as ({q.hashed('kd', 'id', 's')}),
+ds as (select k.doc_id, k.i, round(1 - coalesce(case when isnan(list_cosine_similarity(a.v, b.v)) then 0 else list_cosine_similarity(a.v, b.v) end, 0), 9) d from k join kv b on b.id = k.doc_id * 100000 + k.i join kv a on a.id = k.doc_id * 100000 + k.i - 1 where k.i > 1),
+dc as (select doc_id, round(quantile_cont(d, 0.88::double), 9) cut from ds group by 1), sf as (select k.doc_id, k.i, k.s, k.n, coalesce(d > cut, false) sh from k left join ds using (doc_id, i) left join dc using (doc_id)),
+z as (select doc_id, list(n order by i) ns, list(s order by i) ss, list(sh order by i) sh, count(*) m from sf group by 1),
+g as (select doc_id, ns, ss, sh, m, 1 i, 0 gid, ns[1] tot from z
+ union all select doc_id, ns, ss, sh, m, i + 1, case when cut then gid + 1 else gid end, case when cut then ns[i + 1] else tot + ns[i + 1] end from (select *, case when m < 3 then ns[i + 1] > 420 or ns[i] > 420 or tot + ns[i + 1] > 420 else tot + ns[i + 1] > 420 or (sh[i + 1] and tot >= 48) end cut from g where i < m)),
+{MERGED}, mt as (select doc_id, ch, list(s order by i) ss, list(n order by i) ns from mg group by all), tl as (select a.*, b.ss ps, b.ns pn from mt a left join mt b on b.doc_id = a.doc_id and b.ch = a.ch - 1),
+tc as (select *, len(list_filter(range(1, coalesce(len(pn), 0) + 1), lambda j: list_sum(pn[j:]) <= 64)) c from tl), tx as (select *, array_to_string(list_concat(coalesce(ps[len(ps) - c + 1:], []), ss), ' ') t from tc)
+select doc_id document_id, count(*)::int chunks, sum({q.tokens('t')})::int tokens from tx group by 1"""
 SQL = {
     "clean_text": f"select doc_id, md5({_clean('text')}) cleaned from documents union all select -id, {_clean('s')} from {q.values(CLEAN, 'id, s')}",
     "repeated_lines": f"""with l as (select source, doc_id, unnest(string_split(text, chr(10))) line from documents), h as (select distinct source, doc_id, regexp_replace({q.strip('line')}, '\\d+', '#', 'g') line from l where length({q.strip('line')}) between 1 and 89),
@@ -172,7 +191,13 @@ select document_id, block_idx, section from r where block_idx >= 0""",
     "token_counts": f"select doc_id, {q.tokens('text')} tokens, case when len({q.words('text')}) > 12 then array_to_string({q.words('text')}[1:12], ' ') else text end head from documents",
     "pack_structural": PACK + " select doc_id document_id, gid chunk_index, count(*)::int sentences, md5(string_agg(ss[i], ' ' order by i)) text_md5 from g group by doc_id, gid",
     "semantic_breakpoints": """with s as (select vec_id, label, round(1 - list_cosine_similarity(lag(embedding::double[]) over (partition by label order by vec_id), embedding::double[]), 9) distance from embeddings),
-c as (select label, quantile_cont(distance, 0.88::double) cut from s where distance is not null group by 1) select label, vec_id, round(distance, 5) distance from s join c using (label) where distance > cut""",
+c as (select label, round(quantile_cont(distance, 0.88::double), 9) cut from s where distance is not null group by 1) select label, vec_id from s join c using (label) where distance > cut""",
+    "chunk_documents": CHUNKED + """, mt as (select doc_id, ch, sum(n) n, list(s order by i) ss, list(n order by i) ns, min(i) lo from mg group by all),
+tl as (select a.*, b.ss ps, b.ns pn from mt a left join mt b on b.doc_id = a.doc_id and b.ch = a.ch - 1),
+tc as (select *, len(list_filter(range(1, coalesce(len(pn), 0) + 1), lambda j: list_sum(pn[j:]) <= 64)) c from tl),
+tx as (select *, array_to_string(list_concat(coalesce(ps[len(ps) - c + 1:], []), ss), ' ') t from tc)
+select doc_id document_id, (ch - 1)::int chunk_index, """ + q.tokens("t") + """ tokens, c::int overlap_sentences, len(ss)::int sentences, md5('[Document: doc ' || doc_id || ' | Section: ' || lang || ' | Page: 1]' || chr(10) || t) embed_md5 from tx join documents using (doc_id)""",
+    "chunk_semantic": SEMANTIC,
     "overlap_tail": f"with {UNITS} select doc_id, count(*) sentences, max(used)::bigint tokens from (select *, sum(n) over (partition by doc_id order by i desc) used from k) where used <= 64 group by 1",
     "token_bounds_merge": "select * from (values (1, 0, 546, 1), (1, 1, 546, 1), (1, 2, 78, 1), (2, 0, 396, 3), (3, 0, 390, 10), (3, 1, 390, 10)) v(document_id, i, tokens, sentences)",
     "context_headers": "select doc_id, '[Document: ' || source || case when doc_id % 3 > 0 then ' | Section: ' || lang else '' end || ' | Page: ' || (doc_id % 7 + 1) || ']' header from documents",
