@@ -1,6 +1,6 @@
 """Line dedup by pairwise alignment.
 
-Lines of at least min_words words are hashed (white space as one space; the j-th occurrence of a line in its document
+Lines of at least min_words words are hashed (runs of ASCII white space as one space; the j-th occurrence of a line in its document
 is a line of its own, so every hash is unique in its document, as patience diff wants). Documents overlap if they share a
 rare line, one that at most RARE documents hold: a document is paired with each earlier holder of each of its rare lines.
 A line that more documents hold pairs each of them with its first holder only, so a line of very many documents costs each
@@ -30,11 +30,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import arrow_batches, cut, given_back, place, plain, table
+from .words import Sequence, mixed, slices, words_of
 
 MIN_WORDS = 8
 MIN_BLOCK_WORDS = 8
@@ -45,50 +45,80 @@ LAST = 2**63 - 1
 def split_lines(text: str, min_words: int) -> tuple[list[str], list[tuple[int, int]]]:
     """The lines, and (position, words) of those that are long enough."""
     lines = text.split("\n")
-    return lines, [(i, n) for i, n in enumerate(len(s.split()) for s in lines) if n >= min_words]
+    return lines, [(i, n) for i, n in enumerate(len(s.encode().split()) for s in lines) if n >= min_words]
 
 
-def _hash(*parts: str) -> int:
-    return xxhash.xxh64_intdigest("\n".join(parts)) - 2**63
+def _ranks(sorted_keys: list[np.ndarray]) -> np.ndarray:
+    """The place of each row among those with equal keys, from 0; rows with equal keys stand together."""
+    n = len(sorted_keys[0])
+    new = np.ones(n, bool)
+    new[1:] = np.any([k[1:] != k[:-1] for k in sorted_keys], axis=0)
+    at = np.arange(n)
+    return at - np.maximum.accumulate(np.where(new, at, 0))
 
 
-def line_rows(text: str, min_words: int) -> list[tuple[int, int, int, int, int]]:
-    """(number, hash, hash of the shorter lines before, the same after, words) of each long line."""
-    lines, long = split_lines(text, min_words)
-    out, seen = [], {}
-    for k, (i, n) in enumerate(long):
-        bare = " ".join(lines[i].split())
-        seen[bare] = j = seen.get(bare, 0) + 1
-        before = long[k - 1][0] + 1 if k else 0
-        after = long[k + 1][0] if k + 1 < len(long) else len(lines)
-        out.append((k, _hash(bare, str(j)), _hash("start" if not k else "", *lines[before:i]), _hash("end" if k + 1 == len(long) else "", *lines[i + 1 : after]), n))
-    return out
+def line_rows(raw: np.ndarray, at: np.ndarray, min_words: int, min_block_words: int, later_holders: bool) -> dict[str, np.ndarray]:
+    """Of texts at the offsets, by text (at): the long lines, and the runs, whose last line is to and whose first is k (to is -1 for lines).
 
-
-def run_rows(text: str, min_block_words: int, later_holders: bool) -> list[tuple[int, int, int]]:
-    """(first line, hash, last line) of each run: places among all lines of the text; empty lines don't count.
-
-    Runs of long lines alone and repeated lines are given for later_holders only; a repeated line has the hash that
-    line_rows gives to its first occurrence.
+    A line has its number k among the text's long lines, its hash h, those of the shorter lines before and after it (gb, ga)
+    and its words w. Lines of runs are numbered among all lines of the text; empty lines don't count in a run. Runs of long lines
+    alone and repeated lines are given for later_holders only; a repeated line has the hash of its first occurrence.
     """
-    bare = [(i, s.split()) for i, s in enumerate(text.split("\n"))]
-    bare = [(i, " ".join(w), len(w)) for i, w in bare if w]
-    ends, each = np.cumsum([0, *(n for _, _, n in bare)]), np.arange(len(bare))
-    if 0 < ends[-1] < min_block_words:
-        return [(bare[0][0], _hash("whole", *(s for _, s, _ in bare)), bare[-1][0])]
-    to = np.maximum(each + 2, np.searchsorted(ends, ends[:-1] + min_block_words)).tolist()
-    start = np.minimum(each - 1, np.searchsorted(ends, ends[1:] - min_block_words, "right") - 1).tolist()
-    spans = {(k, b) for k, b in enumerate(to) if b <= len(bare)} | {(a, k + 1) for k, a in enumerate(start) if a >= 0}
-    if not later_holders:
-        spans = {(a, b) for a, b in spans if any(n < min_block_words for _, _, n in bare[a:b])}
-    out = [(bare[a][0], _hash("run", *(s for _, s, _ in bare[a:b])), bare[b - 1][0]) for a, b in sorted(spans)]
-    seen = set()
-    for i, s, n in bare if later_holders else []:
-        if n >= min_block_words:
-            if s in seen:
-                out.append((i, _hash(s, "1"), i))
-            seen.add(s)
-    return out
+    n = len(at) - 1
+    words, text, _, starts = words_of(raw, at, lower=False)
+    newlines = np.concatenate(([0], np.cumsum(raw == 10)))
+    count = newlines[at[1:]] - newlines[at[:-1]] + 1  # of lines
+    first = np.concatenate(([0], np.cumsum(count)))  # line of each text, among all
+    line = first[text] + newlines[starts] - newlines[at[text]]
+    size = np.bincount(line, minlength=first[-1])  # words of each line
+    begin = np.cumsum(size) - size
+    h = Sequence(words).of(begin, begin + size, 1)
+    of = np.repeat(np.arange(n), count)  # text of each line
+    every = Sequence(h)
+    once = Sequence(h).of(np.arange(len(h)), np.arange(len(h)) + 1, 2)  # the hash of a line's first occurrence
+
+    long = np.nonzero(size >= min_words)[0]
+    order = np.lexsort((long, h[long], of[long]))
+    again = np.empty(len(long), np.int64)
+    again[order] = _ranks([of[long][order], h[long][order]])
+    number = _ranks([of[long]]) if len(long) else long
+    last = np.ones(len(long), bool)
+    last[:-1] = of[long][1:] != of[long][:-1]
+    before = np.where(number > 0, np.roll(long, 1) + 1, first[of[long]])
+    after = np.where(last, first[of[long] + 1], np.roll(long, -1))
+    out = {
+        "at": of[long], "k": number, "h": np.where(again > 0, mixed(once[long] + again.astype(np.uint64)), once[long]), "gb": every.of(before, long) + (number == 0).astype(np.uint64),
+        "ga": every.of(long + 1, after) + last.astype(np.uint64), "w": size[long], "to": np.full(len(long), -1),
+    }
+
+    bare = np.nonzero(size)[0]
+    upto = np.concatenate(([0], np.cumsum(size[bare])))
+    low, high = np.searchsorted(of[bare], np.arange(n)), np.searchsorted(of[bare], np.arange(n), "right")
+    small = upto[high] - upto[low] < min_block_words  # texts that are one run as a whole
+    each = np.arange(len(bare))
+    to = np.maximum(each + 2, np.searchsorted(upto, upto[:-1] + min_block_words))
+    start = np.minimum(each - 1, np.searchsorted(upto, upto[1:] - min_block_words, "right") - 1)
+    fits, reaches = to <= high[of[bare]], start >= low[of[bare]]
+    spans = np.unique(np.concatenate((each[fits] * (len(bare) + 1) + to[fits], start[reaches] * (len(bare) + 1) + each[reaches] + 1)))
+    a, b = spans // (len(bare) + 1), spans % (len(bare) + 1)
+    keep = ~small[of[bare[a]]] if len(a) else np.zeros(0, bool)
+    if not later_holders and len(a):
+        short = np.concatenate(([0], np.cumsum(size[bare] < min_block_words)))
+        keep &= short[b] > short[a]
+    a, b = a[keep], b[keep]
+    whole = np.nonzero(small & (high > low))[0]
+    a, b, tag = np.concatenate((a, low[whole])), np.concatenate((b, high[whole])), np.repeat([3, 4], [len(a), len(whole)])
+    runs = Sequence(h[bare]).of(a, b) ^ mixed(tag.astype(np.uint64))
+    own = [bare[a], runs, bare[b - 1] if len(b) else b]
+    if later_holders:
+        wide = np.nonzero(size >= min_block_words)[0]
+        order = np.lexsort((wide, h[wide], of[wide]))
+        repeated = wide[order][_ranks([of[wide][order], h[wide][order]]) > 0] if len(wide) else wide
+        own = [np.concatenate(x) for x in zip(own, [repeated, once[repeated], repeated])]
+    lines, hashes, ends = own
+    none = np.zeros(len(lines), np.int64)
+    more = {"at": of[lines], "k": lines - first[of[lines]], "h": hashes, "gb": none.astype(np.uint64), "ga": none.astype(np.uint64), "w": none, "to": ends - first[of[lines]]}
+    return {k: np.concatenate((out[k], more[k])) for k in out}
 
 
 def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -98,19 +128,16 @@ def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
 def lines_of(docs: DataFrame, min_words: int, min_block_words: int, later_holders: bool) -> DataFrame:
     """The long lines, and the runs: these have their last line in the column to and their first in k; to is null for lines."""
     rows = keyed(docs.select("doc_id", F.col("text").cast("string").alias("text"))).select("doc", "th", "text").where("text is not null")
-    names = ["doc", "th", "k", "h", "gb", "ga", "w", "to"]
+    kinds = {"k": pa.int32(), "h": pa.int64(), "gb": pa.int64(), "ga": pa.int64(), "w": pa.int32(), "to": pa.int32()}
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, counts = [], []
-            for t in batch.column(2):
-                own = [(*line, None) for line in line_rows(t.as_py(), min_words)]
-                own += [(a, h, 0, 0, 0, b) for a, h, b in run_rows(t.as_py(), min_block_words, later_holders)]
-                found += own
-                counts.append(len(own))
-            at = np.repeat(np.arange(batch.num_rows), counts)
-            cols = list(zip(*found, strict=True)) if found else [[]] * 6
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int32()), pa.array(cols[5], pa.int32())], names=names)
+            for a, raw, at in slices(batch.column(2)):
+                found = line_rows(raw, at, min_words, min_block_words, later_holders)
+                place = pa.array(found["at"] + a)
+                columns = [pa.array(found[n].view(np.int64), pa.int64()).cast(t) for n, t in kinds.items()]
+                columns[-1] = pa.array(found["to"], pa.int32(), mask=found["to"] < 0)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(place), batch.column(1).take(place), *columns], names=["doc", "th", *kinds])
 
     return arrow_batches(rows).mapInArrow(each, "doc long, th long, k int, h long, gb long, ga long, w int, to int")
 

@@ -30,19 +30,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType, VariantType
 
-from .common import arrow_batches, buffers, cut, given_back, place, plain, table
+from .common import arrow_batches, cut, given_back, place, plain, table
 from .components import components
+from .words import LOWER, MIX, SEED, slices, words_of
 
-SEED = 42
 LIGHT = 256  # fingerprints compared in full in one row
 HEAVY = 16  # bytes of a word that weighs most in the fingerprints of dedup()
 LAST = 2**63 - 1
-LONG = 64  # bytes of a word that are hashed at once for all words
-SLICE = 4 << 20  # bytes of text worked on at once, at least one text
-MIX = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F)]
 SAMPLE, COMMON, MOST_COMMON = 16, 8, 100_000  # one text of so many is sampled; texts there that make a shingle common; the most that are listed
 BITS = 4096  # of a text, that rule out most pairs before their shingles are compared
-LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
 def shingle_hashes(text: bytes, size: int) -> list[int]:
@@ -75,16 +71,6 @@ def majority(hashes: list[int]) -> int:
     return int(majorities(np.array(hashes, np.uint64), np.zeros(len(hashes), np.int64), 1)[0])
 
 
-def slices(column: pa.Array, most: int = 256) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, bytes, offsets) of up to so many rows and SLICE bytes, or of one longer text; a null is empty."""
-    raw, at = buffers(column)
-    a = 0
-    while a < len(at) - 1:
-        b = min(a + most, max(a + 1, int(np.searchsorted(at, at[a] + SLICE, "right")) - 1))
-        yield a, raw[at[a] : at[b]], at[a : b + 1] - at[a]
-        a = b
-
-
 def fingerprints(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, th, fp): a hash of every whole text and its fingerprint, as signed longs."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -216,41 +202,6 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- near-duplicates by the similarity of shingles ----------------------------------------------------------------
 
-WHITE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
-LOWERED = np.frombuffer(LOWER, np.uint8)
-START, PRIME = np.uint64(0xCBF29CE484222325), np.uint64(0x100000001B3)  # of FNV-1a
-
-
-def mixed(h: np.ndarray) -> np.ndarray:
-    """The finalizer of SplitMix64."""
-    h = (h ^ (h >> np.uint64(30))) * MIX[1]
-    h = (h ^ (h >> np.uint64(27))) * MIX[2]
-    return h ^ (h >> np.uint64(31))
-
-
-def words_of(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, row, bytes) of each word of the rows at the offsets, A-Z lower-cased: FNV-1a of the first LONG bytes, then mixed
-    with an XXH64 of what a longer word has beyond them."""
-    raw = LOWERED[raw]
-    inside = ~WHITE[raw]
-    first, last = inside.copy(), inside.copy()
-    first[1:] &= ~inside[:-1]
-    last[:-1] &= ~inside[1:]
-    filled = np.diff(at) > 0
-    begin, end = at[:-1][filled], at[1:][filled] - 1
-    first[begin], last[end] = inside[begin], inside[end]
-    starts = np.nonzero(first)[0]
-    length = np.nonzero(last)[0] + 1 - starts
-    h, live = np.full(len(starts), START), np.arange(len(starts))
-    for k in range(LONG):
-        live = live[length[live] > k]
-        if not len(live):
-            break
-        h[live] = (h[live] ^ raw[starts[live] + k]) * PRIME
-    for i in np.nonzero(length > LONG)[0].tolist():
-        h[i] ^= np.uint64(xxhash.xxh64_intdigest(raw[starts[i] + LONG : starts[i] + length[i]].tobytes(), SEED))
-    return mixed(h), np.searchsorted(at, starts, "right") - 1, length
-
 
 def shingles_of(words: np.ndarray, owner: np.ndarray, n: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(hash, row) of the distinct shingles of n rows' words, by row; fewer words than size make one shingle."""
@@ -319,7 +270,7 @@ def read_words(base: DataFrame, size: int, similarity: float) -> DataFrame:
         for batch in batches:
             for a, raw, at in slices(batch.column(2)):
                 n = len(at) - 1
-                words, owner, length = words_of(raw, at)
+                words, owner, length, _ = words_of(raw, at)
                 fps = majorities(words, owner, n, np.minimum(length, HEAVY).astype(np.float64) ** 3)
                 h, owner = shingles_of(words, owner, n, size)
                 counts = np.bincount(owner, minlength=n)

@@ -714,6 +714,19 @@ def test_pipeline(spark, tmp_path):
     assert set(got) <= set(left)
 
 
+@pytest.mark.parametrize("empty", [True, False])
+def test_pipeline_of_odd_and_empty_tables(spark, tmp_path, odd, none, empty):
+    import corpus_pipeline
+
+    names = "doc_id", "text", "lang", "source", "n_chars"
+    (none if empty else odd.select(*names)).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, None), (1, ""), (None, prose(3, 9))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    assert got.columns == [*names, "n_tokens", "weight", "epoch"]
+    kept = {r["doc_id"] for r in got.collect()}
+    assert kept <= {1, 7, 8, 9, 10, None} and bool(kept) != empty
+
+
 def test_names():
     names = list(queries.queries())
     assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)] + ["pipeline"]
