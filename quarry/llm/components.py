@@ -41,3 +41,12 @@ def components(links: DataFrame) -> DataFrame:
         before = after
     found = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
+
+
+def extended(tree: DataFrame, links: DataFrame) -> DataFrame:
+    """components() of the links that made tree and of further links, from tree and these alone: only roots are linked anew."""
+    root = lambda c: tree.select(F.col("node").alias(c), F.col("root").alias(f"_{c}"))
+    met = links.join(root("a"), "a", "left").join(root("b"), "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
+    top = cut(components(met))
+    moved = tree.join(top.select(F.col("node").alias("root"), F.col("root").alias("_top")), "root", "left").select("node", F.coalesce("_top", "root").alias("root"))
+    return moved.unionByName(top.join(tree.select("node"), "node", "left_anti").select("node", "root"))

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import MapType, VariantType
 
 from .common import arrow_batches, cut, given_back, place, plain, table
-from .components import components
+from .components import components, extended
 from .words import LOWER, MIX, SEED, slices, words_of
 
 LIGHT = 256  # fingerprints compared in full in one row
@@ -371,8 +371,7 @@ def dedup(docs: DataFrame, radius: int = 3, size: int = 5, similarity: float = 0
     pairs = twins.unionByName(near.select("x", "y")).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
     pairs = cut(possible(pairs.distinct(), texts, similarity))
     ids = texts.select("id", "th")
-    sure = alike(base, ids, pairs, size, similarity)
-    tree = cut(components(sure))
+    tree = cut(components(alike(base, ids, pairs, size, similarity)))
     rows = None
     for propose in (to_largest, unmet):
         if rows is None:
@@ -382,8 +381,7 @@ def dedup(docs: DataFrame, radius: int = 3, size: int = 5, similarity: float = 0
         rows = meeting(rows.select("tok", "th", "n", "root"))
         more = cut(possible(propose(rows, similarity).join(pairs, ["x", "y"], "left_anti"), texts, similarity))
         pairs = pairs.unionByName(more)
-        sure = sure.unionByName(alike(base, ids, more, size, similarity))
-        tree = cut(components(sure))
+        tree = cut(extended(tree, alike(base, ids, more, size, similarity)))
     groups = ids.join(tree.withColumnRenamed("node", "th"), "th", "left").groupBy(F.coalesce("root", "th").alias("group")).agg(F.min(F.struct("id", "th")).alias("k"))
     kept = own.join(groups.select("k.id", "k.th"), ["id", "th"], "left_semi")
     columns = [f"c{i}" for i in range(len(names))]

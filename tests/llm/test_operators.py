@@ -238,6 +238,16 @@ def test_components_of_a_chain(spark):
     assert components.components(chain.where("a < 0")).collect() == []
 
 
+def test_further_links_extend_components(spark):
+    r = random.Random(7)
+    every = [(r.randrange(60), r.randrange(60)) for _ in range(45)]
+    frame = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    want = sorted(map(tuple, components.components(frame(every)).collect()))
+    tree = components.components(frame(every[:20]))
+    assert sorted(map(tuple, components.extended(tree, frame(every[20:])).collect())) == want
+    assert sorted(map(tuple, components.extended(tree, frame(every[:1]).where("false")).collect())) == sorted(map(tuple, tree.collect()))
+
+
 def test_simhash_of_odd_rows(odd, none):
     got = op4_simhash.near_groups(odd).collect()
     assert len(got) == len(ODD)
