@@ -27,13 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, buffers, held_out, pieces, rows_of, table, windows
+from .common import arrow_batches, buffers, cut, held_out, pieces, rows_of, table, windows
 
 ORDER = 3
 PAD = 256  # before a text's first byte
 BASE = 257
 LEAVES = 1 << 16  # nodes of each length in a language's tree
 NODES = 1 << 20  # and in those of all languages
+FEW_LANGS = 10_000  # whose totals are broadcast
 STEP = 1 << 20  # bytes worked on at once
 MERGE = 1 << 21  # counts that a task holds before they are combined, and twice as many before they are given
 SLOTS = 1 << 20  # of the hash that finds most strings at once
@@ -104,11 +105,11 @@ def count_strings(rows: DataFrame) -> DataFrame:
 
 def tree_nodes(rows: DataFrame, leaves: int = LEAVES, nodes: int = NODES) -> DataFrame:
     """(lang, order, code, n): the nodes of the trees; code is the string, its last symbol the lowest digit of base BASE."""
-    every = count_strings(rows)
+    every = cut(count_strings(rows))
     total = every.groupBy("lang").agg(F.sum("n").alias("total"))
-    langs = total.agg(F.count("*").alias("langs"))
-    each = F.least(F.lit(leaves), F.greatest(F.lit(1), F.floor(F.lit(nodes) / F.col("langs"))))
-    least = total.crossJoin(F.broadcast(langs)).select("lang", (F.col("total") / each).alias("least"))  # a row a language
+    langs = total.count()
+    least = total.select("lang", (F.col("total") / min(leaves, max(1, nodes // max(1, langs)))).alias("least"))
+    least = F.broadcast(least) if langs <= FEW_LANGS else least  # a row a language
     digits = F.explode(F.array(*[F.struct(F.lit(k).alias("order"), (F.col("code") % BASE ** (k + 1)).alias("code")) for k in range(ORDER)]))
     deepest = every.select("lang", F.lit(ORDER).alias("order"), "code", "n")
     shorter = every.select("lang", digits.alias("w"), "n").groupBy("lang", "w.order", "w.code").agg(F.sum("n").alias("n"))
