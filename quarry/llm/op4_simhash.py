@@ -39,6 +39,7 @@ HEAVY = 16  # bytes of a word that weighs most in the fingerprints of dedup()
 LAST = 2**63 - 1
 SAMPLE, COMMON, MOST_COMMON = 16, 8, 100_000  # one text of so many is sampled; texts there that make a shingle common; the most that are listed
 BITS = 4096  # of a text, that rule out most pairs before their shingles are compared
+FOLDS = ["s0", "s1", "s2", "s3"]  # the same bits folded into 256, that rule out most pairs as they meet
 
 
 def shingle_hashes(text: bytes, size: int) -> list[int]:
@@ -252,19 +253,19 @@ def alike(base: DataFrame, texts: DataFrame, pairs: DataFrame, size: int, simila
 
 
 def read_words(base: DataFrame, size: int, similarity: float) -> DataFrame:
-    """(id, th, fp, n, toks, bits) of the rows of base (id, th, text), in one reading of the texts.
+    """(id, th, fp, n, toks, bits, s0 to s3) of the rows of base (id, th, text), in one reading of the texts.
 
     fp is the fingerprint of the words: a word weighs the cube of its bytes (of HEAVY at most), so the few short words of a
     language don't crowd it. toks are, of the text's n shingles, the first in one order for all texts, so many that two texts of at
     least the similarity share one of them: a text has similarity * n shingles in common with the other, and all but fewer are
     here; any order does, and shingles that are common in a sample come last, so that few texts meet by a common passage. bits
-    say of BITS places whether an odd number of shingles fall on it.
+    say of BITS places whether an odd number of shingles fall on it, s0 to s3 the same of 256 places.
     """
     some = shingle_sets(base.where(F.pmod("th", F.lit(SAMPLE)) == 0), size).select("th", F.explode("s").alias("tok")).distinct()
     common = some.groupBy("tok").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON).orderBy(F.col("n").desc(), "tok").limit(MOST_COMMON).collect()
     common = sorted((r[0], r[1]) for r in common)
     known, often = np.array([c[0] for c in common], np.int64), np.array([c[1] for c in common], np.int64)
-    names = ["id", "th", "fp", "n", "toks", "bits"]
+    names = ["id", "th", "fp", "n", "toks", "bits", *FOLDS]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -287,9 +288,11 @@ def read_words(base: DataFrame, size: int, similarity: float) -> DataFrame:
                     toks = np.insert(toks, np.repeat((np.cumsum(sizes) - sizes)[counts == 0], 1), 0)
                     sizes = np.where(counts == 0, 1, sizes)
                 packed = np.packbits(odd, axis=1)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, n), batch.column(1).slice(a, n), pa.array(fps.view(np.int64), pa.int64()), pa.array(counts, pa.int32()), _lists(toks, sizes), pa.array([p.tobytes() for p in packed], pa.binary())], names=names)
+                folds = np.bitwise_xor.reduce(packed.reshape(n, -1, 32), axis=1).view(np.int64)
+                columns = [pa.array(fps.view(np.int64), pa.int64()), pa.array(counts, pa.int32()), _lists(toks, sizes), pa.array([p.tobytes() for p in packed], pa.binary()), *(pa.array(f) for f in folds.T)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, n), batch.column(1).slice(a, n), *columns], names=names)
 
-    return arrow_batches(base.select("id", "th", "text")).mapInArrow(each, "id long, th long, fp long, n int, toks array<long>, bits binary")
+    return arrow_batches(base.select("id", "th", "text")).mapInArrow(each, "id long, th long, fp long, n int, toks array<long>, bits binary, " + ", ".join(f"{c} long" for c in FOLDS))
 
 
 def possible(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -313,33 +316,40 @@ def rooted(rows: DataFrame, tree: DataFrame) -> DataFrame:
 
 
 def meeting(rows: DataFrame) -> DataFrame:
-    """rows (tok, th, n, root) where texts of different components share a token."""
+    """rows (tok, th, n, p, root) where texts of different components share a token; p is its place in the text's order."""
     mixed = rows.groupBy("tok").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("tok")
     return cut(rows.join(mixed, "tok", "left_semi"))
 
 
 def _sized(pairs: DataFrame, similarity: float) -> DataFrame:
-    """The distinct pairs x < y whose numbers of shingles allow the similarity."""
-    fit = pairs.where(F.least("nx", "ny") >= similarity * F.greatest("nx", "ny") - 1e-6)
-    return fit.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    """The distinct pairs of texts x < y of pairs of rows x and y that may have the similarity by their numbers of shingles, their
+    folded bits (as in possible()) and the places of a token that they share: if it is the first that they share, no more are
+    common than follow in either text, and every similar pair passes by its first."""
+    n = F.col("x.n") + F.col("y.n")
+    common = F.least(F.col("x.n") - F.col("x.p"), F.col("y.n") - F.col("y.p"))
+    apart = sum((F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in FOLDS[1:]), F.bit_count(F.col("x.s0").bitwiseXOR(F.col("y.s0"))))
+    fit = pairs.where((F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n") - 1e-6) & (common >= similarity / (1 + similarity) * n - 1e-6) & (apart <= (1 - similarity) / (1 + similarity) * n + 1e-6))
+    return fit.select(F.least("x.th", "y.th").alias("x"), F.greatest("x.th", "y.th").alias("y")).distinct()
 
 
 def to_largest(rows: DataFrame, similarity: float) -> DataFrame:
     """(x, y): for each token of rows (as meeting() gives them) a text of each component with one of the component that has most of
     its texts; other tokens take other texts. A pair a component and token, so these merge what is dense at little cost."""
-    some = rows.groupBy("tok", "root").agg(F.count("*").alias("m"), F.min(F.struct(F.xxhash64("th", "tok").alias("r"), "th", "n")).alias("t"))
+    early = F.floor(20 * F.col("p") / F.greatest("n", F.lit(1)))  # early tokens leave room for many common ones
+    some = rows.groupBy("tok", "root").agg(F.count("*").alias("m"), F.min(F.struct(early.alias("e"), F.xxhash64("th", "tok").alias("r"), "th", "n", "p", *FOLDS)).alias("t"))
     hub = some.groupBy("tok").agg(F.max(F.struct("m", "root", "t")).alias("h"))
     met = some.join(hub, "tok").where(F.col("root") != F.col("h.root"))
-    return _sized(met.select(F.col("t.th").alias("x"), F.col("t.n").alias("nx"), F.col("h.t.th").alias("y"), F.col("h.t.n").alias("ny")), similarity)
+    return _sized(met.select(F.col("t").alias("x"), F.col("h.t").alias("y")), similarity)
 
 
 def unmet(rows: DataFrame, similarity: float) -> DataFrame:
-    """(x, y): all pairs of texts in different components that share a token and whose sizes allow the similarity."""
+    """(x, y): all pairs of texts in different components that share a token and that _sized() allows."""
     # components meet before their texts do, so a group of near copies is never paired with itself
     roots = cut(rows.select("tok", "root").distinct())
     met = roots.withColumnRenamed("root", "ra").join(roots.withColumnRenamed("root", "rb"), "tok").where("ra < rb")
-    met = met.join(rows.select("tok", F.col("root").alias("ra"), F.col("th").alias("x"), F.col("n").alias("nx")), ["tok", "ra"])
-    met = met.join(rows.select("tok", F.col("root").alias("rb"), F.col("th").alias("y"), F.col("n").alias("ny")), ["tok", "rb"])
+    row = F.struct("th", "n", "p", *FOLDS)
+    met = met.join(rows.select("tok", F.col("root").alias("ra"), row.alias("x")), ["tok", "ra"])
+    met = met.join(rows.select("tok", F.col("root").alias("rb"), row.alias("y")), ["tok", "rb"])
     return cut(_sized(met, similarity))
 
 
@@ -363,7 +373,7 @@ def dedup(docs: DataFrame, radius: int = 3, size: int = 5, similarity: float = 0
     own = own.withColumns({"id": F.coalesce(c("doc_id").cast("long"), F.lit(LAST)), "th": F.xxhash64(text), "text": text})
     base = own.select("id", "th", "text")
     found = read_words(base, size, similarity)
-    texts = cut(found.groupBy("th").agg(F.min("id").alias("id"), *[F.any_value(n).alias(n) for n in ("fp", "n", "toks", "bits")]))
+    texts = cut(found.groupBy("th").agg(F.min("id").alias("id"), *[F.any_value(n).alias(n) for n in ("fp", "n", "toks", "bits", *FOLDS)]))
     heads = cut(texts.groupBy("fp").agg(F.min(F.struct("id", "th"))["th"].alias("head")))
     twins = texts.select("th", "fp").join(heads, "fp").where("th <> head").select(F.col("th").alias("x"), F.col("head").alias("y"))
     near = links(heads, radius, reach=reach)
@@ -375,10 +385,10 @@ def dedup(docs: DataFrame, radius: int = 3, size: int = 5, similarity: float = 0
     rows = None
     for propose in (to_largest, unmet):
         if rows is None:
-            rows = rooted(texts.select("th", "n", "toks"), tree).select(F.explode("toks").alias("tok"), "th", "n", "root")
+            rows = rooted(texts.select("th", "n", "toks", *FOLDS), tree).select(F.posexplode("toks").alias("p", "tok"), "th", "n", "root", *FOLDS)
         else:
             rows = rooted(rows.drop("root"), tree)  # what once met in one component does so for good
-        rows = meeting(rows.select("tok", "th", "n", "root"))
+        rows = meeting(rows.select("tok", "th", "n", "p", "root", *FOLDS))
         more = cut(possible(propose(rows, similarity).join(pairs, ["x", "y"], "left_anti"), texts, similarity))
         pairs = pairs.unionByName(more)
         tree = cut(extended(tree, alike(base, ids, more, size, similarity)))
