@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -39,6 +40,24 @@ def token_count(c: Column) -> Column:
     return F.greatest(F.lit(1), F.floor(F.size(words(c)) * F.lit(1.3)).cast("int"))
 
 
+_TOKENIZERS: dict = {}
+
+
+def token_count_by(c: Column, path: str) -> Column:
+    """Tokens by a tokenizer's vocabulary file (JSON), which must be at that path on every node; null as empty."""
+
+    @F.pandas_udf("int")
+    def count(texts: pd.Series) -> pd.Series:
+        if path not in _TOKENIZERS:
+            from tokenizers import Tokenizer  # optional
+
+            _TOKENIZERS[path] = Tokenizer.from_file(path)
+        found = _TOKENIZERS[path].encode_batch([t if t is not None else "" for t in texts], add_special_tokens=False)
+        return pd.Series([len(e.ids) for e in found])
+
+    return count(c)
+
+
 def first_tokens(c: Column, n: int) -> Column:
     return F.when(F.size(words(c)) > n, F.array_join(F.slice(words(c), 1, n), " ")).otherwise(c)
 

@@ -48,6 +48,25 @@ def embed(rows: DataFrame, text: str = "text", role: str = "passage", encode: En
     return rows.join(known, rows[text] == known["_t"], "left").drop("_t")
 
 
+def stored_key(text: Column, role: str, made_with: str) -> Column:
+    """What a stored vector is known by: the text, its role and the model."""
+    return F.sha1(F.concat_ws("|", F.lit(made_with), F.lit(role), text))
+
+
+def embed_stored(rows: DataFrame, path: str, made_with: str, text: str = "text", role: str = "passage", encode: Encode | None = None, size: int = SETTINGS.dimension) -> DataFrame:
+    """embed() with a store of vectors that lasts: only texts that it lacks are encoded, once each, and appended to it."""
+    spark = rows.sparkSession
+    role = role if role in ROLES else "passage"
+    schema = "key string, embedding array<double>"
+    spark.createDataFrame([], schema).write.mode("append").parquet(path)
+    keyed = rows.withColumn("key", F.when(F.col(text).isNotNull(), stored_key(F.col(text), role, made_with)))
+    asked = keyed.where("key is not null").select("key", F.col(text).alias("_text")).dropDuplicates(["key"])
+    missing = asked.join(spark.read.schema(schema).parquet(path).select("key"), "key", "left_anti")
+    embed(missing, "_text", role, encode, size).select("key", F.col("embedding").cast("array<double>").alias("embedding")).write.mode("append").parquet(path)
+    known = spark.read.schema(schema).parquet(path).dropDuplicates(["key"])
+    return keyed.join(known, "key", "left").drop("key")
+
+
 def breaker(calls: DataFrame, key: str, order: str, failed: str, seconds: str, threshold: int = SETTINGS.breaker_threshold, cooldown: float = SETTINGS.breaker_cooldown) -> DataFrame:
     """(key, calls, rejected, opened, state): an ordered fold of a call log through closed, open and half-open."""
     log = calls.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(seconds).cast("double").alias("t"), F.col(failed).alias("f")))).alias("log"))

@@ -134,10 +134,18 @@ def documents(found: DataFrame) -> DataFrame:
     return every.withColumn("title", parse.title_of(heading, F.col("name"), first))
 
 
-def write_partitioned(chunks: DataFrame, path: str, by: str = "document_id", buckets: int = 64) -> None:
-    """Overwrites only the partitions (buckets of the document) that chunks has rows of."""
-    rows = chunks.withColumn("bucket", F.pmod(F.xxhash64(by), F.lit(buckets)))
-    rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+def write_chunks(chunks: DataFrame, path: str, version: int, by: str = "document_id", buckets: int = 64) -> None:
+    """Stores the chunks of whole documents as a version (a number greater than those before), in place of what is stored of these
+    documents; other documents stay. Versions are appended, so a job that is lost half-way leaves what was there."""
+    rows = chunks.withColumn("version", F.lit(version).cast("long")).withColumn("bucket", F.pmod(F.xxhash64(by), F.lit(buckets)))
+    rows.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(path)
+
+
+def read_chunks(spark: SparkSession, path: str, by: str = "document_id") -> DataFrame:
+    """Every stored document's chunks of its last version."""
+    rows = spark.read.parquet(path)
+    last = rows.groupBy("bucket", by).agg(F.max("version").alias("version"))
+    return rows.join(last, ["bucket", by, "version"], "left_semi").drop("bucket", "version")
 
 
 def land(found: DataFrame, folder: str, documents_path: str, request: str | None = None) -> DataFrame:

@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from quarry.functions import text as t
 from quarry.functions.vectors import hashed
 from quarry.operators import admin, bm25, calls, dense, evaluate, models, parse, respond, retrieve
 from quarry.sources import documents
@@ -254,3 +255,38 @@ def test_fingerprints_and_reindex(spark, tmp_path):
     got = {r["chunk_id"]: r for r in documents.reindex(chunks, encode=lambda texts, role: [[float(len(t))] for t in texts]).collect()}
     assert got["a::0"]["embed_text"] == "[Document: T | Page: 2]\nBody." and got["b::0"]["embed_text"] == "[Section: S | Page: 0]\nOther." and got["b::0"]["embedding"] == [29.0]
     assert [r["embed_text"] for r in documents.reindex(chunks, document="b", headers=False).collect()] == ["Other."]
+
+
+def test_chunks_are_stored_by_version(spark, tmp_path):
+    path = str(tmp_path / "chunks")
+    rows = lambda *r: spark.createDataFrame(r, "document_id string, chunk_index int, text string")
+    documents.write_chunks(rows(("a", 0, "a0"), ("a", 1, "a1"), ("b", 0, "b0"), *[(f"d{i}", 0, "x") for i in range(20)]), path, 1, buckets=2)
+    documents.write_chunks(rows(("a", 0, "new")), path, 2, buckets=2)
+    got = documents.read_chunks(spark, path)
+    assert got.columns == ["document_id", "chunk_index", "text"] and got.count() == 22
+    assert [(r["document_id"], r["text"]) for r in got.where("document_id in ('a', 'b')").orderBy("document_id").collect()] == [("a", "new"), ("b", "b0")]
+
+
+def test_vectors_are_stored(spark, tmp_path):
+    def encode(texts, role):
+        return [[float(len(t)), float(calls.ROLES.index(role))] for t in texts]
+
+    def broken(texts, role):
+        raise RuntimeError
+
+    rows = spark.createDataFrame([("a",), ("bb",), ("a",), (None,)], "text string")
+    ask = lambda rows, encode, role="passage": sorted((r["text"] or "", tuple(r["embedding"] or ())) for r in calls.embed_stored(rows, str(tmp_path / "v"), "stub:1", encode=encode, size=2, role=role).collect())
+    first = ask(rows, encode)
+    assert first == [("", ()), ("a", (1.0, 1.0)), ("a", (1.0, 1.0)), ("bb", (2.0, 1.0))]
+    assert ask(rows, broken) == first and ask(rows.limit(1), broken, "query") == [("a", (0.0, 0.0))]
+    assert spark.read.parquet(str(tmp_path / "v")).count() == 3
+
+
+def test_tokens_by_a_vocabulary(spark):
+    paths = pytest.importorskip("public_tokenizers")
+    tokenizers = pytest.importorskip("tokenizers")
+    path = paths.path("byte_bpe_50k.json")
+    texts = ["Hello world, it's 2024.", "", None, "naïve café"]
+    own = tokenizers.Tokenizer.from_file(path)
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, s string").select("i", t.token_count_by(F.col("s"), path).alias("n")).orderBy("i").collect()
+    assert [r["n"] for r in got] == [len(own.encode(s or "", add_special_tokens=False).ids) for s in texts]
