@@ -10,7 +10,7 @@ maxima, with the block's greatest slack, stays under the threshold, the whole bl
 blocks are scored in full. All retrieved items are verified: the share of the question's word shingles, and of the
 answer's words, that the passage holds.
 
-Items are dealt into classes by length (powers of two), each with half windows of its greatest length, so what is found of
+Items are dealt into classes by length, each with half windows of a power of two, half as long again as its items at least, so what is found of
 an item doesn't depend on the length of others. One pass over the documents takes PASS_BYTES of items' text; more items
 mean more passes, and as all statistics are global, the same rows.
 
@@ -87,8 +87,8 @@ def statistics_of(texts: list[list[bytes]]) -> Statistics:
 
 
 def half_of(words: int) -> int:
-    """Words in half a passage, for items of so many words."""
-    return max(MIN_HALF, 1 << (words - 1).bit_length())
+    """Words in half a passage, for items of so many words: half as many again at least, so that a copy with insertions lies within one."""
+    return max(MIN_HALF, 1 << (3 * words // 2 - 1).bit_length())
 
 
 @dataclass
