@@ -471,9 +471,10 @@ def content_of(tree: Tree, slots: dict[int, tuple[int, bool, str]]) -> int:
 def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(host, reference, constant, content): a row a host of MIN_PAGES different pages or more."""
     rows = pages.select(host_of(url_col).alias("host"), F.col(html_col).cast("string").alias("html")).withColumn("page", F.xxhash64(F.coalesce("html", F.lit(""))))
-    # hosts of few rows have no wrapper, so their pages aren't parsed for one; counts of one number a host are combined before the shuffle
-    many = rows.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_PAGES).select("host")
-    rows = rows.join(many, "host", "left_semi")
+    # hosts of few rows have no wrapper, so their pages needn't be parsed for one; pages are never dealt by host
+    many = cut(rows.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_PAGES).select("host"))
+    if many.count() <= FEW_HOSTS:
+        rows = rows.join(F.broadcast(many), "host", "left_semi")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
