@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quarry.config import SETTINGS
 from quarry.functions.text import found_json, strip
@@ -68,24 +70,40 @@ def embed_stored(rows: DataFrame, path: str, made_with: str, text: str = "text",
 
 
 def breaker(calls: DataFrame, key: str, order: str, failed: str, seconds: str, threshold: int = SETTINGS.breaker_threshold, cooldown: float = SETTINGS.breaker_cooldown) -> DataFrame:
-    """(key, calls, rejected, opened, state): an ordered fold of a call log through closed, open and half-open."""
-    log = calls.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(seconds).cast("double").alias("t"), F.col(failed).alias("f")))).alias("log"))
-    start = F.struct(F.lit("closed").alias("state"), F.lit(0).alias("run"), F.lit(0.0).alias("since"), F.lit(0).alias("opened"), F.lit(0).alias("rejected"))
-
-    def step(a: Column, c: Column) -> Column:
-        blocked = (a["state"] == "open") & (c["t"] - a["since"] < cooldown)
-        opens = c["f"] & ((a["state"] == "open") | (a["run"] + 1 >= threshold))
-        keep = lambda name, value: F.when(blocked, a[name]).otherwise(value).alias(name)
-        return F.struct(
-            keep("state", F.when(opens, "open").otherwise("closed")),
-            keep("run", F.when(c["f"], a["run"] + 1).otherwise(0)),
-            keep("since", F.when(opens, c["t"]).otherwise(a["since"])),
-            keep("opened", a["opened"] + F.when(opens, 1).otherwise(0)),
-            F.when(blocked, a["rejected"] + 1).otherwise(a["rejected"]).alias("rejected"),
-        )
-
-    folded = log.select(key, F.size("log").alias("calls"), F.aggregate("log", start, step).alias("s"))
-    return folded.select(key, "calls", "s.rejected", "s.opened", "s.state")
+    """(key, calls, rejected, opened, state): an ordered fold of a call log through closed, open and half-open.
+
+    A key's calls are read as a sorted stream with a few numbers of state, so a log of any length needs no more memory.
+    """
+    rows = calls.select(key, F.col(order).alias("o"), F.col(seconds).cast("double").alias("t"), F.col(failed).cast("boolean").alias("f")).repartition(F.col(key)).sortWithinPartitions(key, "o", "t")
+    schema = f"{key} {dict(rows.dtypes)[key]}, calls int, rejected int, opened int, state string"
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: list[tuple] = []
+        now: models.Breaker | None = None
+        at, counts, clock = None, [0, 0, 0], [0.0]
+
+        def told() -> None:
+            if now is not None:
+                done.append((at, *counts, "closed" if now.failures < threshold else "open"))
+
+        for batch in batches:
+            for k, t, f in zip(*(batch.column(n).to_pylist() for n in (key, "t", "f")), strict=True):
+                if now is None or k != at:
+                    told()
+                    now, at, counts = models.Breaker(threshold, cooldown, lambda: clock[0]), k, [0, 0, 0]
+                clock[0] = t
+                counts[0] += 1
+                if now.state == "open":
+                    counts[1] += 1
+                    continue
+                now.told(not f)
+                counts[2] += now.state == "open"
+        told()
+        columns = list(zip(*done, strict=True)) if done else [[]] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(columns[0], batch_kind), *(pa.array(c, pa.int32()) for c in columns[1:4]), pa.array(columns[4], pa.string())], names=[key, "calls", "rejected", "opened", "state"])
+
+    batch_kind = to_arrow_type(rows.schema[key].dataType)
+    return rows.mapInArrow(fold, schema)
 
 
 def transient(error: Column, status: Column | None = None) -> Column:
