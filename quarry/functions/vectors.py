@@ -23,6 +23,29 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(scale == 0, 0.0).otherwise(dot(a, b) / scale)
 
 
+def measured(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows scaled by powers of two, which loses no bit, and the squares of their lengths."""
+    m = np.asarray(m, np.float64)
+    m = np.ldexp(m, -np.frexp(np.abs(m).max(axis=1, initial=0.0))[1][:, None])
+    return m, (m * m).sum(axis=1)
+
+
+def cosines(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], blank: float = 0.0) -> np.ndarray:
+    """Cosine of each row of a with each of b, both measured(): one root and one division, so whole numbers give the same double
+    in any order of summing. blank where a vector has no length."""
+    scale = np.sqrt(np.outer(a[1], b[1]))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(scale == 0, blank, a[0] @ b[0].T / scale)
+
+
+def rounded(x: np.ndarray, digits: int) -> np.ndarray:
+    """Halves of the product with 10^digits away from zero, which is round() in the SQL."""
+    scaled = np.abs(x) * 10.0**digits
+    whole = np.floor(scaled)
+    with np.errstate(invalid="ignore"):
+        return np.copysign(whole + (scaled - whole >= 0.5), x) / 10.0**digits
+
+
 def hashed(c: Column, role: str = "similarity", dimension: int = SETTINGS.dimension) -> Column:
     """Signed counts of hashed tokens; queries and passages share a space, other roles have their own."""
     seed = "" if role in ("query", "passage", "similarity") else role

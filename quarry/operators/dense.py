@@ -9,31 +9,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.functions.vectors import cosines, measured
 from quarry.operators.topk import SCHEMA, Best
 
 ROUND_BYTES = 64 << 20  # of query vectors that are sent to the vectors at once; more are asked in rounds
 CELLS = 1 << 22  # vectors x queries compared at once
 
 
-def _unit(m: np.ndarray) -> np.ndarray:
-    norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
-    return m / np.where(norm == 0, 1, norm)
-
-
-def _rounds(asked: DataFrame, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _rounds(asked: DataFrame, size: int) -> Iterator[tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]]:
     rounds = max(1, -(-asked.count() * size * 8 // ROUND_BYTES))
     for k in range(rounds):
         part = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(rounds)) == k) if rounds > 1 else asked
         rows = part.orderBy("query_id").collect()
         if rows:
-            yield np.array([r[0] for r in rows], np.int64), _unit(np.array([r[1] for r in rows], np.float64))
+            yield np.array([r[0] for r in rows], np.int64), measured(np.array([r[1] for r in rows], np.float64))
 
 
-def search(queries: DataFrame, vectors: DataFrame, k: int, round_to: int = 4) -> DataFrame:
+def search(queries: DataFrame, vectors: DataFrame, k: int, round_to: int = 4, blank: float = 0.0) -> DataFrame:
     """(query_id, chunk_id, rank, score) from queries (query_id, embedding) and vectors (chunk_id, embedding).
 
     Filter vectors before the call: what is left out doesn't take a rank. Vectors of a length other than that of the
-    query with the smallest id, and null ones, are left out.
+    query with the smallest id, and null ones, are left out. blank is the cosine where a vector has no length: 0, or NaN, which
+    ranks before all numbers.
     """
     spark = queries.sparkSession
     asked = queries.where("embedding is not null").select(F.col("query_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding")).persist()
@@ -42,6 +39,7 @@ def search(queries: DataFrame, vectors: DataFrame, k: int, round_to: int = 4) ->
     if first is not None:
         size = len(first[1])
         near = vectors.where(F.size("embedding") == size).select(F.col("chunk_id").cast("long").alias("chunk_id"), "embedding")
+        held = np.inf if np.isnan(blank) else blank
         for one in _rounds(asked.where(F.size("embedding") == size), size):
             shared = spark.sparkContext.broadcast(one)
 
@@ -50,9 +48,9 @@ def search(queries: DataFrame, vectors: DataFrame, k: int, round_to: int = 4) ->
                 best, step = Best(ids, k), max(1, CELLS // len(ids))
                 for batch in batches:
                     own = batch.column(0).to_numpy(zero_copy_only=False)
-                    m = _unit(batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size))
+                    m, squares = measured(batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, size))
                     for low in range(0, len(own), step):
-                        s = np.maximum(m[low : low + step] @ asked_.T, 0.0)
+                        s = np.maximum(cosines((m[low : low + step], squares[low : low + step]), asked_, held), 0.0)
                         doc, query = np.nonzero(np.round(s, 6) >= best.floor)
                         best.add(query, own[low + doc], s[doc, query])
                 yield best.batch()
@@ -60,4 +58,5 @@ def search(queries: DataFrame, vectors: DataFrame, k: int, round_to: int = 4) ->
             found = found.unionByName(near.mapInArrow(each, SCHEMA))
     asked.unpersist()
     order = Window.partitionBy("query_id").orderBy(F.round("score", 6).desc(), "chunk_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "chunk_id", "rank", F.round("score", round_to).alias("score"))
+    score = F.when(F.col("score") == float("inf"), float("nan")).otherwise(F.round("score", round_to))
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "chunk_id", "rank", score.alias("score"))

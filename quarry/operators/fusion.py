@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.config import SETTINGS
+from quarry.functions.vectors import cosines, measured, rounded
 
 
 def lists(arms: dict[str, DataFrame]) -> DataFrame:
@@ -36,11 +37,12 @@ def fuse(hits: DataFrame, k: int = SETTINGS.rrf_k, floor: float = SETTINGS.relev
     return fused.withColumn("_some", some).where(F.when(F.col("_some"), F.col("score") >= floor).otherwise(F.col("rank") <= top_k)).drop("_some")
 
 
-def mmr(shortlist: DataFrame, k: int, weight: float = SETTINGS.mmr_lambda) -> DataFrame:
+def mmr(shortlist: DataFrame, k: int, weight: float = SETTINGS.mmr_lambda, blank: float = 0.0) -> DataFrame:
     """(query_id, chunk_id, pick) from shortlist (query_id, chunk_id, rank, query_embedding, embedding).
 
     Picks what is near the query and unlike the picks before it; candidates without a vector follow in rank order.
-    A query's shortlist is bounded by the retriever's depth, so it is one group.
+    A query's shortlist is bounded by the retriever's depth, so it is one group. blank is the cosine where a vector has no length;
+    a value that is NaN for it goes before all numbers.
     """
 
     def choose(frame: pd.DataFrame) -> pd.DataFrame:
@@ -49,16 +51,13 @@ def mmr(shortlist: DataFrame, k: int, weight: float = SETTINGS.mmr_lambda) -> Da
         rest = frame[frame["embedding"].isna()]["chunk_id"].tolist()
         picked: list[int] = []
         if len(have):
-            v = np.array(have["embedding"].tolist(), np.float64)
-            v = v / np.where((n := np.linalg.norm(v, axis=1, keepdims=True)) == 0, 1, n)
-            q = np.array(have["query_embedding"].iloc[0], np.float64)
-            near = v @ (q / (np.linalg.norm(q) or 1))
-            left, worst = list(range(len(v))), np.zeros(len(v))
+            v = measured(have["embedding"].tolist())
+            near = cosines(v, measured([have["query_embedding"].iloc[0]]), blank)[:, 0]
+            alike = cosines(v, v, blank)
+            left, worst = list(range(len(near))), np.zeros(len(near))
             while left and len(picked) < k:
-                value = [round(weight * near[i] - (1 - weight) * worst[i], 9) for i in left]
-                i = left.pop(int(np.argmax(value)))
-                like = v @ v[i]
-                worst = np.maximum(worst, like) if picked else like
+                i = left.pop(int(np.argmax(rounded(weight * near[left] - (1 - weight) * worst[left], 9))))
+                worst = np.maximum(worst, alike[i]) if picked else alike[i]
                 picked.append(i)
         ids = [have["chunk_id"].iloc[i] for i in picked] + rest
         ids = ids[:k]

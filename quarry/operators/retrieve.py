@@ -23,13 +23,16 @@ def fan_out(questions: DataFrame, extras: str | None = "extras") -> DataFrame:
     return every.select((F.shiftleft(F.col("query_id").cast("long"), FAN_BITS) + F.col("i")).alias("fan_id"), "query_id", "i", "text")
 
 
-def hits(fan: DataFrame, index: bm25.Index, vectors: DataFrame, pool: int = SETTINGS.pool, mode: str = "hybrid", allowed: DataFrame | None = None, encode: calls.Encode | None = None) -> DataFrame:
-    """(query_id, arm, rank, chunk_id, score) of every query in every arm that the mode names; each query's list is a list of its own."""
+def hits(fan: DataFrame, index: bm25.Index, vectors: DataFrame, pool: int = SETTINGS.pool, mode: str = "hybrid", allowed: DataFrame | None = None, encode: calls.Encode | None = None, blank: float = 0.0) -> DataFrame:
+    """(query_id, arm, rank, chunk_id, score) of every query in every arm that the mode names; each query's list is a list of its own.
+
+    blank is the cosine where a vector has no length: 0, or NaN, which ranks first.
+    """
     own = {}
     if mode in ("hybrid", "dense"):
         near = vectors if allowed is None else vectors.join(allowed.select("chunk_id").distinct(), "chunk_id", "left_semi")
         asked = calls.embed(fan, "text", "query", encode).select(F.col("fan_id").alias("query_id"), "embedding")
-        own["dense"] = dense.search(asked, near, pool)
+        own["dense"] = dense.search(asked, near, pool, blank=blank)
     if mode in ("hybrid", "sparse"):
         own["sparse"] = bm25.search(index, bm25.query_terms(fan, "fan_id", F.col("text")), pool, allowed)
     if not own:
@@ -37,16 +40,16 @@ def hits(fan: DataFrame, index: bm25.Index, vectors: DataFrame, pool: int = SETT
     return fusion.lists(own).withColumn("query_id", F.shiftright("query_id", FAN_BITS))
 
 
-def retrieve(questions: DataFrame, index: bm25.Index, vectors: DataFrame, top_k: int = SETTINGS.top_k, mode: str = SETTINGS.retrieval_mode, extras: str | None = "extras", allowed: DataFrame | None = None, diverse: bool = True, encode: calls.Encode | None = None) -> DataFrame:
+def retrieve(questions: DataFrame, index: bm25.Index, vectors: DataFrame, top_k: int = SETTINGS.top_k, mode: str = SETTINGS.retrieval_mode, extras: str | None = "extras", allowed: DataFrame | None = None, diverse: bool = True, encode: calls.Encode | None = None, blank: float = 0.0) -> DataFrame:
     """(query_id, chunk_id, rank, score, dense_score, sparse_score, sources): up to max(top_k, 20) candidates a question.
 
     questions: query_id, question and further queries; vectors: chunk_id and embedding of what the index holds. The mode is hybrid,
-    dense or sparse; another one finds nothing. More than top_k hits are diversified where the mode has query vectors.
+    dense or sparse; another one finds nothing. More than top_k hits are diversified where the mode has query vectors. blank is that of hits().
     """
     mode = mode.lower()
     depth = max(top_k, SETTINGS.rerank_input)
     fan = fan_out(questions, extras)
-    fused = fusion.fuse(hits(fan, index, vectors, max(SETTINGS.pool, 4 * top_k), mode, allowed, encode), top_k=top_k)
+    fused = fusion.fuse(hits(fan, index, vectors, max(SETTINGS.pool, 4 * top_k), mode, allowed, encode, blank), top_k=top_k)
     kept = ["query_id", "chunk_id", "score", "dense_score", "sparse_score", "sources"]
     if not diverse or mode not in ("hybrid", "dense"):
         return fused.where(F.col("rank") <= depth).select(*kept[:2], "rank", *kept[2:])
@@ -55,5 +58,5 @@ def retrieve(questions: DataFrame, index: bm25.Index, vectors: DataFrame, top_k:
     primary = calls.embed(fan.where("i = 0"), "text", "query", encode).select("query_id", F.col("embedding").alias("query_embedding"))
     # the shortlist is at most max(2 * depth, 4 * top_k) rows a question
     many = vectors.select("chunk_id", "embedding").join(shortlist.where(F.col("_n") > top_k).select("query_id", "chunk_id", "rank"), "chunk_id", "right")
-    picked = fusion.mmr(many.join(primary, "query_id"), depth).withColumnRenamed("pick", "rank")
+    picked = fusion.mmr(many.join(primary, "query_id"), depth, blank=blank).withColumnRenamed("pick", "rank")
     return fused.select(*kept).join(few.unionByName(picked), ["query_id", "chunk_id"]).select(*kept[:2], "rank", *kept[2:])

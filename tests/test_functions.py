@@ -54,6 +54,13 @@ def test_mmr(spark, weight, want):
     assert [r["chunk_id"] for r in fusion.mmr(df, 2, weight).orderBy("pick").collect()] == want
 
 
+@pytest.mark.parametrize(("blank", "want"), [(0.0, [1, 3, 2]), (float("nan"), [2, 1, 3])])
+def test_mmr_vector_without_length(spark, blank, want):
+    rows = [(1, 1, 1, [1.0, 0.0], [1.0, 0.0]), (1, 2, 3, [1.0, 0.0], [0.0, 0.0]), (1, 3, 2, [1.0, 0.0], [0.9, 0.1])]
+    df = spark.createDataFrame(rows, "query_id long, chunk_id long, rank int, query_embedding array<double>, embedding array<double>")
+    assert [r["chunk_id"] for r in fusion.mmr(df, 3, blank=blank).orderBy("pick").collect()] == want
+
+
 def test_mmr_tail_has_no_vector(spark):
     rows = [(1, 1, 1, [1.0], None), (1, 2, 2, [1.0], [1.0])]
     df = spark.createDataFrame(rows, "query_id long, chunk_id long, rank int, query_embedding array<double>, embedding array<double>")
