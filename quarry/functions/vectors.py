@@ -46,6 +46,11 @@ def rounded(x: np.ndarray, digits: int) -> np.ndarray:
         return np.copysign(whole + (scaled - whole >= 0.5), x) / 10.0**digits
 
 
+def rounded_column(c: Column, digits: int) -> Column:
+    """rounded() of a column; F.round(c, digits) takes halves of the shortest decimal instead."""
+    return F.round(c * 10.0**digits) / 10.0**digits
+
+
 def hashed(c: Column, role: str = "similarity", dimension: int = SETTINGS.dimension) -> Column:
     """Signed counts of hashed tokens; queries and passages share a space, other roles have their own."""
     seed = "" if role in ("query", "passage", "similarity") else role

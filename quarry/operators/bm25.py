@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from quarry.config import SETTINGS
 from quarry.functions.text import tokens
+from quarry.functions.vectors import rounded_column
 from quarry.operators.topk import SCHEMA, Best
 
 ROUND = 1 << 20  # asked terms (by query) that are sent to the documents at once; more are asked in rounds
@@ -123,7 +124,7 @@ def search(index: Index, asked: DataFrame, k: int, allowed: DataFrame | None = N
 
         found = found.unionByName(rows.mapInArrow(each, SCHEMA))
     weighted.unpersist()
-    order = Window.partitionBy("query_id").orderBy(F.round("score", 6).desc(), "chunk_id")
+    order = Window.partitionBy("query_id").orderBy(rounded_column(F.col("score"), 6).desc(), "chunk_id")
     best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     peak = F.max("score").over(Window.partitionBy("query_id"))
-    return best.select("query_id", "chunk_id", "rank", F.round(F.col("score") / peak, 4).alias("score"))
+    return best.select("query_id", "chunk_id", "rank", rounded_column(F.col("score") / peak, 4).alias("score"))

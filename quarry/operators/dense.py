@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.vectors import cosines, measured
+from quarry.functions.vectors import cosines, measured, rounded_column
 from quarry.operators.topk import SCHEMA, Best
 
 ROUND_BYTES = 64 << 20  # of query vectors that are sent to the vectors at once; more are asked in rounds
@@ -51,12 +51,12 @@ def search(queries: DataFrame, vectors: DataFrame, k: int, round_to: int = 4, bl
                     m, squares = measured(batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, size))
                     for low in range(0, len(own), step):
                         s = np.maximum(cosines((m[low : low + step], squares[low : low + step]), asked_, held), 0.0)
-                        doc, query = np.nonzero(np.round(s, 6) >= best.floor)
+                        doc, query = np.nonzero(s >= best.floor - 1e-6)  # add() rounds what is left
                         best.add(query, own[low + doc], s[doc, query])
                 yield best.batch()
 
             found = found.unionByName(near.mapInArrow(each, SCHEMA))
     asked.unpersist()
-    order = Window.partitionBy("query_id").orderBy(F.round("score", 6).desc(), "chunk_id")
-    score = F.when(F.col("score") == float("inf"), float("nan")).otherwise(F.round("score", round_to))
+    order = Window.partitionBy("query_id").orderBy(rounded_column(F.col("score"), 6).desc(), "chunk_id")
+    score = F.when(F.col("score") == float("inf"), float("nan")).otherwise(rounded_column(F.col("score"), round_to))
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "chunk_id", "rank", score.alias("score"))

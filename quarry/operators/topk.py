@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
+from quarry.functions.vectors import rounded
+
 HELD = 1 << 20  # candidates before the worse ones are dropped
 NAMES = ["query_id", "chunk_id", "score"]
 SCHEMA = "query_id long, chunk_id long, score double"
@@ -21,7 +23,7 @@ class Best:
 
     def add(self, at: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
         """Candidates: the query's place, the id, the score."""
-        keep = np.round(scores, 6) >= self.floor[at]
+        keep = rounded(scores, 6) >= self.floor[at]
         self.held.append((at[keep], ids[keep], scores[keep]))
         self.size += int(keep.sum())
         if self.size > HELD:
@@ -29,12 +31,12 @@ class Best:
 
     def prune(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         at, ids, scores = (np.concatenate(c) for c in zip(*self.held)) if self.held else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        rounded = np.round(scores, 6)
-        order = np.lexsort((ids, -rounded, at))
+        shown = rounded(scores, 6)
+        order = np.lexsort((ids, -shown, at))
         first = np.searchsorted(at[order], np.arange(len(self.queries)))
         rank = np.arange(len(order)) - first[at[order]]
         last = order[rank == self.k - 1]
-        self.floor[at[last]] = rounded[last]
+        self.floor[at[last]] = shown[last]
         kept = order[rank < self.k]
         found = at[kept], ids[kept], scores[kept]
         self.held, self.size = [found], len(kept)

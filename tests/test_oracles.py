@@ -44,7 +44,7 @@ def test_query(spark, duck, name):
     assert sorted((tuple(norm(r[n]) for n in names) for r in rows), key=repr) == sorted((tuple(norm(r[i]) for i in at) for r in want.fetchall()), key=repr)
 
 
-@pytest.mark.parametrize("name", ["retrieve_hybrid"])
+@pytest.mark.parametrize("name", ["retrieve_hybrid", "query_fanout"])
 def test_text_without_a_vector(spark, tmp_path, name):
     """A document with no token has a vector without length, of which the SQL's cosine is NaN."""
     c = duckdb.connect()

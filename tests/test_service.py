@@ -172,6 +172,14 @@ def test_retrieval_modes_and_rounds(spark, monkeypatch):
     assert sorted(map(tuple, retrieve.retrieve(asked, index, vectors, mode="sparse").collect())) == want
 
 
+def test_dense_rounds_halves_up(spark):
+    """Cosines of 1/32 and 45/128: halves at four digits, and at the six by which hits are ranked."""
+    rank = lambda q, *v: [tuple(r) for r in dense.search(spark.createDataFrame([(0, [float(x) for x in q])], "query_id long, embedding array<double>"), spark.createDataFrame([(i, [float(x) for x in own]) for i, own in enumerate(v, 1)], "chunk_id long, embedding array<double>").coalesce(1), 1).collect()]
+    assert rank([3, 3, 3, -6, 4, 2, 6, -3], [-9, -2, -4, -5, 5, -6, 3, 2]) == [(0, 1, 1, 0.0313)]
+    near = [-5, 2, 1, 1, -4, 7, -4, 4]
+    assert rank([-6, 5, 6, 1, -1, 2, 5, 0], near, [-5 - 1e-6] + near[1:]) == [(0, 1, 1, 0.3516)]
+
+
 def test_dense_in_rounds(spark, monkeypatch):
     v = spark.range(200).select(F.col("id").alias("chunk_id"), F.array(*[F.rand(i) - 0.5 for i in range(8)]).alias("embedding")).persist()
     asked = v.where("chunk_id % 20 = 0").withColumnRenamed("chunk_id", "query_id")
