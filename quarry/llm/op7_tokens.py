@@ -9,7 +9,8 @@ Two deterministic transducers count what the tokenizer would emit, without build
    the node in the vocabulary trie, the token that would end there and its relative count; a transition is
    annotated with the tokens it settles. The last token of a prefix is the only one that ends there and stands next to
    its predecessor as the merges would leave it, so the automaton is deterministic. States are made when
-   first reached and kept.
+   first reached and kept as packed numbers; beyond KEPT they are made anew from the one that is being left, so a worker's
+   memory is bounded for any text, however long a pre-token.
 
 The vocabulary file is a parameter and must be at that path on every node; one that asks for another splitter, a normalizer or
 other flags raises. Strings of added tokens inside a text count
@@ -25,6 +26,7 @@ import json
 import re
 import sys
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,12 +34,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, buffers, table
+from .common import arrow_batches, buffers, table, windows
 
 LIMIT = 512
 CHUNK = 128  # code points in a chunk
 STEP = 1 << 20  # bytes of text worked on at once, at least one text
-KEPT = 1 << 20  # pre-tokens or states remembered by a worker
+KEPT = 1 << 18  # pre-tokens, states or seams remembered by a worker
+SETTLED = 20  # bits for the tokens that a transition settles, fewer than a vocabulary's longest token has bytes
 
 # --- the splitter -----------------------------------------------------------------------------------------------
 
@@ -154,6 +157,9 @@ def expected(spec: dict) -> None:
         raise ValueError(f"not compiled for this {', '.join(wrong)} of the vocabulary file")
 
 
+FIRST = array("i", (0, -1, 0)).tobytes()  # the state at the beginning of a pre-token
+
+
 class Merger:
     """Counts the tokens of a pre-token's bytes."""
 
@@ -170,37 +176,52 @@ class Merger:
             a, b = coded(a), coded(b)
             self.rank.setdefault((a, b), r)
             self.made.setdefault(a + b, (r, a, b))
-        tokens = {bytes([b]) for b in range(256)} | set(self.made)
+        self.tokens = sorted({bytes([b]) for b in range(256)} | set(self.made))
         self.trie: list[dict[int, int]] = [{}]
-        self.token: list[bytes | None] = [None]
-        for t in tokens:
+        self.token = [-1]  # by node, the number of the token that ends there
+        for k, t in enumerate(self.tokens):
             node = 0
             for b in t:
                 if b not in self.trie[node]:
                     self.trie[node][b] = len(self.trie)
                     self.trie.append({})
-                    self.token.append(None)
+                    self.token.append(-1)
                 node = self.trie[node][b]
-            self.token[node] = t
+            self.token[node] = k
         added = [t["content"] for t in spec.get("added_tokens", [])]
         self.special = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
-        self.reset()
-
-    def reset(self) -> None:
-        self.together: dict[tuple[bytes | None, bytes], bool] = {}
-        first = ((0, None, 0),)
-        self.states, self.number = [first], {first: 0}
-        self.steps: list[dict[int, tuple[int, int]]] = [{}]
-        self.closing = [0]
+        self.together: dict[int, bool] = {}
+        self.states: list[bytes] = []
+        self.number: dict[bytes, int] = {}
+        self.steps: dict[int, int] = {}  # by state and byte
+        self.closing: list[int] = []
         self.counts: dict[str, int] = {}
+        self.former: dict[str, int] = {}  # the counts before these
+        self.numbered(FIRST)
 
-    def neighbours(self, a: bytes | None, b: bytes) -> bool:
-        """Whether the merges leave tokens a and b next to each other: no pair at the seam merges before its token is taken in."""
-        if a is None:
+    def numbered(self, state: bytes) -> int:
+        """The number of a state: node, number of the token before (-1: none) and relative count of each place."""
+        if (known := self.number.get(state)) is not None:
+            return known
+        if len(self.states) >= KEPT:
+            for kept in (self.states, self.number, self.steps, self.closing):
+                kept.clear()
+            self.numbered(FIRST)
+        k = self.number[state] = len(self.states)
+        self.states.append(state)
+        self.closing.append(memoryview(state).cast("i")[-1])
+        return k
+
+    def neighbours(self, before: int, token: int) -> bool:
+        """Whether the merges leave two tokens next to each other: no pair at the seam merges before its token is taken in."""
+        if before < 0:
             return True
-        if (known := self.together.get((a, b))) is not None:
+        seam = before * len(self.tokens) + token
+        if (known := self.together.get(seam)) is not None:
             return known
-        x, y, limit, out = a, b, 1 << 60, True
+        if len(self.together) >= KEPT:
+            self.together.clear()
+        x, y, limit, out = self.tokens[before], self.tokens[token], 1 << 60, True
         while True:
             if self.rank.get((x, y), 1 << 60) < limit:
                 out = False
@@ -213,46 +234,52 @@ class Merger:
                 limit, x = rx, self.made[x][2]
             else:
                 limit, y = ry + 1, self.made[y][1]
-        self.together[a, b] = out
+        self.together[seam] = out
         return out
 
-    def step(self, state: int, byte: int) -> tuple[int, int]:
-        """(next state, tokens settled)."""
+    def step(self, state: int, byte: int) -> int:
+        """The next state and, in the lowest bits, the tokens settled."""
         live, last = [], None
-        for node, before, n in self.states[state]:
+        places = iter(memoryview(self.states[state]).cast("i").tolist())
+        for node, before, n in zip(places, places, places):
             child = self.trie[node].get(byte)
             if child is None:
                 continue
             live.append((child, before, n))
             t = self.token[child]
-            if last is None and t is not None and self.neighbours(before, t):
+            if last is None and t >= 0 and self.neighbours(before, t):
                 last = (0, t, n + 1)
         live.append(last)
         base = min(n for _, _, n in live)
-        made = tuple((node, before, n - base) for node, before, n in live)
-        if made not in self.number:
-            self.number[made] = len(self.states)
-            self.states.append(made)
-            self.steps.append({})
-            self.closing.append(made[-1][2])
-        found = self.steps[state][byte] = (self.number[made], base)
+        made = array("i", [x for node, before, n in live for x in (node, before, n - base)]).tobytes()
+        new = made not in self.number and len(self.states) >= KEPT
+        found = self.numbered(made) << SETTLED | base
+        if not new:  # else the state that is left has no number any more
+            self.steps[state << 8 | byte] = found
         return found
 
     def count(self, word: str) -> int:
         state = total = 0
+        steps, settled = self.steps, (1 << SETTLED) - 1
         for byte in word.encode():
-            state, settled = self.steps[state].get(byte) or self.step(state, byte)
-            total += settled
+            found = steps.get(state << 8 | byte)
+            if found is None:
+                found = self.step(state, byte)
+            total += found & settled
+            state = found >> SETTLED
         return total + self.closing[state]
 
     def total(self, words: list[str]) -> np.ndarray:
-        """The count of each word, each different word counted once."""
-        if max(len(self.counts), len(self.states), len(self.together)) > KEPT:
-            self.reset()
-        counts = self.counts
-        for w in set(words).difference(counts):
-            counts[w] = self.count(w)
-        return np.fromiter(map(counts.__getitem__, words), np.int64, len(words))
+        """The count of each word; those of the last words are remembered, so frequent words are counted once."""
+        out = np.zeros(len(words), np.int64)
+        for a, b in windows(len(words), KEPT // 2):
+            if len(self.counts) > KEPT // 2:
+                self.former, self.counts = self.counts, {}
+            some, counts, former = words[a:b], self.counts, self.former
+            for w in set(some).difference(counts):
+                counts[w] = self.count(w) if (known := former.get(w)) is None else known
+            out[a:b] = np.fromiter(map(counts.__getitem__, some), np.int64, b - a)
+        return out
 
 
 _MERGERS: dict[str, Merger] = {}

@@ -451,6 +451,19 @@ def test_tokens_against_the_library(spark, odd, none):
     assert op7_tokens.count_tokens(none, path).collect() == []
 
 
+def test_a_tokenizer_remembers_a_bounded_number_of_states(monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, m, r = Tokenizer.from_file(path), op7_tokens.Merger(path), random.Random(2)
+    monkeypatch.setattr(op7_tokens, "KEPT", 100)
+    letters = "".join(chr(c) for c in range(97, 123))
+    texts = ["".join(r.choices(letters, k=5000)), " ".join("".join(r.choices(letters, k=r.randint(1, 12))) for _ in range(1000)), "ab" * 2000, ""]
+    assert op7_tokens.count_texts(texts, m).tolist() == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert max(len(m.states), len(m.number), len(m.closing), len(m.together)) <= 100 and len(m.counts) + len(m.former) <= 200 and len(m.steps) <= 256 * 100
+
+
 def test_chunk_size_does_not_matter():
     kinds = op7_tokens.classes()[np.frombuffer("a 'll  b\n\n c1 !! it's".encode("utf-32-le"), np.uint32)]
     assert all(op7_tokens.boundaries(kinds, c).tolist() == op7_tokens.boundaries(kinds, 1000).tolist() for c in (1, 2, 3, 7))
